@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ LOWER[65:91] += 32
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a data folder. Python workers are told where this package is, should they have been started elsewhere."""
+    env, home = spark.sparkContext.environment, str(Path(__file__).parents[2])
+    if home not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = f"{env['PYTHONPATH']}:{home}" if env.get("PYTHONPATH") else home
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
