@@ -170,9 +170,13 @@ def _window_rows(unit: str, n: int) -> Callable:
     return run
 
 
-def by_hash(asked: DataFrame, unit: str, n: int) -> DataFrame:
-    """(ah, bh, s, e): windows of the asked blocks whose (gram, window hash) occurs in them more than once, counted by Spark."""
+def by_hash(asked: DataFrame, unit: str, n: int, stored: bool = False) -> DataFrame:
+    """(ah, bh, s, e): windows of the asked blocks whose (gram, window hash) occurs in them more than once, counted by Spark.
+
+    ``stored`` writes the windows once; else they are hashed for the count and again for the join with it.
+    """
     rows = asked.mapInArrow(_window_rows(unit, n), WINDOW)
+    rows = materialize(rows, "windows") if stored else rows
     twice = rows.groupBy("ah", "wh").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("ah", "wh")
     return rows.join(twice, ["ah", "wh"], "left_semi").select("ah", "bh", F.col("at").alias("s"), (F.col("at") + 1).alias("e"))
 

@@ -9,7 +9,7 @@ extension of ``n`` bytes are repeats once their bytes have been compared too,
 which guards against hash collisions. All buckets of a batch are sorted at once
 with numpy.
 
-Minimisers with more than ``most_blocks`` distinct blocks (a passage that very
+Minimisers with more distinct blocks than one sort takes (a passage that very
 many texts share) don't meet in one task: their windows are counted by Spark
 over (minimiser, window hash) instead, which is as exact and has no hot task.
 """
@@ -158,11 +158,14 @@ def _sort_blocks(n: int, at_once: int):
     return run
 
 
-def suffix_runs(texts: DataFrame, blocks: DataFrame, n: int, most_blocks: int = 256, at_once: int = 1024) -> DataFrame:
-    """(ah, bh, s, e): runs of windows that another block of the same gram has too."""
+def suffix_runs(texts: DataFrame, blocks: DataFrame, n: int, most_blocks: int = 1024) -> DataFrame:
+    """(ah, bh, s, e): runs of windows that another block of the same gram has too.
+
+    A task sorts about ``most_blocks`` blocks at a time, whole grams only; that many fit in one sort.
+    """
     few = asked_of(texts, blocks.filter(F.col("blocks") <= most_blocks)).mapInArrow(_block_rows(n), BLOCK)
-    few = few.repartition("ah").sortWithinPartitions("ah", "bh").mapInArrow(_sort_blocks(n, at_once), RUNS)
-    return few.unionByName(by_hash(asked_of(texts, blocks.filter(F.col("blocks") > most_blocks)), "byte", n))
+    few = few.repartition("ah").sortWithinPartitions("ah", "bh").mapInArrow(_sort_blocks(n, most_blocks), RUNS)
+    return few.unionByName(by_hash(asked_of(texts, blocks.filter(F.col("blocks") > most_blocks)), "byte", n, stored=True))
 
 
 def _remove(n: int):
@@ -189,7 +192,7 @@ def _remove(n: int):
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, text: str = "text", n: int = 400, gram: int = 64, most_blocks: int = 256) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, text: str = "text", n: int = 400, gram: int = 64, most_blocks: int = 1024) -> DataFrame:
     """(k1, k2, n_bytes, n_removed, n_spans, kept) for each distinct text, to be joined by ``keyed``.
 
     A byte goes if any ``n``-byte string that covers it starts anywhere else too,
