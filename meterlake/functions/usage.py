@@ -7,9 +7,7 @@ text that isn't a number.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text, time
@@ -53,22 +51,36 @@ def first_of(v: Column, names: list[str]) -> list[Column]:
     return [get(v, n) for n in names]
 
 
-def usage_object(v: Column) -> Column:
-    return F.coalesce(*[obj(v, n) for n in NESTED], v)
+def fields(json: Column, names: list[str]) -> Column:
+    """A struct of an object's fields as text, by one parse; objects within stay JSON."""
+    return F.from_json(json, ", ".join(f"`{n}` string" for n in dict.fromkeys(names)))
+
+
+def first_object(row: Column, names: list[str]) -> Column:
+    """Of a struct's fields the first that is a JSON object."""
+    return F.coalesce(*[F.when(row[n].startswith("{"), row[n]) for n in names])
+
 
+def with_buckets(rows: DataFrame, v: Column, name: str = "b") -> DataFrame:
+    """``rows`` with a struct (input, output, cache_read, cache_write) of the usage object ``v``; rows without tokens are left out.
 
-def buckets(v: Column) -> Column:
-    """(input, output, cache_read, cache_write) of a usage object, null if they sum to nothing."""
-    u = usage_object(v)
-    details = F.coalesce(*[obj(u, n) for n in DETAILS])
-    out = F.struct(
-        text.num(F.coalesce(*first_of(u, INPUT))).cast("long").alias("input"),
-        text.num(F.coalesce(*first_of(u, OUTPUT))).cast("long").alias("output"),
-        text.num(F.coalesce(*first_of(u, CACHE_READ), *first_of(details, DETAIL_READ))).cast("long").alias("cache_read"),
-        text.num(F.coalesce(*first_of(u, CACHE_WRITE), *first_of(details, DETAIL_WRITE))).cast("long").alias("cache_write"),
-    )
-    total = reduce(lambda a, b: a + b, [out[n] for n in ("input", "output", "cache_read", "cache_write")])
-    return F.when(total > 0, out)
+    An object is parsed once for all the names that it may use.
+    """
+    one = rows.withColumn("_j", F.to_json(v))
+    one = one.withColumn("_o", fields(F.col("_j"), [*NESTED[:-1], "metadata"])).withColumn("_m", fields(F.col("_o.metadata"), ["metrics"]))
+    one = one.withColumn("_j", F.coalesce(first_object(F.col("_o"), NESTED[:-1]), first_object(F.col("_m"), ["metrics"]), F.col("_j")))
+    one = one.withColumn("_u", fields(F.col("_j"), [*INPUT, *OUTPUT, *CACHE_READ, *CACHE_WRITE, *DETAILS]))
+    one = one.withColumn("_d", fields(first_object(F.col("_u"), DETAILS), [*DETAIL_READ, *DETAIL_WRITE]))
+    u, d = F.col("_u"), F.col("_d")
+    sides = {
+        "input": [u[n] for n in INPUT],
+        "output": [u[n] for n in OUTPUT],
+        "cache_read": [*[u[n] for n in CACHE_READ], *[d[n] for n in DETAIL_READ]],
+        "cache_write": [*[u[n] for n in CACHE_WRITE], *[d[n] for n in DETAIL_WRITE]],
+    }
+    one = one.withColumn("_b", F.struct(*[text.num(F.coalesce(*c)).cast("long").alias(n) for n, c in sides.items()]))
+    some = F.filter(F.array("_b"), lambda x: x["input"] + x["output"] + x["cache_read"] + x["cache_write"] > 0)
+    return one.withColumn(name, F.explode(some)).drop("_j", "_o", "_m", "_u", "_d", "_b")
 
 
 def _text_only(v: Column, name: str) -> Column:
@@ -77,11 +89,15 @@ def _text_only(v: Column, name: str) -> Column:
 
 def model_of(*objects: Column) -> Column:
     """The first model name in the objects, or in their messages, normalised."""
-    return F.coalesce(*[text.normalize_model(x) for v in objects for x in [*[_text_only(v, n) for n in MODEL], _text_only(v, "message.model")]])
+    names = F.array(*[_text_only(v, n) for v in objects for n in [*MODEL, "message.model"]])
+    return F.get(F.filter(F.transform(F.filter(names, lambda x: x.isNotNull()), text.normalize_model), lambda x: x.isNotNull()), F.lit(0))
 
 
 def time_of(*objects: Column, fallback: Column | None = None) -> Column:
     """The first time in the objects; else ``fallback``, such as the file's time."""
-    found = [x for v in objects for n in TIME for x in (time.instant(_text_only(v, n)), F.when(kind_of(v, n) != "STRING", time.epoch(get(v, n, "double"))))]
-    found += [time.instant(_text_only(v, "time.created")) for v in objects]
-    return F.coalesce(*found, *([fallback] if fallback is not None else []))
+    said = [F.struct(get(v, n).alias("said"), (kind_of(v, n) == "STRING").alias("words")) for v in objects for n in TIME]
+    said += [F.struct(_text_only(v, "time.created").alias("said"), F.lit(True).alias("words")) for v in objects]
+    known = F.filter(F.array(*said), lambda x: x["said"].isNotNull() & F.coalesce(x["words"], F.lit(False)) | time.epoch(x["said"]).isNotNull())
+    times = F.transform(known, lambda x: F.when(x["words"], time.instant(x["said"])).otherwise(time.epoch(x["said"])))
+    first = F.get(F.filter(times, lambda x: x.isNotNull()), F.lit(0))
+    return F.coalesce(first, fallback) if fallback is not None else first

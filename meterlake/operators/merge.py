@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import time
 from ..functions.text import normalize_agent, normalize_model, sanitize_machine, stable_id
 from ..schema import ROUTERS, conform, cost, day, is_estimated, requests, weight
+from ..tables import cut
 from .dedup import collapse_exact, collapse_source_path, drop_stale_residuals, path, richer_union
 from .router_days import collapse_router_days
 
@@ -19,8 +20,8 @@ HOURS_KEPT = timedelta(days=8)
 
 
 def heal(rows: DataFrame) -> DataFrame:
-    """Router days, session files and clones collapsed."""
-    return collapse_exact(collapse_source_path(collapse_router_days(rows)))
+    """Router days, session files and clones collapsed. Rows are read several times, so each step starts from a written table."""
+    return collapse_exact(collapse_source_path(cut(collapse_router_days(cut(rows)))))
 
 
 def merge_richer(*parts: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def keeps_old() -> Column:
 def monotonic_merge(old: DataFrame, new: DataFrame) -> DataFrame:
     """For each agent and UTC day all rows of the old or of the new side, whichever is richer. Rows without a day are days of their own."""
     bucket = F.coalesce(day(), F.concat(F.lit("id:"), "id"))
-    sides = [drop_stale_residuals(s).withColumn("agent", normalize_agent(F.col("agent"))).withColumn("_bucket", bucket) for s in (old, new)]
+    sides = [drop_stale_residuals(cut(s)).withColumn("agent", normalize_agent(F.col("agent"))).withColumn("_bucket", bucket) for s in (old, new)]
     keys = ["agent", "_bucket"]
     choice = _side_sums(sides[0], "p").join(_side_sums(sides[1], "n"), keys, "full_outer").select(*keys, keeps_old().alias("_old"))
     kept = [s.join(choice.filter(F.col("_old") == keep), keys, "left_semi") for s, keep in zip(sides, (True, False), strict=True)]
@@ -137,14 +138,10 @@ def light_merge(old: DataFrame, fresh: DataFrame, least: int = 5) -> DataFrame:
     return richer_union(kept, fresh)
 
 
-def finalize(scanned: DataFrame, old: DataFrame, imported: DataFrame | None, machine: str, cut=lambda df: df) -> DataFrame:
-    """All merges in order: heal the scan, keep richer old days, add imported rows, keep richer old days again.
-
-    ``cut`` may write a table and read it back between the rounds, which bounds
-    the plan.
-    """
-    rows = cut(heal(monotonic_merge(old, cut(heal(richer_union(scanned))))))
+def finalize(scanned: DataFrame, old: DataFrame, imported: DataFrame | None, machine: str) -> DataFrame:
+    """All merges in order: heal the scan, keep richer old days, add imported rows, keep richer old days again."""
+    rows = heal(monotonic_merge(old, heal(richer_union(scanned))))
     if imported is not None:
-        rows = cut(merge_local_over_rollups(rows, imported, machine))
-        rows = cut(heal(monotonic_merge(old, rows)))
+        rows = cut(merge_local_over_rollups(cut(rows), imported, machine))
+        rows = heal(monotonic_merge(old, rows))
     return rows

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import time
 from ..functions.text import normalize_model, stable_id
 from ..schema import conform, cost, day, is_estimated, is_router, requests, weight
+from ..tables import cut
 from .dedup import dedupe_mixed, richest
 
 ROLLUPS, REQUESTS, BOTH, FILLED = "rollups", "requests", "both", "filled"
@@ -104,7 +105,7 @@ def collapse_router_days(rows: DataFrame) -> DataFrame:
     rollups, calls = routed.filter(is_estimated()), routed.filter(~is_estimated())
     own = F.when(_workspace() == "", F.concat(F.lit("id:"), "id")).otherwise(F.concat(F.lit("mw:"), _name(), F.lit("|"), _workspace()))
     rollups = dedupe_mixed(richest(rollups, F.col("agent"), F.col("_day"), own), keys)
-    clean = rollups.unionByName(calls)
+    clean = cut(rollups.unionByName(calls))  # read for the sums, the choice and the gaps
     choice = day_sums(clean, keys).select(*keys, day_choice().alias("_choice"))
     chosen = clean.join(choice, keys)
     keep = F.when(is_estimated(), F.col("_choice").isin(ROLLUPS, BOTH)).otherwise(F.col("_choice").isin(REQUESTS, BOTH, FILLED))
@@ -197,7 +198,7 @@ def model_deficits(days: DataFrame, calls: DataFrame) -> DataFrame:
 
 def reconcile_days(calls: DataFrame, days: DataFrame, now: Column) -> DataFrame:
     """Requests and day documents (several versions) as rows: documents alone, requests alone, or requests and what they lack."""
-    merged = merge_days(days)
+    merged, calls = cut(merge_days(days)), cut(calls)
     dated = calls.withColumn("day", day())
     sums = dated.filter("day is not null").groupBy("agent", "day").agg(F.count(F.lit(1)).alias("rows"), F.sum(requests()).alias("req"), F.sum(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).alias("tok"))
     both = merged.select("agent", "day", F.coalesce("requests", F.lit(0.0)).alias("target"), (F.col("input") + F.col("output")).alias("day_tok"), F.col("cost").alias("day_cost"))
@@ -205,7 +206,7 @@ def reconcile_days(calls: DataFrame, days: DataFrame, now: Column) -> DataFrame:
     choice = both.select("agent", "day", prefer_requests().alias("prefer"))
     kept = dated.join(choice, ["agent", "day"], "left").filter(F.coalesce("prefer", F.lit(True))).select(calls.columns)
     named = merged.join(choice, ["agent", "day"])
-    lacking = model_deficits(named.filter("prefer").drop("prefer"), calls)
+    lacking = cut(model_deficits(named.filter("prefer").drop("prefer"), calls))
     rollups = expand_days(named.filter("not prefer").drop("prefer"), calls, now).unionByName(expand_days(lacking, calls, now))
     return conform(kept).unionByName(rollups)
 

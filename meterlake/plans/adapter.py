@@ -76,10 +76,10 @@ def norm_sql(x: str) -> str:
     m = strip(rf"regexp_replace({m}, '\s*\[[^\]]*\]\s*$', '')")
     m = strip(f"split_part({m}, '|', 1)")
     last = strip(rf"regexp_extract({m}, '([^/]*[^/\s][^/]*)(?:/\s*)*$', 1)")
-    m = rf"(SELECT CASE WHEN contains(q.m, '/') AND NOT starts_with(q.m, 'http') AND length(q.l) >= 2 AND NOT regexp_matches(lower(q.l), '^(models?|v\d+)$') THEN q.l ELSE q.m END FROM (SELECT {m} AS m, {last} AS l) q)"
+    m = rf"CASE WHEN contains({m}, '/') AND NOT starts_with({m}, 'http') AND length({last}) >= 2 AND NOT regexp_matches(lower({last}), '^(models?|v\d+)$') THEN {last} ELSE {m} END"
     m = strip(rf"regexp_replace({strip(rf"regexp_replace({m}, '\s+', ' ', 'g')")}, '[-_:|]+$', '')")
     m = f"regexp_replace({m}, '^deep[-_]seek', 'deepseek', 'i')"
-    return f"nullif((SELECT CASE WHEN lower(q.n) = 'digigo' THEN 'Digigo' ELSE q.n END FROM (SELECT {m} AS n) q), '')"
+    return f"nullif(regexp_replace({m}, '^digigo$', 'Digigo', 'i'), '')"
 
 
 def family_sql(raw: str) -> str:

@@ -79,7 +79,7 @@ def collapse_source_path(spark, sf_dir):
 
 # Router days of every kind: rollups scaled by day, requests thinned on some.
 _SCALE = [1, 2, 3, 5, 8, 12, 20, 40]
-_ROUTED = f"""routed AS (SELECT * REPLACE (CASE WHEN estimated AND seq % 7 = 0 THEN 'mixed' ELSE model END AS model, input_tokens * f AS input_tokens, total_tokens + input_tokens * (f - 1) AS total_tokens, estimated_cost * f AS estimated_cost) EXCLUDE (d, f)
+_ROUTED = f"""routed AS (SELECT * EXCLUDE (d, f) REPLACE (CASE WHEN estimated AND seq % 7 = 0 THEN 'mixed' ELSE model END AS model, input_tokens * f AS input_tokens, total_tokens + input_tokens * (f - 1) AS total_tokens, estimated_cost * f AS estimated_cost)
 FROM (SELECT *, CASE WHEN estimated THEN CASE d % 8 {" ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(_SCALE))} END ELSE 1 END AS f FROM (SELECT *, CAST(date_part('day', ts) AS BIGINT) AS d FROM e))
 WHERE estimated OR NOT ((d % 5 = 4 AND seq % 3 <> 0) OR d % 11 = 0 OR (d % 9 = 2 AND seq % 16 <> 0)))"""
 
@@ -172,7 +172,7 @@ def daily_map_merge(spark, sf_dir):
 
 def _expand_sql(docs: str, models: str, calls: str) -> str:
     stamp = lambda p: f"CASE WHEN {p} >= day::TIMESTAMP AND {p} <= day::TIMESTAMP + INTERVAL 12 HOUR THEN {p} WHEN day::TIMESTAMP + INTERVAL 12 HOUR <= {NOW_SQL} THEN day::TIMESTAMP + INTERVAL 12 HOUR ELSE day::TIMESTAMP END"
-    cols = "agent, model, ts, CAST(input AS BIGINT) AS input_tokens, CAST(input + output + cache AS BIGINT) AS total_tokens, CAST(greatest(1, floor(requests)) AS BIGINT) AS request_count, round(nullif(cost, 0), 6) AS estimated_cost"
+    cols = "agent, model, ts, CAST(trunc(input) AS BIGINT) AS input_tokens, CAST(trunc(input + output + cache) AS BIGINT) AS total_tokens, CAST(greatest(1, floor(requests)) AS BIGINT) AS request_count, round(nullif(cost, 0), 6) AS estimated_cost"
     return f"""(WITH mm AS (SELECT *, coalesce({norm_sql("key")}, 'mixed') AS model FROM {models} WHERE input + output + cache > 0 OR cost > 0 OR requests > 0), ms AS (SELECT agent, day, sum(cost) AS mc, sum(input + output + cache) AS mt, count(*) AS mn FROM mm GROUP BY 1, 2),
 dt AS (SELECT agent, {Q.DAY} AS day, max(ts) AS day_ts FROM {calls} GROUP BY 1, 2), mts AS (SELECT agent, {Q.DAY} AS day, {norm_sql("model")} AS model, max(ts) AS model_ts FROM {calls} GROUP BY 1, 2, 3),
 d AS (SELECT x.*, day_ts, coalesce(mn, 0) > 0 AND (cost <= 0 OR mc >= cost * 0.98e0) AND (input + output + cache <= 0 OR mt >= (input + output + cache) * 0.98e0) AS covers FROM {docs} x LEFT JOIN ms USING (agent, day) LEFT JOIN dt USING (agent, day)),
@@ -282,11 +282,9 @@ _FINAL = [
 
 @query(shown_sql("s4", *_FINAL))
 def finalize_pipeline(spark, sf_dir):
-    from ..store import cut
-
     a, b = _rollups(spark, sf_dir)
     old, new = _two(spark, sf_dir)
-    return shown(M.finalize(new, old, a.unionByName(b), "host-a", cut))
+    return shown(M.finalize(new, old, a.unionByName(b), "host-a"))
 
 
 @query(f"""WITH {E_SQL}, {_OLD}, {_NEW} SELECT id, agent, model, total_tokens FROM (SELECT *, row_number() OVER (PARTITION BY seq // 2 ORDER BY (agent = 'grok') DESC, total_tokens DESC, coalesce(estimated_cost, 0) DESC, seq) AS k FROM e WHERE NOT estimated) WHERE k = 1""")

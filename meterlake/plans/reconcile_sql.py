@@ -43,8 +43,8 @@ def by_file(src: str) -> str:
 def mixed(src: str) -> str:
     """Without the mixed rollups of an agent's day that its models explain; ``src`` also has day, m and w."""
     named = "m NOT IN ('mixed', 'unknown')"
-    return f"""(WITH r AS MATERIALIZED (SELECT * FROM {src}), s AS (SELECT agent, day, sum(CASE WHEN {named} THEN total_tokens ELSE 0 END) AS mt, sum(CASE WHEN {named} THEN {COST} ELSE 0 END) AS mc, bool_or({named}) AS some FROM r GROUP BY 1, 2)
-SELECT r.* FROM r JOIN s USING (agent, day) WHERE {named} OR NOT some OR NOT ((total_tokens > 0 AND mt >= total_tokens * 0.95e0) OR ({COST} > 0 AND mc >= {COST} * 0.95e0 AND mt >= total_tokens * 0.9e0)))"""
+    return f"""(WITH r AS MATERIALIZED (SELECT * FROM {src}), s AS (SELECT agent, day, sum(CASE WHEN {named} THEN total_tokens ELSE 0 END) AS mt, sum(CASE WHEN {named} THEN {COST} ELSE 0 END) AS mc, bool_or({named}) AS named FROM r GROUP BY 1, 2)
+SELECT r.* FROM r JOIN s USING (agent, day) WHERE {named} OR NOT named OR NOT ((total_tokens > 0 AND mt >= total_tokens * 0.95e0) OR ({COST} > 0 AND mc >= {COST} * 0.95e0 AND mt >= total_tokens * 0.9e0)))"""
 
 
 CHOICE = """CASE WHEN dn = 0 THEN 'requests' WHEN qn = 0 THEN 'rollups' WHEN qn >= 20 AND dt > 0 AND qt >= greatest(dt * 2, dt + 50000) THEN 'both'

@@ -71,10 +71,13 @@ def text_token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.tokens_of_chars(F.col("n_chars")).alias("n_tokens"))
 
 
-@query("""SELECT doc_id, greatest(1, CAST(floor(n / CASE WHEN n < 50000 THEN 8.0::DOUBLE ELSE 12.0::DOUBLE END + 0.5) AS BIGINT)) AS total, CAST(floor(greatest(1, CAST(floor(n / CASE WHEN n < 50000 THEN 8.0::DOUBLE ELSE 12.0::DOUBLE END + 0.5) AS BIGINT)) * 0.65::DOUBLE + 0.5) AS BIGINT) AS input_tokens FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents)""")
+_SIZE = "greatest(1, CAST(floor(n / CASE WHEN n < 50000 THEN 8.0::DOUBLE ELSE 12.0::DOUBLE END + 0.5) AS BIGINT))"
+
+
+@query(f"WITH s AS (SELECT doc_id, {_SIZE} AS t FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents)), i AS (SELECT *, CAST(floor(t * 0.65::DOUBLE + 0.5) AS BIGINT) AS i FROM s) SELECT doc_id, i AS input_tokens, greatest(1, t - i) AS output_tokens FROM i")
 def size_token_estimate(spark, sf_dir):
     parts = S.size_estimate(F.octet_length(F.coalesce("text", F.lit(""))))
-    return table(spark, sf_dir, "documents").select("doc_id", F.greatest(parts["input_tokens"] + parts["output_tokens"], F.lit(1)).alias("total"), parts["input_tokens"].alias("input_tokens")).withColumn("total", F.when(F.col("total") > 1, F.col("total")).otherwise(1).cast("long"))
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in parts.items()])
 
 
 @query("SELECT doc_id, CASE WHEN v IS NULL OR v <= 0 THEN 0.0::DOUBLE ELSE floor(v * 1e6 * 1e6 + 0.5) / 1e6 END AS rate FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN n_chars / 1e9 WHEN 1 THEN -1.0 WHEN 2 THEN NULL ELSE n_chars / 1e13 END AS v FROM documents)")

@@ -114,8 +114,8 @@ def argmax_model(spark, sf_dir):
 
 
 @query(
-    r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]{4,}')) AS token, generate_subscripts(regexp_extract_all(text, '[a-z]{4,}'), 1) AS at FROM documents),
-c AS (SELECT doc_id, token, count(*) AS n, min(at) AS at FROM m GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, at) AS k FROM c) SELECT doc_id, token, n FROM r WHERE k = 1"""
+    r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]{4,}')) AS token, generate_subscripts(regexp_extract_all(text, '[a-z]{4,}'), 1) AS pos FROM documents),
+c AS (SELECT doc_id, token, count(*) AS n, min(pos) AS pos FROM m GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS k FROM c) SELECT doc_id, token, n FROM r WHERE k = 1"""
 )
 def dominant_token(spark, sf_dir):
     return S.dominant_token(table(spark, sf_dir, "documents"), "doc_id", "text", "[a-z]{4,}")

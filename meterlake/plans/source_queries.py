@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import usage
 from ..sources import binary, files, generic, routers
-from ..store import shared_dir
+from ..tables import shared_dir
 from .adapter import table
 from .queries import query
 
@@ -35,21 +35,20 @@ def _rows(spark, sf_dir):
 
 @query(f"WITH {_FIELDS} SELECT event_id, CAST(i AS BIGINT) AS input_tokens, CAST(o AS BIGINT) AS output_tokens, CAST(r AS BIGINT) AS cache_read_tokens, CAST(w AS BIGINT) AS cache_write_tokens FROM fields WHERE i + o + r + w > 0")
 def extract_buckets(spark, sf_dir):
-    b = usage.buckets(F.try_parse_json("value"))
-    out = _rows(spark, sf_dir).withColumn("b", b).filter("b is not null")
+    out = usage.with_buckets(_rows(spark, sf_dir).withColumn("v", F.try_parse_json("value")), F.col("v"))
     return out.select("event_id", *[F.col(f"b.{x}").alias(f"{x}_tokens") for x in ("input", "output", "cache_read", "cache_write")])
 
 
 @query(f"WITH {_FIELDS} SELECT event_id, model FROM fields")
 def extract_model(spark, sf_dir):
-    v = F.try_parse_json("value")
-    return _rows(spark, sf_dir).filter(v.isNotNull()).select("event_id", usage.model_of(v, F.try_variant_get(v, "$.message", "variant")).alias("model"))
+    v = F.col("v")
+    return _rows(spark, sf_dir).withColumn("v", F.try_parse_json("value")).filter("v is not null").select("event_id", usage.model_of(v, F.try_variant_get(v, "$.message", "variant")).alias("model"))
 
 
 @query(f"WITH {_FIELDS} SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM fields")
 def extract_timestamp(spark, sf_dir):
-    v = F.try_parse_json("value")
-    return _rows(spark, sf_dir).filter(v.isNotNull()).select("event_id", F.date_format(usage.time_of(v), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+    v = F.col("v")
+    return _rows(spark, sf_dir).withColumn("v", F.try_parse_json("value")).filter("v is not null").select("event_id", F.date_format(usage.time_of(v), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
 def _written(rows, spark, kind: str) -> str:

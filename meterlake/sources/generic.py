@@ -20,7 +20,7 @@ def usage_rows(rows: DataFrame, agent: str) -> DataFrame:
     """
     found = F.coalesce(*[F.when(usage.kind_of(F.col("row"), n) != "VOID", F.try_variant_get("row", f"$.{n}", "variant")) for n in CANDIDATES], F.col("row"))
     message = F.try_variant_get("row", "$.message", "variant")
-    with_counts = rows.withColumn("b", usage.buckets(found)).filter("b is not null")
+    with_counts = usage.with_buckets(rows.withColumn("_found", found), F.col("_found"))
     where = F.coalesce(*[F.when(usage.kind_of(F.col("row"), n) == "STRING", usage.get(F.col("row"), n)) for n in ("cwd", "workspace")])
     out = with_counts.select(
         F.col("line_no").alias("seq"),

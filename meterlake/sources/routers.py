@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, time
-from ..functions.usage import DETAIL_READ, DETAIL_WRITE, DETAILS, first_of, get, is_object, kind_of, obj
+from ..functions.usage import DETAIL_READ, DETAIL_WRITE, DETAILS, fields, first_object, first_of, get, is_object, obj
 from ..operators.dedup import router_twins
 from ..operators.router_days import reconcile_days
 from ..schema import conform
@@ -44,27 +44,30 @@ def request_rows(rows: DataFrame, agent: str) -> DataFrame:
 
     The id leaves out the path, so that copies of a row in two places are one.
     """
-    v = F.col("row")
-    tokens = F.coalesce(obj(v, "tokens"), F.when(kind_of(v, "tokens") == "STRING", F.try_parse_json(get(v, "tokens"))))
-    tokens = F.when(is_object(tokens), tokens)
-    details = F.coalesce(*[obj(tokens, n) for n in DETAILS])
-    n = lambda *cols: text.num(F.coalesce(*cols)).cast("long")
-    stated = F.coalesce(*first_of(v, ROW_TIME))
-    name = lambda f: F.when(kind_of(v, f) == "STRING", F.nullif(get(v, f), F.lit("")))
-    when = F.coalesce(time.instant(stated), time.epoch(stated))
-    out = rows.select(
+    names = ["tokens", *ROW_IN, *ROW_OUT, *ROW_READ, *ROW_WRITE, *ROW_TIME, *ROW_COST, *ROW_REQUESTS, "meta", "model", "rawModel", "provider", "endpoint", "id", "connectionId"]
+    one = rows.withColumn("_r", fields(F.to_json("row"), names))
+    r = F.col("_r")
+    one = one.withColumn("_t", fields(r["tokens"], [*TOKENS_IN, *TOKENS_OUT, *TOKENS_READ, *TOKENS_WRITE, *DETAILS])).withColumn("_m", fields(r["meta"], ROW_COST[:2]))
+    t, m = F.col("_t"), F.col("_m")
+    one = one.withColumn("_d", fields(first_object(t, DETAILS), [*DETAIL_READ, *DETAIL_WRITE]))
+    d = F.col("_d")
+    n = lambda *cols: text.num(F.coalesce(*cols))
+    of = lambda v, which: [v[x] for x in which]
+    name = lambda f: F.nullif(r[f], F.lit(""))
+    stated = F.coalesce(*of(r, ROW_TIME))
+    out = one.select(
         F.col("line_no").alias("seq"), "path",
-        n(*first_of(tokens, TOKENS_IN), *first_of(v, ROW_IN)).alias("input_tokens"),
-        n(*first_of(tokens, TOKENS_OUT), *first_of(v, ROW_OUT)).alias("output_tokens"),
-        n(*first_of(tokens, TOKENS_READ), *first_of(details, DETAIL_READ), *first_of(v, ROW_READ)).alias("cache_read_tokens"),
-        n(*first_of(tokens, TOKENS_WRITE), *first_of(details, DETAIL_WRITE), *first_of(v, ROW_WRITE)).alias("cache_write_tokens"),
-        text.num(F.coalesce(*first_of(v, ROW_COST))).alias("hint"),
-        text.num(F.coalesce(*first_of(v, ROW_REQUESTS))).alias("asked"),
-        text.num(F.coalesce(*first_of(v, ROW_COST), get(v, "meta.cost"), get(v, "meta.estimatedCost"))).alias("cost"),
-        text.normalize_model(F.coalesce(name("model"), name("rawModel"))).alias("model"), when.alias("ts"), name("provider").alias("provider"), name("endpoint").alias("endpoint"),
-        F.coalesce(get(v, "id"), F.concat_ws("-", F.lit("row"), "line_no")).alias("native_id"), F.coalesce(name("connectionId"), F.lit("")).alias("connection"),
+        n(*of(t, TOKENS_IN), *of(r, ROW_IN)).cast("long").alias("input_tokens"),
+        n(*of(t, TOKENS_OUT), *of(r, ROW_OUT)).cast("long").alias("output_tokens"),
+        n(*of(t, TOKENS_READ), *of(d, DETAIL_READ), *of(r, ROW_READ)).cast("long").alias("cache_read_tokens"),
+        n(*of(t, TOKENS_WRITE), *of(d, DETAIL_WRITE), *of(r, ROW_WRITE)).cast("long").alias("cache_write_tokens"),
+        n(*of(r, ROW_COST)).alias("hint"), n(*of(r, ROW_REQUESTS)).alias("asked"), n(*of(r, ROW_COST), *of(m, ROW_COST[:2])).alias("cost"),
+        F.coalesce(name("model"), name("rawModel")).alias("said"), F.coalesce(time.instant(stated), time.epoch(stated)).alias("ts"), name("provider").alias("provider"), name("endpoint").alias("endpoint"),
+        F.coalesce(r["id"], F.concat_ws("-", F.lit("row"), "line_no")).alias("native_id"), F.coalesce(name("connectionId"), F.lit("")).alias("connection"),
     )
-    out = out.withColumn("n", F.col("input_tokens") + F.col("output_tokens") + F.col("cache_read_tokens") + F.col("cache_write_tokens")).filter("ts is not null and (n > 0 or (hint > 0 and asked > 0))")
+    total = lambda x: x["input_tokens"] + x["output_tokens"] + x["cache_read_tokens"] + x["cache_write_tokens"]
+    used = F.filter(F.array(F.struct(*out.columns)), lambda x: x["ts"].isNotNull() & ((total(x) > 0) | ((x["hint"] > 0) & (x["asked"] > 0))))
+    out = out.select(F.explode(used).alias("x")).select("x.*").withColumns({"model": text.normalize_model(F.col("said")), "n": F.expr("input_tokens + output_tokens + cache_read_tokens + cache_write_tokens")})
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return out.select(
         "seq", text.stable_id(F.lit(agent), F.col("native_id"), F.col("input_tokens"), F.col("output_tokens"), stamp, F.col("connection"), F.col("model")).alias("id"), F.lit(agent).alias("agent"), "model", "ts",

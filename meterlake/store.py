@@ -1,8 +1,7 @@
-"""Snapshots of usage rows as Parquet: written whole, swapped in, with the previous one kept; and tables that cut a long plan."""
+"""Snapshots of usage rows as Parquet: written whole, swapped in, with the previous one kept."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,23 +11,6 @@ from .operators.merge import heal
 from .schema import conform, empty, weight
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; set here only where it is unset, as in tests."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not where:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="meterlake-"))
-        where = sc.getCheckpointDir()
-    return where.rstrip("/")
-
-
-def cut(rows: DataFrame) -> DataFrame:
-    """The same rows from a table in the shared folder: a short plan, and lost executors cost nothing."""
-    path = f"{shared_dir(rows.sparkSession)}/cut/{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
