@@ -103,7 +103,7 @@ class Model:
         self.bits = np.array([np.log2(max(a.size, 2)) for a in automata])
 
     def phrases(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Number of phrases of each row under each language."""
+        """Number of phrases of each row under each language. A byte outside the training text is a phrase, and one more at a block's end."""
         rows = len(offsets) - 1
         out = np.zeros((rows, len(self.languages)), np.int64)
         size = np.diff(offsets)

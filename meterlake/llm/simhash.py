@@ -190,7 +190,7 @@ def links_in_cells(cells: DataFrame, radius: int, width: int = 0) -> DataFrame:
 
 
 def near_fingerprints(distinct: DataFrame, radius: int = 3) -> DataFrame:
-    """Links between distinct fingerprints ``fp`` that differ in at most ``radius`` bits."""
+    """Links that join distinct fingerprints ``fp`` as chains of at most ``radius`` differing bits do: each to the first of its chain in a cell."""
     return links_in_cells(distinct.select("fp").mapInArrow(_cells(radius), "cell long, node long"), radius)
 
 
