@@ -32,7 +32,7 @@ def normalize_model(c: Column) -> Column:
         m = strip(F.regexp_replace(m, r"\s*\([^)]*\)\s*$", ""))
     m = strip(F.regexp_replace(m, r"\s*\[[^\]]*\]\s*$", ""))
     m = strip(F.split_part(m, F.lit("|"), F.lit(1)))
-    last = F.element_at(F.filter(F.transform(F.split(m, "/"), strip), lambda p: p != ""), -1)
+    last = F.try_element_at(F.filter(F.transform(F.split(m, "/"), strip), lambda p: p != ""), F.lit(-1))
     named = m.contains("/") & ~m.startswith("http") & (F.length(last) >= 2) & ~last.rlike(r"(?i)^(models?|v\d+)$")
     m = F.when(named, last).otherwise(m)
     m = strip(F.regexp_replace(strip(F.regexp_replace(m, r"\s+", " ")), r"[-_:|]+$", ""))

@@ -55,12 +55,12 @@ def labelled_total(family: str) -> Column:
 
 def strings(content: Column) -> Column:
     """Printable runs of three characters or more."""
-    return F.regexp_extract_all(F.decode(content, F.lit("ISO-8859-1")), F.lit(r"[\x20-\x7e]{3,}"), F.lit(0))
+    return F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(r"[\x20-\x7e]{3,}"), F.lit(0))
 
 
 def dominant_model(content: Column) -> Column:
     """The model name that occurs most often; of equals the first."""
-    names = F.transform(F.regexp_extract_all(F.decode(content, F.lit("ISO-8859-1")), F.lit(SLUG), F.lit(0)), F.lower)
+    names = F.transform(F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(SLUG), F.lit(0)), F.lower)
     fit = F.filter(names, lambda n: F.length(n).between(5, 36))
     ranked = F.transform(F.array_distinct(fit), lambda n, i: F.struct(F.size(F.filter(fit, lambda m: m == n)).alias("n"), (-i).alias("place"), n.alias("name")))
     return F.array_max(ranked)["name"]
