@@ -14,8 +14,8 @@ from .pricing import cost_parts, first_by, with_rates
 
 MEASURES = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "total_tokens"]
 COSTS = ["estimated_cost", "input_cost", "cache_cost", "output_cost"]
-#: Digits of summed costs: sums of doubles depend on their order beyond these.
-DIGITS = 6
+#: Digits of summed costs: sums of doubles depend on their order beyond these; prices end before them, so halves don't occur.
+DIGITS = 9
 
 
 def group_key(by: str) -> Column:

@@ -48,11 +48,11 @@ def reprice_events(spark, sf_dir):
     return out.select("id", F.round("estimated_cost", 9).alias("estimated_cost"))
 
 
-@query(f"WITH {RAW}, {RATES}, {mods_sql('SELECT model FROM raw_e')}, c AS (SELECT raw_e.*, m.i, m.o, m.r, m.w, m.l FROM raw_e JOIN mods m ON raw_e.model IS NOT DISTINCT FROM m.model) SELECT agent, round(sum((input_tokens * i + output_tokens * o + cache_read_tokens * coalesce(r, i * 0.1::DOUBLE) + cache_write_tokens * coalesce(w, i * 1.25::DOUBLE)) * CASE WHEN l > 0 AND input_tokens + cache_read_tokens >= l THEN 2 ELSE 1 END / 1e6), 6) AS table_total FROM c GROUP BY agent")
+@query(f"WITH {RAW}, {RATES}, {mods_sql('SELECT model FROM raw_e')}, c AS (SELECT raw_e.*, m.i, m.o, m.r, m.w, m.l FROM raw_e JOIN mods m ON raw_e.model IS NOT DISTINCT FROM m.model) SELECT agent, round(sum((input_tokens * i + output_tokens * o + cache_read_tokens * coalesce(r, i * 0.1::DOUBLE) + cache_write_tokens * coalesce(w, i * 1.25::DOUBLE)) * CASE WHEN l > 0 AND input_tokens + cache_read_tokens >= l THEN 2 ELSE 1 END / 1e6), 9) AS table_total FROM c GROUP BY agent")
 def reprice_totals(spark, sf_dir):
     """Totals by rates alone, as after a change of rates."""
     forced = P.reprice_events(usage(spark, sf_dir), R.rates(spark), force=True)
-    return forced.groupBy("agent").agg(F.round(F.sum("estimated_cost"), 6).alias("table_total"))
+    return forced.groupBy("agent").agg(F.round(F.sum("estimated_cost"), 9).alias("table_total"))
 
 
 @query(f"WITH {RAW}, {RATES}, names AS (SELECT key AS model FROM rates WHERE key <> 'default' UNION SELECT coalesce({norm_sql('model')}, model) FROM raw_e WHERE model IS NOT NULL), {mods_sql('SELECT model FROM names')} SELECT model, rate_key AS key, rate_source AS source, i AS input_rate, o AS output_rate, r AS cache_read_rate, w AS cache_write_rate FROM mods")

@@ -18,11 +18,11 @@ SHOW = ["id", "agent", "model", "total_tokens"]
 
 
 def shown(rows: DataFrame) -> DataFrame:
-    return rows.select("id", "agent", "model", at(), "input_tokens", "total_tokens", "estimated", F.coalesce("request_count", F.lit(1)).alias("request_count"), F.round("estimated_cost", 6).alias("estimated_cost"))
+    return rows.select("id", "agent", "model", at(), "input_tokens", "total_tokens", "estimated", F.coalesce("request_count", F.lit(1)).alias("request_count"), F.round("estimated_cost", 9).alias("estimated_cost"))
 
 
 def shown_sql(relation: str, *ctes: str) -> str:
-    return f"WITH {', '.join([E_SQL, *ctes])} SELECT id, agent, model, {AT_SQL}, input_tokens, total_tokens, estimated, coalesce(request_count, 1) AS request_count, round(estimated_cost, 6) AS estimated_cost FROM {relation} q"
+    return f"WITH {', '.join([E_SQL, *ctes])} SELECT id, agent, model, {AT_SQL}, input_tokens, total_tokens, estimated, coalesce(request_count, 1) AS request_count, round(estimated_cost, 9) AS estimated_cost FROM {relation} q"
 
 
 def _two(spark, sf_dir):
@@ -165,14 +165,14 @@ models AS MATERIALIZED (SELECT b.agent, {Q.DAY} AS day, coalesce(model, 'mixed')
   FROM b JOIN docs ON docs.agent = b.agent AND docs.day = {Q.DAY} AND docs.part = b.part WHERE b.part = 0 OR docs.day NOT LIKE '%7' GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH {E_SQL}, {_DOCS} SELECT agent, day, CAST(part AS BIGINT) AS version, requests, input, round(cost, 6) AS cost FROM docs")
+@query(f"WITH {E_SQL}, {_DOCS} SELECT agent, day, CAST(part AS BIGINT) AS version, requests, input, round(cost, 9) AS cost FROM docs")
 def daily_map_merge(spark, sf_dir):
-    return RD.merge_days(_documents(spark, sf_dir)).select("agent", "day", F.col("seq").alias("version"), "requests", "input", F.round("cost", 6).alias("cost"))
+    return RD.merge_days(_documents(spark, sf_dir)).select("agent", "day", F.col("seq").alias("version"), "requests", "input", F.round("cost", 9).alias("cost"))
 
 
 def _expand_sql(docs: str, models: str, calls: str) -> str:
     stamp = lambda p: f"CASE WHEN {p} >= day::TIMESTAMP AND {p} <= day::TIMESTAMP + INTERVAL 12 HOUR THEN {p} WHEN day::TIMESTAMP + INTERVAL 12 HOUR <= {NOW_SQL} THEN day::TIMESTAMP + INTERVAL 12 HOUR ELSE day::TIMESTAMP END"
-    cols = "agent, model, ts, CAST(trunc(input) AS BIGINT) AS input_tokens, CAST(trunc(input + output + cache) AS BIGINT) AS total_tokens, CAST(greatest(1, floor(requests)) AS BIGINT) AS request_count, round(nullif(cost, 0), 6) AS estimated_cost"
+    cols = "agent, model, ts, CAST(trunc(input) AS BIGINT) AS input_tokens, CAST(trunc(input + output + cache) AS BIGINT) AS total_tokens, CAST(greatest(1, floor(requests)) AS BIGINT) AS request_count, round(nullif(cost, 0), 12) AS estimated_cost"
     return f"""(WITH mm AS (SELECT *, coalesce({norm_sql("key")}, 'mixed') AS model FROM {models} WHERE input + output + cache > 0 OR cost > 0 OR requests > 0), ms AS (SELECT agent, day, sum(cost) AS mc, sum(input + output + cache) AS mt, count(*) AS mn FROM mm GROUP BY 1, 2),
 dt AS (SELECT agent, {Q.DAY} AS day, max(ts) AS day_ts FROM {calls} GROUP BY 1, 2), mts AS (SELECT agent, {Q.DAY} AS day, {norm_sql("model")} AS model, max(ts) AS model_ts FROM {calls} GROUP BY 1, 2, 3),
 d AS (SELECT x.*, day_ts, coalesce(mn, 0) > 0 AND (cost <= 0 OR mc >= cost * 0.98e0) AND (input + output + cache <= 0 OR mt >= (input + output + cache) * 0.98e0) AS covers FROM {docs} x LEFT JOIN ms USING (agent, day) LEFT JOIN dt USING (agent, day)),
@@ -185,7 +185,7 @@ _SHORT = f"SELECT id, agent, model, {AT_SQL}, input_tokens, total_tokens, reques
 
 
 def _short(rows):
-    return rows.select("id", "agent", "model", at(), "input_tokens", "total_tokens", F.coalesce("request_count", F.lit(1)).alias("request_count"), F.round("estimated_cost", 6).alias("estimated_cost"))
+    return rows.select("id", "agent", "model", at(), "input_tokens", "total_tokens", F.coalesce("request_count", F.lit(1)).alias("request_count"), F.round("estimated_cost", 12).alias("estimated_cost"))
 
 
 @query(f"WITH {E_SQL}, {_DOCS} {_SHORT} {_expand_sql('docs', 'models', '(SELECT * FROM e WHERE seq % 5 = 0)')} q")
@@ -201,7 +201,7 @@ _CALLS = "calls AS MATERIALIZED (SELECT * FROM e WHERE agent IN ('9router', 'rou
 _PREFER = """CASE WHEN rows < 2 THEN false WHEN dt > 0 AND tok >= dt * 0.95e0 AND tok <= dt * 1.08e0 AND req >= 2 AND (target <= 0 OR req >= target * 0.75e0) THEN true WHEN dt > 0 AND tok >= dt * 0.95e0 AND tok <= dt * 1.08e0 AND target >= 2 AND req >= target * 0.95e0 AND req <= target * 1.08e0 THEN true
 WHEN target >= 20 AND dt >= 10000 THEN false WHEN dt > 0 AND tok > dt * 1.05e0 THEN false WHEN target > 0 AND rows > greatest(target * 1.5e0, target + 5) AND (dt <= 0 OR tok <= dt * 1.05e0) THEN false WHEN target >= 1 AND (cost > 0 OR dt > 0) AND rows > target * 1.25e0 THEN false
 ELSE CASE WHEN target > 0 THEN rows / target ELSE 1 END >= 0.15e0 OR CASE WHEN dt > 0 THEN tok / dt ELSE 1 END >= 0.15e0 END"""
-_RECONCILE = f"""{_DOCS}, small AS MATERIALIZED (SELECT agent, day, requests / f AS requests, input / f AS input, output / f AS output, cache / f AS cache, cost / f AS cost, f FROM (SELECT *, CASE WHEN day LIKE '%3' OR day LIKE '%6' THEN 64 ELSE 1 END AS f FROM docs)),
+_RECONCILE = f"""{_DOCS}, small AS MATERIALIZED (SELECT agent, day, requests / f AS requests, input / f AS input, output / f AS output, cache / f AS cache, cost / f AS cost, f FROM (SELECT *, CASE WHEN day LIKE '%3' OR day LIKE '%6' THEN 100 ELSE 1 END AS f FROM docs)),
 smodels AS MATERIALIZED (SELECT models.agent, models.day, key, models.requests / f AS requests, models.input / f AS input, models.output / f AS output, models.cache / f AS cache, models.cost / f AS cost FROM models JOIN small USING (agent, day)),
 {_CALLS}, su AS (SELECT agent, {Q.DAY} AS day, count(*) AS rows, sum({REQ}) AS req, sum(input_tokens + output_tokens) AS tok FROM calls GROUP BY 1, 2),
 ch AS MATERIALIZED (SELECT agent, day, {_PREFER} AS prefer FROM (SELECT agent, day, small.requests AS target, input + output AS dt, cost, coalesce(rows, 0) AS rows, coalesce(req, 0) AS req, coalesce(tok, 0) AS tok FROM small LEFT JOIN su USING (agent, day))),
@@ -211,7 +211,7 @@ rem AS (SELECT m.*, coalesce(hn, 0) AS hn, greatest(0, requests - coalesce(hn, 0
 lmodels AS MATERIALIZED (SELECT agent, day, key, CASE WHEN rr > 0 THEN rr WHEN hn = 0 THEN greatest(1, requests) ELSE 0 END AS requests, rr, ri AS input, ro AS output, rc AS cache, rk AS cost FROM rem WHERE NOT (rr <= 0 AND ri + ro + rc <= 0 AND rk <= 0) AND NOT (hn >= requests AND hio >= input + output AND rc <= 0 AND rk <= 0 AND requests > 0)),
 ldocs AS MATERIALIZED (SELECT agent, day, sum(rr) AS requests, sum(input) AS input, sum(output) AS output, 0.0e0 AS cache, sum(cost) AS cost FROM lmodels GROUP BY 1, 2),
 ddocs AS MATERIALIZED (SELECT small.* FROM small JOIN ch USING (agent, day) WHERE NOT prefer), dmodels AS MATERIALIZED (SELECT smodels.* FROM smodels JOIN ch USING (agent, day) WHERE NOT prefer),
-outp AS (SELECT id, agent, model, ts, input_tokens, total_tokens, coalesce(request_count, 1) AS request_count, round(estimated_cost, 6) AS estimated_cost FROM calls LEFT JOIN (SELECT agent AS a2, day AS d2, prefer FROM ch) c ON c.a2 = agent AND c.d2 = {Q.DAY} WHERE coalesce(prefer, true)
+outp AS (SELECT id, agent, model, ts, input_tokens, total_tokens, coalesce(request_count, 1) AS request_count, round(estimated_cost, 12) AS estimated_cost FROM calls LEFT JOIN (SELECT agent AS a2, day AS d2, prefer FROM ch) c ON c.a2 = agent AND c.d2 = {Q.DAY} WHERE coalesce(prefer, true)
  UNION ALL SELECT * FROM {_expand_sql("ldocs", "(SELECT agent, day, key, requests, input, output, cache, cost FROM lmodels)", "calls")} UNION ALL SELECT * FROM {_expand_sql("ddocs", "dmodels", "calls")})"""
 
 
@@ -222,7 +222,7 @@ def reconcile_daily(spark, sf_dir):
 
     calls = usage(spark, sf_dir).filter("agent in ('9router', 'routerlab')").filter(F.col("seq") % (1 + F.dayofmonth("ts") % 9) == 0)
     days = _documents(spark, sf_dir)
-    f = F.when(F.col("day").rlike("[36]$"), 64).otherwise(1)
+    f = F.when(F.col("day").rlike("[36]$"), 100).otherwise(1)
     names = ["requests", "input", "output", "cache", "cost"]
     less = F.transform_values("models", lambda _, m: F.struct(*[(m[n] / f).alias(n) for n in names], m["raw_model"].alias("raw_model"), m["provider"].alias("provider")))
     days = days.withColumns({"models": less, **{n: F.col(n) / f for n in names}})

@@ -15,8 +15,8 @@ from .queries import query
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 AT_SQL = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts"
 SUMS = f"""CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens,
-  CAST(sum(cache_write_tokens) AS BIGINT) AS cache_write_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(coalesce(estimated_cost, 0)), 6) AS estimated_cost,
-  round(sum(input_cost), 6) AS input_cost, round(sum(cache_cost), 6) AS cache_cost, round(sum(output_cost), 6) AS output_cost, CAST(sum({REQ}) AS BIGINT) AS event_count"""
+  CAST(sum(cache_write_tokens) AS BIGINT) AS cache_write_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(coalesce(estimated_cost, 0)), 9) AS estimated_cost,
+  round(sum(input_cost), 9) AS input_cost, round(sum(cache_cost), 9) AS cache_cost, round(sum(output_cost), 9) AS output_cost, CAST(sum({REQ}) AS BIGINT) AS event_count"""
 MODEL_KEY = f"lower(coalesce({norm_sql('model')}, 'unknown (' || agent || ')'))"
 GROUP_SQL = {"agent": "agent", "model": MODEL_KEY, "day": "coalesce(strftime(ts, '%Y-%m-%d'), 'unknown')", "hour": "coalesce(strftime(ts, '%Y-%m-%dT%H:00'), 'unknown')"}
 
@@ -57,7 +57,7 @@ def stats_with_total(spark, sf_dir):
 
 def _cost_sql(by: str, share: bool = True, limit: str = "") -> str:
     last = ", round(c / CASE WHEN sum(c) OVER () = 0 THEN 1 ELSE sum(c) OVER () END, 9) AS share" if share else ""
-    return f"WITH {E_SQL}, s AS (SELECT {GROUP_SQL[by]} AS {by}, sum(coalesce(estimated_cost, 0)) AS c, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM e GROUP BY 1) SELECT {by}, round(c, 6) AS estimated_cost, total_tokens{last} FROM s {limit}"
+    return f"WITH {E_SQL}, s AS (SELECT {GROUP_SQL[by]} AS {by}, sum(coalesce(estimated_cost, 0)) AS c, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM e GROUP BY 1) SELECT {by}, round(c, 9) AS estimated_cost, total_tokens{last} FROM s {limit}"
 
 
 @query(_cost_sql("agent"))

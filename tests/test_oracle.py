@@ -14,7 +14,7 @@ NAMES = ["stats_by_model", "period_stats", "price_events", "collapse_router_days
 
 def plain(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted((tuple(None if v is None or v != v else round(float(v), 5) if isinstance(v, (int, float)) or hasattr(v, "dtype") else v for v in r) for r in frame.itertuples(index=False)), key=repr)
+    return sorted((tuple(None if v is None or v != v else float(v) if isinstance(v, (int, float)) or hasattr(v, "dtype") else v for v in r) for r in frame.itertuples(index=False)), key=repr)
 
 
 @pytest.mark.parametrize("name", NAMES)
