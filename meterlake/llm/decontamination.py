@@ -3,8 +3,11 @@
 A seed is a mask over a few consecutive tokens; positions where the mask is 0
 are ignored, so two passages that differ there still have equal seed hashes.
 Seeds of the benchmark's items are looked up at every token of every document.
-A hit lines an item up with a document; the overlap around it is extended as
-long as matches outweigh substitutions, and counts if it is long enough.
+A hit lines an item up with a document; the longest stretch so lined up of which
+enough tokens match is the overlap, and counts if it is long enough. The masks
+hit every such stretch: with at most one token in five substituted, there are
+four equal tokens in a row, or else three on either side of a substitution, or
+3 + 2 + 3 around two in a stretch of ten.
 
 Tokens are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. The
 benchmark is counted first and cut into blocks of bounded size; each block's
@@ -15,6 +18,7 @@ and a benchmark of any size can be searched.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,9 @@ from .common import LOWER, flat, read, slices, word_bounds
 from .repeats import word_values
 from .rolling import mix
 
-MASKS = ("11011101", "11101011", "10111011")
+MASKS = ("1111", "1110111", "1110110111")
+#: Items of fewer tokens are too short to tell from chance.
+SHORTEST = 8
 LEAK = "array<struct<item_id:bigint,overlap:int,matched:int,item_tokens:int,start:int>>"
 
 _letters = np.frombuffer(bytes(range(256)), np.uint8)
@@ -64,7 +70,7 @@ class Index:
             h = seeds(self.values, mask, k)
             at = np.arange(len(h))
             row = np.searchsorted(self.offsets, at, side="right") - 1
-            inside = at + len(mask) <= self.offsets[row + 1]
+            inside = (at + len(mask) <= self.offsets[row + 1]) & (np.diff(self.offsets)[row] >= SHORTEST)
             hashes.append(h[inside])
             places.append(at[inside])
         h, p = np.concatenate(hashes), np.concatenate(places)
@@ -91,44 +97,54 @@ class Index:
         pairs = np.concatenate(lines)
         row = np.searchsorted(rows, pairs[:, 0], side="right") - 1
         item = np.searchsorted(self.offsets, pairs[:, 1], side="right") - 1
-        shift = pairs[:, 0] - pairs[:, 1]
+        lined = np.unique(np.stack([row, item, pairs[:, 0] - pairs[:, 1]], axis=1), axis=0)
         found: list[dict[int, tuple[int, int, int, int, int]]] = [{} for _ in range(len(offsets) - 1)]
-        done: set[tuple[int, int, int]] = set()
-        order = np.lexsort((pairs[:, 0], shift, item, row))
-        for r, i, s, p in zip(row[order].tolist(), item[order].tolist(), shift[order].tolist(), pairs[order, 0].tolist(), strict=True):
-            known = (r, i, s)
-            if known in done:
-                continue
-            done.add(known)
+        for r, i, s in lined[self._enough(lined, values, rows)].tolist():
             a, b = int(self.offsets[i]), int(self.offsets[i + 1])
             lo, hi = max(a, int(rows[r]) - s), min(b, int(rows[r + 1]) - s)
-            same = self.values[lo:hi] == values[lo + s : hi + s]
-            for x, y, m in segments(same, self.identity):
-                if y - x >= min(self.least, -(-4 * (b - a) // 5)) and (i not in found[r] or y - x > found[r][i][1]):
-                    found[r][i] = (self.ids[i], y - x, m, b - a, lo + s + x - int(rows[r]))
+            x, y, m = longest(self.values[lo:hi] == values[lo + s : hi + s], self.identity)
+            if y - x >= self._need(b - a) and (i not in found[r] or y - x > found[r][i][1]):
+                found[r][i] = (self.ids[i], y - x, m, b - a, lo + s + x - int(rows[r]))
         return [list(f.values()) for f in found]
 
-
-def segments(same: np.ndarray, identity: float) -> list[tuple[int, int, int]]:
-    """(start, end, matches) of the best stretch: a match weighs 1 - identity, a substitution -identity; ends are matches."""
-    gain = np.where(same, 1 - identity, -identity)
-    total = np.concatenate(([0.0], np.cumsum(gain)))
-    low = np.minimum.accumulate(total[:-1])
-    rise = total[1:] - low
-    end = int(np.argmax(rise)) + 1 if len(rise) else 0
-    if not end or rise[end - 1] <= 0:
-        return []
-    start = int(np.argmin(total[:end]))
-    return [(start, end, int(same[start:end].sum()))]
+    def _need(self, size):
+        """Tokens that an overlap with an item of ``size`` tokens must have."""
+        return np.minimum(self.least, -(-4 * size // 5))
+
+    def _enough(self, lined: np.ndarray, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Which (row, item, shift) have as many matches in all as an overlap must have; most chance hits end here."""
+        row, item, shift = lined.T
+        need = self._need(np.diff(self.offsets)[item])
+        lo = np.maximum(self.offsets[item], rows[row] - shift)
+        size = np.minimum(self.offsets[item + 1], rows[row + 1] - shift) - lo
+        out = np.zeros(len(lined), bool)
+        for p, q in slices(np.concatenate(([0], np.cumsum(size)))):
+            n, first = size[p:q], np.cumsum(size[p:q]) - size[p:q]
+            at = np.repeat(lo[p:q] - first, n) + np.arange(int(n.sum()))
+            same = self.values[at] == values[at + np.repeat(shift[p:q], n)]
+            out[p:q] = np.add.reduceat(same.astype(np.int64), first) + 1e-9 >= self.identity * need[p:q]
+        return out
+
+
+def longest(same: np.ndarray, identity: float) -> tuple[int, int, int]:
+    """(start, end, matches) of the longest stretch of which at least ``identity`` match, the first of those with most matches."""
+    part = Fraction(identity).limit_denominator(1_000_000)
+    matches = np.concatenate(([0], np.cumsum(same)))
+    total = part.denominator * matches - part.numerator * np.arange(len(matches))
+    later = np.maximum.accumulate(total[::-1])[::-1]  # the most from here on, which never rises
+    end = np.searchsorted(-later, -total, side="right") - 1
+    size = end - np.arange(len(end))
+    start = int(np.lexsort((np.arange(len(end)), matches[np.arange(len(end))] - matches[end], -size))[0])
+    return start, int(end[start]), int(matches[end[start]] - matches[start])
 
 
 def flag_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", identity: float = 0.8, least: int = 13, block_chars: int = 16_000_000) -> DataFrame:
     """``docs`` with ``leaks``: the benchmark items found in each text.
 
     An item is found if a stretch lined up with it has at least ``least`` tokens
-    (or four fifths of a shorter item) of which ``identity`` match. Items of
-    fewer tokens than a mask are too short to tell from chance and never found;
-    null and empty texts hold none; an empty benchmark leaves all lists empty.
+    (or four fifths of a shorter item) of which ``identity`` match; the masks hit
+    all of these for the given ``least`` and an ``identity`` of 0.8 or more.
+    Items of fewer than ``SHORTEST`` tokens are never found; null and empty texts hold none; an empty benchmark leaves all lists empty.
     ``block_chars`` bounds the characters of the benchmark in one index.
     """
     asked = benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))

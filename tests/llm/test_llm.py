@@ -6,6 +6,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -228,6 +229,23 @@ def test_decontamination(spark):
     assert decontamination.flag_leaks(docs, bench.limit(0)).filter("size(leaks) > 0").count() == 0
 
 
+def test_decontamination_finds_all_that_qualifies():
+    """All places of substitutions in whole items, with unrelated tokens around, against all stretches of the line."""
+
+    def qualifies(same, need):
+        return any(5 * sum(same[x:y]) >= 4 * (y - x) for x in range(len(same)) for y in range(x + need, len(same) + 1))
+
+    for n, k in [(8, 1), (9, 2), (10, 2), (12, 2), (12, 3), (13, 3), (15, 3), (16, 1), (16, 2), (16, 4), (20, 3), (20, 4)]:
+        index = decontamination.Index([(1, " ".join(f"t{i}" for i in range(n)))])
+        places = list(combinations(range(n), k))
+        texts = [f"y{j} z{j} " + " ".join(f"x{j}" if i in p else f"t{i}" for i in range(n)) + f" v{j}" for j, p in enumerate(places)]
+        ends = np.cumsum([0, *(len(t) for t in texts)])
+        got = index.search(np.frombuffer("".join(texts).encode(), np.uint8), ends)
+        want = [qualifies([i not in p for i in range(n)], min(13, -(-4 * n // 5))) for p in places]
+        assert [bool(g) for g in got] == want, (n, k)
+    assert decontamination.longest(np.array([1, 0, 1, 1, 1, 1, 0, 0], bool), 0.8) == (0, 6, 5)
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     done = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
