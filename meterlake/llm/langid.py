@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import flat, read, slices, small_join
+from .common import flat, materialize, read, slices, small_join
 
 BLOCK = 1024
 #: One phrase, in the high bits of a table entry.
@@ -143,17 +143,16 @@ class Model:
 def learn(labelled: DataFrame, text: str, lang: str, texts: int = 100, chars: int = 300) -> Model:
     """Fit on a bounded sample: up to ``texts`` documents a language and ``chars`` folded characters from each.
 
-    Documents are chosen by a hash of their text: a hash threshold from the
-    languages' counts leaves a few times ``texts`` rows, then the first by hash
-    are kept, partially in each task. Rows whose text or label is null, or whose
-    text has no letter, are no examples; copies of a text count once.
+    Documents are chosen by a hash of their text: copies are merged first, then
+    the ``texts`` least hashes of each language are kept, partially in each task,
+    so that copies don't crowd out other texts. Rows whose text or label is null,
+    or whose text has no letter, are no examples.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    some = small_join(rows, counts, ["lang"], "inner").filter(share * F.col("n") < 40 * texts)
-    some = some.select("lang", F.xxhash64("text").alias("h"), F.substring(fold(F.substring("text", 1, 4 * chars)), 1, chars).alias("t")).dropDuplicates(["lang", "h"])
-    first = some.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= texts)
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    least = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= texts)
+    some = small_join(rows, materialize(least, "examples"), ["lang", "h"], "inner")
+    first = some.select("lang", "k", F.substring(fold(F.substring("text", 1, 4 * chars)), 1, chars).alias("t")).groupBy("lang", "k").agg(F.min("t").alias("t"))
     samples: dict[str, list[bytes]] = {}
     for r in first.orderBy("lang", "k").select("lang", "t").collect():  # languages x texts x chars, whatever the input
         samples.setdefault(r.lang, []).append(r.t.encode())

@@ -216,6 +216,15 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(odd, model).collect()} == {"und"}
 
 
+def test_language_examples_beside_many_copies(spark):
+    few = [(f"{a}{b} {b}{a} wort", "de") for a in "abcde" for b in "qrst"]
+    copies = spark.range(400_000).select(F.lit("same old words").alias("text"), F.lit("de").alias("lang"))
+    other = spark.createDataFrame([*few, ("zwei drei", "xx")], "text string, lang string")
+    model = langid.learn(copies.unionByName(other), "text", "lang")
+    assert model.languages == ["de", "xx"]
+    assert model.bits.tolist() == pytest.approx([np.log2(sum(len(t) for t, _ in few) + 14), np.log2(9)])
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     item = prose(rng, 30)
