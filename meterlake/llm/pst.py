@@ -1,23 +1,21 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 The root gives every word its smoothed share of the training tokens. Longer
-contexts are added depth by depth: those that cover at least ``context_share``
-of the training tokens are candidates, and a candidate is kept if its next
-words diverge from what its suffix predicts by more than the description length
-of its parameters. A kept context's distribution is discounted and smoothed with
-its suffix's; a token is scored in the longest kept suffix of what precedes it.
-
-All thresholds are shares of the training tokens, so the tree has at most
-1 / share contexts and events whatever the input, and is broadcast. The root's
-counts have no such bound: words are counted in hash buckets, and each piece of
-the corpus asks the buckets for the words that it holds. Both travel as packed
-arrays of word hashes; texts are shuffled once.
+contexts are added depth by depth: all that occur at least ``least`` times are
+candidates, and a candidate is kept if its next words diverge from what its
+suffix predicts by more than the description length of its parameters. A kept
+context's distribution is discounted and smoothed with its suffix's; a token is
+scored in the longest kept suffix of what precedes it.
+
+Counts grow with the input and stay in Spark: words, contexts and events are
+tables keyed by hash, fitted by aggregations and joins, and dealt into hash
+buckets for scoring. Each piece of the corpus asks the buckets for the keys that
+it holds; nothing but sums of one row reaches the driver. Texts are shuffled once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, flat, materialize, pieces, read, slices, word_bounds
 from .langid import held_out
 from .repeats import word_values
+from .rolling import mix
 
 #: Stands for the end of a text, and as a context for its beginning.
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
@@ -49,7 +48,7 @@ def token_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of keys by bucket (keys stay sorted within), the buckets that occur, and where each begins."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    bucket = keys.view(np.int64) % buckets  # as pmod of the signed key
     order = np.argsort(bucket, kind="stable")
     which, first = np.unique(bucket[order], return_index=True)
     return order, which, np.append(first, len(keys))
@@ -83,28 +82,10 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "keys": pa.array([keys[first].tobytes()], pa.binary()), "counts": pa.array([total.tobytes()], pa.binary()), "n": pa.array([int(total.sum())]), "v": pa.array([len(first)])})
 
 
-def _frequent(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, c in zip(batch.column("keys"), batch.column("counts"), strict=True):
-                keys, counts = np.frombuffer(k.as_py(), np.uint64), np.frombuffer(c.as_py(), np.int64)
-                keep = counts >= least
-                yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep])], ["word", "c"])
-
-    return run
-
-
-@dataclass
-class Depth:
-    """Contexts of one length. ``keys``: shorter context's number x words + last word, ascending; ``events``: context's number x words + next word."""
-
-    keys: np.ndarray
-    total: np.ndarray
-    suffix: np.ndarray
-    kept: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
-    back: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    events: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    gain: np.ndarray = field(default_factory=lambda: np.zeros(0))
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k, c in zip(batch.column("keys"), batch.column("counts"), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k.as_py(), np.int64)), pa.array(np.frombuffer(c.as_py(), np.int64))], ["key", "c"])
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -115,146 +96,81 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-@dataclass
-class Tree:
-    words: np.ndarray  # hashes of frequent words, ascending
-    counts: np.ndarray
-    n: int
-    v: int
-    depths: list[Depth] = field(default_factory=list)
-
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + 0.5) / (self.n + 0.5 * (self.v + 1))
-
-    def states(self, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Numbers of the tokens, and for each depth the number of the context before each token (-1: none)."""
-        k = len(self.words)
-        ids = _find(self.words, values)
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[first] = _find(self.words, np.array([END]))[0]
-        out: list[np.ndarray] = []
-        for d, depth in enumerate(self.depths):
-            if d == 0:
-                state = np.where(before >= 0, _find(depth.keys, before), -1)
-            else:
-                prior = np.empty_like(before)
-                prior[1:] = out[-1][:-1]
-                prior[first] = -1
-                state = np.where((prior >= 0) & (before >= 0), _find(depth.keys, prior * k + before), -1)
-            out.append(state)
-        return ids, out
-
-    def score(self, values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 of the root's probability, of the tree's) for each token."""
-        p = self.root(counts)
-        base = np.log10(p)
-        ids, states = self.states(values, first)
-        for depth, state in zip(self.depths, states, strict=True):
-            on = np.flatnonzero(state >= 0)
-            on = on[depth.kept[state[on]]]
-            s, w = state[on], ids[on]
-            event = np.where(w >= 0, _find(depth.events, s * len(self.words) + w), -1)
-            q = depth.back[s] * p[on]
-            hit = event >= 0
-            q[hit] += depth.gain[event[hit]]
-            p[on] = q
-        return base, np.log10(p)
-
-    def grow(self, depth: Depth, events: np.ndarray, counts: np.ndarray, discount: float) -> None:
-        """Fit the contexts of one depth from their events, and keep those that diverge from their suffixes."""
-        k = len(self.words)
-        order = np.argsort(events)
-        events, counts = events[order], counts[order].astype(float)
-        c, w = events // k, events % k
-        p = self.root(self.counts[w])
-        p = self._suffix_probability(w, p, depth.suffix[c])
-        total = depth.total[c].astype(float)
-        gain = (counts - discount) / total
-        taken, kinds = (np.bincount(c, x, len(depth.keys)) for x in (gain, np.ones(len(c))))
-        depth.back = np.maximum(1 - taken, 1e-12)
-        new = gain + depth.back[c] * p
-        # log-likelihood gained on the training tokens, the rest falling back by depth.back
-        rest = depth.total - np.bincount(c, counts, len(depth.keys))
-        gained = np.bincount(c, counts * np.log(new / p), len(depth.keys)) + np.maximum(rest, 0) * np.log(depth.back)
-        depth.kept = gained > 0.5 * (kinds + 1) * np.log(np.maximum(depth.total, 2))
-        depth.events, depth.gain = events, gain
-        self.depths.append(depth)
-
-    def _suffix_probability(self, w: np.ndarray, p: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """What contexts ``state`` of the greatest depth so far give words ``w``; ``p`` is the root's."""
-        chain = []
-        for level in range(len(self.depths) - 1, -1, -1):
-            chain.append((self.depths[level], state))
-            state = np.where(state >= 0, self.depths[level].suffix[state], -1)
-        for shorter, s in chain[::-1]:
-            on = np.flatnonzero(s >= 0)
-            on = on[shorter.kept[s[on]]]
-            event = _find(shorter.events, s[on] * len(self.words) + w[on])
-            q = shorter.back[s[on]] * p[on]
-            q[event >= 0] += shorter.gain[event[event >= 0]]
-            p[on] = q
-        return p
-
-
-def _count_events(shared, depth: Depth):
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of the gram whose first words are gram ``a`` and whose last words are gram ``b``."""
+    return mix(mix(a) + b)
+
+
+def levels(values: np.ndarray, first: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length of context, (places, context, its event's suffix, event) of the tokens that have one.
+
+    An event is a context and the next word; its suffix leaves out the first word.
+    """
+    place = np.arange(len(values)) - np.repeat(first, np.diff(np.append(first, len(values))))
+    gram, out = values, []
+    for d in range(depth):
+        context = np.empty_like(gram)
+        context[1:] = gram[:-1]
+        if d == 0:
+            context[first] = END
+        event = pair(context, gram)
+        at = np.flatnonzero(place >= d)
+        out.append((at, context[at], gram[at], event[at]))
+        gram = event
+    return out
+
+
+def _count_events(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = shared.value
-        probe = Tree(tree.words, tree.counts, tree.n, tree.v, [*tree.depths, depth])
         for batch in batches:
             buf, offsets = flat(batch.column(0))
             for lo, hi in slices(offsets, PIECE_BYTES):
                 values, rows = token_hashes(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                ids, states = probe.states(values, rows[:-1])
-                ok = (ids >= 0) & (states[-1] >= 0)
-                keys, counts = np.unique(states[-1][ok] * len(tree.words) + ids[ok], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], ["event", "c"])
+                _, context, suffix, event = levels(values, rows[:-1], depth)[-1]
+                _, at, c = np.unique(event, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(context[at].view(np.int64)), pa.array(suffix[at].view(np.int64)), pa.array(c.astype(np.int64))], ["context", "suffix", "c"])
 
     return run
 
 
-def fit(texts: DataFrame, counts: DataFrame, word_share: float = 2e-5, context_share: float = 1e-4, event_share: float = 1e-6, depth: int = 2, discount: float = 0.75) -> Tree:
-    """The tree for training ``texts`` (one column), whose words are counted in ``counts``.
+def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        context, suffix = (batch.column(x).to_numpy().view(np.uint64) for x in ("context", "suffix"))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pair(context, suffix).view(np.int64))], [*batch.schema.names, "key"])
 
-    At most 1 / share words, contexts and events of each depth reach the driver.
-    """
-    n, v = (int(x or 0) for x in counts.agg(F.sum("n"), F.sum("v")).first())
-    found = counts.select("keys", "counts").mapInArrow(_frequent(max(1.0, word_share * n)), "word long, c long").toArrow()
-    words, c = found.column("word").to_numpy().view(np.uint64), found.column("c").to_numpy()
-    order = np.argsort(words)
-    tree = Tree(words[order], c[order], n, v)
-    k = len(tree.words)
-    often = np.flatnonzero(tree.counts >= max(2.0, context_share * n))
-    level = Depth(often, tree.counts[often], np.full(len(often), -1))
-    for d in range(depth):
-        if not len(level.keys):
-            break
-        shared = texts.sparkSession.sparkContext.broadcast(tree)
-        rows = texts.mapInArrow(_count_events(shared, level), "event long, c long").groupBy("event").agg(F.sum("c").alias("c"))
-        got = rows.filter(F.col("c") >= max(2.0, event_share * n)).toArrow()
-        events, c = got.column("event").to_numpy(), got.column("c").to_numpy()
-        tree.grow(level, events, c, discount)
-        if d + 1 == depth:
-            break
-        by = np.argsort(events)
-        events, c = events[by], c[by]
-        end = _find(tree.words, np.array([END]))[0]
-        longer = (c >= max(2.0, context_share * n)) & (events % k != end)
-        keys, total = events[longer], c[longer]
-        parent, word = keys // k, keys % k
-        if d == 0:
-            suffix = _find(level.keys, word)
-        else:
-            shorter = level.suffix[parent]
-            suffix = np.where(shorter >= 0, _find(level.keys, shorter * k + word), -1)
-        level = Depth(keys, total, suffix)
-    return tree
 
+def fit(texts: DataFrame, counts: DataFrame, n: int, v: int, depth: int = 2, discount: float = 0.75, least: int = 2) -> DataFrame:
+    """(key, value, back) of the tree for training ``texts`` (one column), whose ``n`` tokens of ``v`` words are counted in ``counts``.
 
-def _ask(buckets: int):
+    ``value`` is a word's count or an event's discounted share in a kept context;
+    ``back`` is the share that a kept context leaves to its suffix. Contexts and
+    events that occur fewer than ``least`` times are left to their suffixes.
+    """
+    words = counts.select("keys", "counts").mapInArrow(_unpacked, "key long, c long")
+    out = words.select("key", F.col("c").cast("double").alias("value"), F.lit(None).cast("double").alias("back"))
+    shorter = words.filter(F.col("c") >= least).withColumn("p", (F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1)))
+    for d in range(1, depth + 1):
+        events = texts.mapInArrow(_count_events(d), "context long, suffix long, c long").groupBy("context", "suffix").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
+        # a gram occurs no more often than its parts, so the joins lose none
+        met = events.join(shorter.select(F.col("key").alias("context"), F.col("c").alias("total")), "context").join(shorter.select(F.col("key").alias("suffix"), "p"), "suffix")
+        met = materialize(met.withColumn("gain", (F.col("c") - discount) / F.col("total")), "events")
+        per = met.groupBy("context").agg(F.sum("gain").alias("taken"), F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("seen"), F.max("total").alias("all"))
+        per = per.withColumn("back", F.greatest(1 - F.col("taken"), F.lit(1e-12)))
+        # log-likelihood gained on the training tokens, the rest falling back by back
+        grown = met.join(per.select("context", "back"), "context").groupBy("context").agg(F.sum(F.col("c") * F.log((F.col("gain") + F.col("back") * F.col("p")) / F.col("p"))).alias("gained"))
+        gained = F.col("gained") + F.greatest(F.col("all") - F.col("seen"), F.lit(0)) * F.log("back")
+        kept = materialize(grown.join(per, "context").filter(gained > 0.5 * (F.col("kinds") + 1) * F.log(F.greatest("all", F.lit(2)))).select("context", "back"), "kept")
+        out = out.unionByName(kept.select(F.col("context").alias("key"), F.lit(None).cast("double").alias("value"), "back"))
+        fitted = met.join(kept, "context", "left").select("context", "suffix", "c", F.when(F.col("back").isNotNull(), F.col("gain")).alias("value"), F.coalesce(F.col("gain") + F.col("back") * F.col("p"), F.col("p")).alias("p"))
+        shorter = materialize(fitted.mapInArrow(_with_key, "context long, suffix long, c long, value double, p double, key long").select("key", "c", "p", "value"), "fitted")
+        out = out.unionByName(shorter.filter("value is not null").select("key", "value", F.lit(None).cast("double").alias("back")))
+    return out
+
+
+def _ask(buckets: int, depth: int):
     def run(table: pa.Table) -> pa.Table:
-        values, _ = token_hashes(*flat(table.column("text")))
-        keys = np.unique(values)
+        values, rows = token_hashes(*flat(table.column("text")))
+        keys = np.unique(np.concatenate([values, *(x for _, context, _, event in levels(values, rows[:-1], depth) for x in (np.unique(context), np.unique(event)))]))
         order, which, cut = _by_bucket(keys, buckets)
         keys = keys[order]
         packed = [keys[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
@@ -264,39 +180,50 @@ def _ask(buckets: int):
 
 
 def _answer(known: pa.Table, asked: pa.Table) -> pa.Table:
-    keys, counts = _joined(known.column("keys"), np.uint64), _joined(known.column("counts"), np.int64)
-    out: tuple[list, list, list] = ([], [], [])
+    keys = known.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    columns = [known.column(x).to_numpy()[order] for x in ("value", "back")]
+    out: tuple[list, list, list, list] = ([], [], [], [])
     for pid, wanted in zip(asked.column("pid"), asked.column("keys"), strict=True):
         want = np.frombuffer(wanted.as_py(), np.uint64)
         at = _find(keys, want)
         hit = at >= 0
         out[0].append(pid.as_py())
-        out[1].append(want[hit].tobytes())
-        out[2].append(counts[at[hit]].tobytes())
-    return pa.table({"pid": pa.array(out[0], pa.int32()), "keys": pa.array(out[1], pa.binary()), "counts": pa.array(out[2], pa.binary())})
+        for x, y in zip(out[1:], (want[hit], *(c[at[hit]] for c in columns)), strict=True):
+            x.append(y.tobytes())
+    return pa.table({"pid": pa.array(out[0], pa.int32()), **{x: pa.array(y, pa.binary()) for x, y in zip(("keys", "value", "back"), out[1:], strict=True)}})
 
 
-def _score(shared, key: str):
+def _score(n: int, v: int, depth: int, key: str):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        tree: Tree = shared.value
-        keys, counts = _joined(answers.column("keys"), np.uint64), _joined(answers.column("counts"), np.int64)
+        keys, value, back = (_joined(answers.column(x), kind) for x, kind in (("keys", np.uint64), ("value", np.float64), ("back", np.float64)))
         order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
+        keys, value, back = keys[order], value[order], back[order]
+
+        def get(column: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+            at = _find(keys, wanted)
+            got = np.full(len(wanted), default)
+            got[at >= 0] = column[at[at >= 0]]
+            return got
+
         buf, offsets = flat(docs.column("text"))
         out = []
         for lo, hi in slices(offsets, 4 << 20):
             values, rows = token_hashes(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            at = _find(keys, values)
-            c = np.where(at >= 0, counts[at], 0) if len(counts) else np.zeros(len(values), np.int64)
-            base, full = tree.score(values, rows[:-1], c)
-            out.append([np.diff(rows), *(np.add.reduceat(x, rows[:-1]) for x in ((c > 0).astype(np.int64), base, full))])
+            c = get(value, values, 0.0)
+            p = (c + 0.5) / (n + 0.5 * (v + 1))
+            base = np.log10(p)
+            for at, context, _, event in levels(values, rows[:-1], depth):
+                p[at] = get(value, event, 0.0) + get(back, context, 1.0) * p[at]
+            out.append([np.diff(rows), *(np.add.reduceat(x, rows[:-1]) for x in ((c > 0).astype(np.int64), base, np.log10(p)))])
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
         return pa.table({key: docs.column(key), "held_out": docs.column("held_out"), "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64())})
 
     return run
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", held: str = "held_out", **options) -> DataFrame:
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", held: str = "held_out", depth: int = 2, **options) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row, learning from rows not ``held``.
 
     A null or empty text is its end alone. Without training rows every token has
@@ -307,14 +234,15 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", held:
     train = rows.filter(~F.col("held_out")).select("text")
     counts = train.mapInArrow(_count_words(size), PACKED).groupBy("bucket").applyInArrow(_merge, "bucket int, keys binary, counts binary, n long, v long")
     counts = materialize(counts, "words")
-    tree = fit(train, counts, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    n, v = (int(x or 0) for x in counts.agg(F.sum("n"), F.sum("v")).first())
+    tree = fit(train, counts, n, v, depth, **options).groupBy("key").agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("value"), F.coalesce(F.max("back"), F.lit(1.0)).alias("back"))
+    known = tree.withColumn("bucket", F.pmod("key", F.lit(size)).cast("int"))
     dealt = rows.withColumn("pid", F.pmod(F.xxhash64(key, "text"), F.lit(size)).cast("int")).repartition("pid")
-    asked = dealt.groupBy("pid").applyInArrow(_ask(size), "bucket int, pid int, keys binary")
-    answers = counts.select("bucket", "keys", "counts").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_answer, "pid int, keys binary, counts binary")
+    asked = dealt.groupBy("pid").applyInArrow(_ask(size, depth), "bucket int, pid int, keys binary")
+    answers = known.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_answer, "pid int, keys binary, value binary, back binary")
     kind = docs.schema[key].dataType.simpleString()
-    done = dealt.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_score(shared, key), f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return done.withColumn("train_tokens", F.lit(tree.n).cast("long"))
+    done = dealt.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_score(n, v, depth, key), f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return done.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
 def op7_language_model(spark, sf_dir: str) -> DataFrame:

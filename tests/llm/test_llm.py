@@ -205,6 +205,57 @@ def test_language_model(spark):
     assert pst.score_texts(df.limit(0)).count() == 0
 
 
+def brute_scores(train, texts, discount=0.75):
+    """log10 probabilities of texts (lists of words) by contexts of up to two words in plain dicts."""
+    grams = [Counter(), Counter(), Counter()]
+    for t in train:
+        t = [*t, "/"]
+        grams[0].update((w,) for w in t)
+        for d in (1, 2):
+            grams[d].update(tuple(["/", *t][i : i + d + 1]) for i in range(len(t) + 1 - d))
+    n, v = sum(grams[0].values()), len(grams[0])
+    root = lambda w: (grams[0][(w,)] + 0.5) / (n + 0.5 * (v + 1))
+    kept = [{}, {}]
+
+    def p(context, w):
+        if not context:
+            return root(w)
+        q = p(context[1:], w)
+        if context not in kept[len(context) - 1]:
+            return q
+        total, back = kept[len(context) - 1][context]
+        c = grams[len(context)][(*context, w)]
+        return ((c - discount) / total if c >= 2 else 0) + back * q
+
+    for d in (1, 2):
+        by = {}
+        for g, c in grams[d].items():
+            if c >= 2:
+                by.setdefault(g[:-1], {})[g[-1]] = c
+        for context, nexts in by.items():
+            total = grams[d - 1][context]
+            back = 1 - sum((c - discount) / total for c in nexts.values())
+            gained = sum(c * np.log(((c - discount) / total + back * p(context[1:], w)) / p(context[1:], w)) for w, c in nexts.items())
+            if gained + (total - sum(nexts.values())) * np.log(back) > 0.5 * (len(nexts) + 1) * np.log(total):
+                kept[d - 1][context] = total, back
+    return [sum(np.log10(p(tuple(["/", *t][max(0, i - 1) : i + 1]), w)) for i, w in enumerate([*t, "/"])) for t in texts]
+
+
+def test_language_model_keeps_contexts_of_small_share(spark):
+    """A context seen 6 times in over 100,000 tokens counts, whatever its share; all scores as by brute force."""
+    rng = random.Random(2)
+    texts = [[rng.choice(WORDS) for _ in range(200)] for _ in range(520)]
+    for t in texts[:6]:
+        t[50:53] = ["rare", "pair", "here"]
+    texts += [["rare", "pair", "here"], ["w1", "rare", "w2"]]
+    held = [i >= 518 for i in range(len(texts))]
+    df = spark.createDataFrame([(i, " ".join(t), h) for i, (t, h) in enumerate(zip(texts, held, strict=True))], "doc_id long, text string, held_out boolean")
+    got = {r.doc_id: r for r in pst.score_texts(df).collect()}
+    want = brute_scores([t for t, h in zip(texts, held, strict=True) if not h], texts)
+    assert [got[i].score for i in range(len(texts))] == pytest.approx(want)
+    assert got[520].score > got[520].base_score + 5
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labelled = docs.withColumn("held", langid.held_out())
