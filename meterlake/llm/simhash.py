@@ -31,6 +31,8 @@ from .rolling import mix
 
 EVEN = np.uint64(0x5555555555555555)
 PAIRS = np.uint64(0x3333333333333333)
+#: Sets of fewer shingles are compared without a look at their signatures, which say little of them.
+FEW = 64
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -126,6 +128,23 @@ def search(n: int, near) -> list[tuple[int, int]]:
     return out
 
 
+def _whole_cells(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """``work`` on tables that end with a cell, of rows that come sorted by cell."""
+    held = None
+    for batch in batches:
+        more = pa.Table.from_batches([batch])
+        held = pa.concat_tables([held, more]) if held is not None else more
+        cell = held.column("cell")
+        last = cell[-1].as_py()
+        if cell[0].as_py() != last:
+            keys = cell.to_numpy()
+            cut = int(np.flatnonzero(keys != last)[-1]) + 1
+            yield work(held.slice(0, cut))
+            held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield work(held)
+
+
 def _in_cells(radius: int, width: int):
     """Links within cells. Rows come sorted by cell; ``width`` 8-byte words of ``sig`` are compared, or the node itself."""
 
@@ -167,19 +186,7 @@ def _in_cells(radius: int, width: int):
                     b.append(node[pair[:, 1]])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)], ["a", "b"])
 
-        held = None
-        for batch in batches:
-            more = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, more]) if held is not None else more
-            cell = held.column("cell")
-            last = cell[-1].as_py()
-            if cell[0].as_py() != last:
-                keys = cell.to_numpy()
-                cut = int(np.flatnonzero(keys != last)[-1]) + 1
-                yield work(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield work(held)
+        yield from _whole_cells(batches, work)
 
     return run
 
@@ -213,9 +220,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def _sketches(shingle: int, samples: int, size: int, words: int):
-    """Per text: ``samples`` SimHash fingerprints over the ``size`` least shingles under one order each, and one of ``words`` x 64 bits over all."""
+    """Per text: ``samples`` SimHash fingerprints over the ``size`` least shingles under one order each, one of ``words`` x 64 bits over all, and the number of shingles."""
 
-    def row(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def row(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         h = np.unique(h)  # a set
         cells = np.zeros(samples, np.uint64)
         for i in range(samples):
@@ -225,39 +232,130 @@ def _sketches(shingle: int, samples: int, size: int, words: int):
         sig = np.zeros(words, np.uint64)
         for i in range(words):
             sig[i] = fingerprint(mix(h + np.uint64(i * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)))
-        return cells, sig
+        return cells, sig, len(h)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = flat(batch.column("text_"))
             node = batch.column("node").to_numpy()
             for lo, hi in slices(offsets, 4 << 20):
-                a = offsets[lo]
-                raw = LOWER[buf[a : offsets[hi]]].tobytes()
-                got = [row(shingle_hashes(raw[x - a : y - a], shingle)) for x, y in zip(offsets[lo:hi].tolist(), offsets[lo + 1 : hi + 1].tolist(), strict=True)]
-                cells = np.stack([g[0] for g in got]).view(np.int64)
-                sig = [g[1].tobytes() for g in got]
-                for i in range(samples):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(cells[:, i])), pa.array(node[lo:hi]), pa.array(sig, pa.binary())], ["cell", "node", "sig"])
+                got = [row(h) for h in _shingles(buf, offsets[lo : hi + 1], shingle)]
+                cells = pa.array([g[0].view(np.int64) for g in got], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([cells, pa.array(node[lo:hi]), pa.array([g[1].tobytes() for g in got], pa.binary()), pa.array([g[2] for g in got], pa.int64())], ["cells", "node", "sig", "size"])
+
+    return run
+
+
+def _shingles(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np.ndarray]:
+    a = offsets[0]
+    raw = LOWER[buf[a : offsets[-1]]].tobytes()
+    return [shingle_hashes(raw[x - a : y - a], shingle) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def _sets(shingle: int):
+    """Per text: its shingles' hashes, ascending, as packed bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = flat(batch.column("text_"))
+            for lo, hi in slices(offsets, 4 << 20):
+                got = [np.unique(h).tobytes() for h in _shingles(buf, offsets[lo : hi + 1], shingle)]
+                yield pa.RecordBatch.from_arrays([batch.column("node")[lo:hi], pa.array(got, pa.binary())], ["node", "set"])
+
+    return run
+
+
+def _candidates(similarity: float, limit: int, width: int, labelled: bool):
+    """Pairs within cells that may be similar: those by which a search reaches each member; if ``labelled``, all whose labels differ."""
+
+    def work(table: pa.Table) -> pa.RecordBatch:
+        cell, node, size = (table.column(c).to_numpy() for c in ("cell", "node", "size"))
+        label = table.column("label").to_numpy() if labelled else node
+        sig = flat(table.column("sig"))[0].view(np.uint64).reshape(-1, width)
+
+        def near(i: int, rest: np.ndarray) -> np.ndarray:
+            few, many = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
+            bits = np.bitwise_count(sig[rest] ^ sig[i]).sum(axis=1, dtype=np.int64)
+            return (few + 1e-9 >= similarity * many) & ((bits <= limit) | (few < FEW))
+
+        a, b = [], []
+        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        for f, n in zip(first.tolist(), np.diff(np.append(first, len(cell))).tolist(), strict=True):
+            if n == 1:
+                continue
+            rest = np.arange(f, f + n)
+            if labelled:  # every pair of two labels has a member outside the most common one
+                names, which = np.unique(label[rest], return_inverse=True)
+                for i in rest[which != np.argmax(np.bincount(which))].tolist() if len(names) > 1 else []:
+                    hit = rest[label[rest] != label[i]]
+                    hit = hit[near(i, hit)]
+                    a.append(np.full(len(hit), node[i]))
+                    b.append(node[hit])
+                continue
+            while len(rest) > 1:
+                front, rest = [int(rest[0])], rest[1:]
+                while front and len(rest):
+                    i = front.pop()
+                    hit = near(i, rest)
+                    a.append(np.full(int(hit.sum()), node[i]))
+                    b.append(node[rest[hit]])
+                    front.extend(rest[hit].tolist())
+                    rest = rest[~hit]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)], ["a", "b"])
+
+    return lambda batches: _whole_cells(batches, work)
+
+
+def _similar(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both + 1e-9 >= similarity * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, samples: int = 12, size: int = 3, words: int = 16) -> DataFrame:
-    """(node, root): texts (by 64-bit hash) whose shingle sets have a Jaccard similarity of about ``similarity`` or more, as components.
+    """(node, root): texts (by 64-bit hash) whose shingle sets have a Jaccard similarity of ``similarity`` or more, as components.
 
     A 64-bit fingerprint of a whole text is too coarse for this: at similarity
     0.8 two texts differ in about 10 of 64 bits. So candidates meet by SimHash
     fingerprints of small samples (the ``size`` least shingles under each of
-    ``samples`` orders), and are verified on a fingerprint of ``words`` x 64
-    bits: at similarity s, shingle vectors have cosine 2s / (1 + s), and the
-    share of differing bits is the angle over pi.
+    ``samples`` orders). A fingerprint of ``words`` x 64 bits leaves out those far
+    below: at similarity s, shingle vectors have cosine 2s / (1 + s), the share of
+    differing bits is the angle over pi, and five deviations more are let pass, as
+    are sets of fewer than ``FEW`` shingles. The rest are compared by their sets.
+
+    First the pairs by which a search reaches a cell's members are compared; then
+    all pairs of a cell that these comparisons left in different components.
     """
-    limit = int(words * 64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = words * 64
+    limit = int(bits * share + 5 * np.sqrt(bits * share * (1 - share)))
     t = F.coalesce(F.col(text), F.lit(""))
     distinct = docs.select(F.xxhash64(t).alias("node"), t.alias("text_")).dropDuplicates(["node"])
-    cells = distinct.mapInArrow(_sketches(shingle, samples, size, words), "cell long, node long, sig binary")
-    return components(links_in_cells(cells, limit, words))
+    sketches = materialize(distinct.mapInArrow(_sketches(shingle, samples, size, words), "cells array<long>, node long, sig binary, size long"), "sketches")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = docs.select(F.xxhash64(t).alias("node"), t.alias("text_")).join(nodes, "node").dropDuplicates(["node"])
+        sets = materialize(asked.mapInArrow(_sets(shingle), "node long, set binary"), "sets")
+        met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        return materialize(met.mapInArrow(_similar(similarity), "a long, b long"), "similar")
+
+    def candidates(rows: DataFrame, labelled: bool) -> DataFrame:
+        cells = rows.withColumn("cell", F.explode("cells")).drop("cells")
+        return cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_candidates(similarity, limit, words, labelled), "a long, b long")
+
+    links = similar(candidates(sketches, False))
+    labels = components(links).withColumnRenamed("root", "label")
+    more = similar(candidates(sketches.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), True))
+    return components(links.unionByName(more))
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

@@ -119,6 +119,32 @@ def test_near_fingerprints_against_all_pairs(spark):
     assert of == {x: root[x] for p in pairs for x in p}
 
 
+def test_similar_texts_against_all_pairs(spark):
+    """Pairs just above and below 0.8, and chains of them, by exact Jaccard similarity of five-word shingles."""
+    rng = random.Random(11)
+    texts = ["", " "]
+    for n in (20, 120, 300):
+        for _ in range(12):
+            base = prose(rng, n).split()
+            cuts = [round(n * x) for x in (0.76, 0.79, 0.8, 0.81, 0.84)]
+            texts += [" ".join(base), *(" ".join([*base[:k], *(["new"] if k % 2 else [])]) for k in cuts)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    root = list(range(len(texts)))
+    close = [[j for j in range(len(texts)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])] for i in range(len(texts))]
+    for _ in texts:
+        root = [min(root[j] for j in close[i]) for i in range(len(texts))]
+    for k in range(6):  # a part of the texts at a time, so that pairs aren't joined by their neighbours
+        some = sorted({0, 1, *range(2, len(texts), 6), *range(2 + k, len(texts), 6)}) if k else list(range(len(texts)))
+        df = spark.createDataFrame([(i, texts[i]) for i in some], "doc_id long, text string")
+        of = {r.node: r.root for r in simhash.similar_texts(df).collect()}
+        node = {r.doc_id: r.node for r in df.select("doc_id", F.xxhash64("text").alias("node")).collect()}
+        got = {(i, j) for i in some for j in some if of.get(node[i], node[i]) == of.get(node[j], node[j])}
+        if k:
+            assert got == {(i, j) for i in some for j in some if j in close[i]}, k
+        else:
+            assert got == {(i, j) for i in some for j in some if root[i] == root[j]}
+
+
 def test_sharding(spark, docs):
     rows = docs.select("doc_id", "text")
     a = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.assign_shards(rows, F.col("doc_id"), [1.0] * 24, grown=1.0).collect()}
