@@ -36,22 +36,67 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where unset, as in tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, local mode takes a temporary folder; a cluster is an error."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="meterlake-"))
         where = sc.getCheckpointDir()
     return where.rstrip("/")
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/meterlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/meterlake/{name}-{uuid.uuid4().hex}"
+    path = _scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clustered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Like ``materialize``, but bucketed by ``keys``: joins with the table by these keys don't shuffle it again."""
+    spark = df.sparkSession
+    path, table = _scratch(spark, name), f"meterlake_{name}_{uuid.uuid4().hex}"
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    df.write.bucketBy(buckets, *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all tables that this application's operators have written; their results can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/meterlake/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for table in spark.catalog.listTables():
+        if table.name.startswith("meterlake_"):
+            spark.sql(f"DROP TABLE `{table.name}`")
+
+
+def aside(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with columns that have one of ``names`` renamed by a trailing ``_in``, so that a result can have the name."""
+    taken = {c.lower() for c in df.columns} | {n.lower() for n in names}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            new = c
+            while new.lower() in taken:
+                new += "_in"
+            taken.add(new.lower())
+            df = df.withColumnRenamed(c, new)
+    return df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have: ``name``, if need be with underscores."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; nulls are empty. ``offsets`` has one more entry than the column."""
     if isinstance(column, pa.ChunkedArray):
@@ -101,9 +146,10 @@ def small_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "le
     """
     if dim.count() <= limit:
         return facts.join(F.broadcast(dim), keys, how)
-    salted = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    name = fresh(facts, "salt")
+    salted = dim.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.xxhash64(*[c for c in facts.columns if c not in keys] or keys), F.lit(salts)).cast("int")
-    return facts.withColumn("_salt", salt).join(salted, [*keys, "_salt"], how).drop("_salt")
+    return facts.withColumn(name, salt).join(salted, [*keys, name], how).drop(name)
 
 
 def pieces(total_bytes: int, each: int, least: int = 1) -> int:

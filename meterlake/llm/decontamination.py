@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, flat, read, slices, word_bounds
-from .repeats import word_values
-from .rolling import mix
+from .rolling import mix, word_values
 
 MASKS = ("1111", "1110111", "1110110111")
 #: Items of fewer tokens are too short to tell from chance.

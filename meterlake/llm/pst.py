@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, flat, materialize, pieces, read, slices, word_bounds
 from .langid import held_out
-from .repeats import word_values
-from .rolling import mix
+from .rolling import mix, word_values
 
 #: Stands for the end of a text, and as a context for its beginning.
 END = np.uint64(0x0E0D0E0D0E0D0E0D)

@@ -3,21 +3,19 @@
 Shared by the byte-level (suffix sort) and the word-level (Rabin-Karp) substring
 deduplication. A symbol is a byte or a word. The plan:
 
-1. *Anchors.* Every window picks its least ``gram``-symbol hash (a minimiser), so
+1. *Texts.* Distinct texts are written once, bucketed by two independent hashes
+   (64 and 32 bits), so no later join shuffles them again.
+2. *Anchors.* Every window picks its least ``gram``-symbol hash (a minimiser), so
    equal windows pick equal grams. A text of L symbols has about
    ``2 L / (n - gram)`` anchors; each owns a run of consecutive windows, its
-   *block*. One slim row per anchor: (gram hash, block hash, text key, place).
-2. *Blocks.* Spark counts blocks. A block that occurs twice repeats as a whole.
-   A gram with one distinct block only needs no more work. For the others, one
-   copy of each distinct block is looked at window by window.
-3. *Windows.* ``by_hash`` counts (gram, window hash) rows with Spark's partial
-   aggregation; the byte operator suffix-sorts blocks instead (see
-   ``suffix_dedup``) and uses ``by_hash`` for grams with very many blocks.
-4. *Removal.* Repeated windows become intervals of each text, joined to the
-   distinct texts by key.
-
-Texts are keyed by two independent hashes (64 and 32 bits), and the distinct
-texts are shuffled once: the two joins with them use the same exchange.
+   *block*. One slim row per anchor: (gram hash, block digest, text key, place).
+   Gram hash and digest are independent 64-bit hashes of the block's content.
+3. *Blocks.* Spark counts blocks. Grams with a single block that occurs once need
+   no more work; the operator (``suffix_dedup``, ``window_dedup``) finds the
+   repeated windows of the others.
+4. *Removal.* Repeated windows become intervals of each text. Tables of runs are
+   written before they are joined to the anchors, so that both sides of the join
+   are plain shuffles and Spark splits the hot block of a very common passage.
 """
 
 from __future__ import annotations
@@ -29,13 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, flat, materialize, slices, word_bounds
-from .rolling import SYMBOL, anchors, mix, prefix, stretch, windows
+from .common import STEP_BYTES, clustered, flat, materialize, slices, word_bounds
+from .rolling import SPAN, anchors, byte_values, digests, mix, prefix, stretch, word_values
 
 KEY = ["k1", "k2"]
 OCCURRENCE = "ah long, bh long, k1 long, k2 int, ws int, nw int, ap int"
-WINDOW = "ah long, bh long, wh long, at int"
-SPANS = "array<struct<s:int,e:int>>"
 
 
 def keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -44,30 +40,19 @@ def keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumns({"text_": t, "k1": F.xxhash64(t), "k2": F.hash(F.lit(7), t)})
 
 
-def distinct_texts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*KEY).agg(F.first("text_").alias("text_"), F.count(F.lit(1)).alias("copies"))
+def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
+    """(k1, k2, text_, copies), bucketed by key."""
+    rows = keyed(docs.select(F.col(text).alias("text_")), "text_")
+    return clustered(rows.groupBy(*KEY).agg(F.first("text_").alias("text_"), F.count(F.lit(1)).alias("copies")), KEY, "texts")
 
 
-def symbols(buf: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit values of the symbols, and where each row's symbols begin."""
+def symbols(buf: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """64-bit values of the symbols, what digests are taken of, where each row's symbols begin, and by how much a symbol reaches beyond its place."""
     if unit == "byte":
-        return SYMBOL[buf], offsets
+        return byte_values(buf), buf, offsets, SPAN - 1
     starts, ends, rows = word_bounds(buf, offsets)
-    return word_values(buf, starts, ends), rows
-
-
-def word_values(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word."""
-    out = np.zeros(len(starts), np.uint64)
-    lo = 0
-    while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + STEP_BYTES)))
-        base = starts[lo]
-        h = prefix(SYMBOL[buf[base : ends[hi - 1]]])
-        s, e = starts[lo:hi] - base, ends[lo:hi] - base
-        out[lo:hi] = mix(stretch(h, s, e) ^ (e - s).astype(np.uint64))
-        lo = hi
-    return out
+    values = word_values(buf, starts, ends)
+    return values, values, rows, 0
 
 
 def _parts(offsets: np.ndarray, n: int) -> Iterator[tuple[int, int, np.ndarray, int, int]]:
@@ -84,24 +69,24 @@ def _parts(offsets: np.ndarray, n: int) -> Iterator[tuple[int, int, np.ndarray,
                 break
 
 
-def occurrences(values: np.ndarray, offsets: np.ndarray, n: int, gram: int) -> dict[str, np.ndarray]:
-    """All anchors of some rows: row, gram hash, block hash, first window's start in its row, number of windows."""
+def occurrences(buf: np.ndarray, offsets: np.ndarray, unit: str, n: int, gram: int) -> dict[str, np.ndarray]:
+    """All anchors of some rows: row, gram hash, block digest, first window's start in its row, number of windows, distance of the gram from it."""
+    values, content, offsets, reach = symbols(buf, offsets, unit)
     out: dict[str, list[np.ndarray]] = {k: [] for k in ("row", "ah", "bh", "ws", "nw", "ap")}
     for a, b, offs, row, base in _parts(offsets, n):
         if b - a < n:
             continue
-        h = prefix(values[a:b])
+        h = prefix(values[a : b - reach])
         ends = np.maximum(offs[1:] - n + 1, offs[:-1])
         step = np.zeros(b - a + 1, np.int64)
         np.add.at(step, offs[:-1], 1)
         np.add.at(step, ends, -1)
         valid = np.cumsum(step)[: b - a - n + 1] > 0
-        ah, pos, first, last = anchors(h, n, gram)
+        ah, pos, first, last = anchors(h, n - reach, gram - reach)
         # a run of windows with one pick may span rows: cut it where windows cross rows
         cut = np.zeros(len(valid) + 1, bool)
         cut[first] = True
-        edge = np.flatnonzero(valid[1:] != valid[:-1]) + 1
-        cut[edge] = True
+        cut[np.flatnonzero(valid[1:] != valid[:-1]) + 1] = True
         begin = np.flatnonzero(cut[:-1])
         end = np.append(begin[1:], len(valid))
         keep = valid[begin]
@@ -110,7 +95,7 @@ def occurrences(values: np.ndarray, offsets: np.ndarray, n: int, gram: int) -> d
         r = np.searchsorted(offs, begin, side="right") - 1
         out["row"].append(r + row)
         out["ah"].append(ah[which])
-        out["bh"].append(mix(stretch(h, begin, end - 1 + n) ^ (end - begin).astype(np.uint64)))
+        out["bh"].append(digests(content, a + begin, a + end - 1 + n))
         out["ws"].append(begin - offs[r] + base)
         out["nw"].append(end - begin)
         out["ap"].append(pos[which] - begin)
@@ -128,8 +113,7 @@ def anchor_rows(unit: str, n: int, gram: int) -> Callable:
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             for lo, hi in slices(offsets, 4 * STEP_BYTES):
                 a = offsets[lo]
-                values, rows = symbols(buf[a : offsets[hi]], offsets[lo : hi + 1] - a, unit)
-                x = occurrences(values, rows, n, gram)
+                x = occurrences(buf[a : offsets[hi]], offsets[lo : hi + 1] - a, unit, n, gram)
                 r = x["row"] + lo
                 yield pa.RecordBatch.from_arrays([_long(x["ah"]), _long(x["bh"]), pa.array(k1[r]), pa.array(k2[r]), pa.array(x["ws"].astype(np.int32)), *(pa.array(x[c].astype(np.int32)) for c in ("nw", "ap"))], ["ah", "bh", "k1", "k2", "ws", "nw", "ap"])
 
@@ -143,69 +127,23 @@ def struct_lists(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return np.concatenate(([0], np.cumsum(lengths))), {f.name: flat_.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat_.type)}
 
 
-def _window_rows(unit: str, n: int) -> Callable:
-    """(gram, block, window hash, place in the block) of each window of the blocks asked for."""
+def anchors_of(texts: DataFrame, unit: str, n: int, gram: int) -> DataFrame:
+    return materialize(texts.select("text_", *KEY).mapInArrow(anchor_rows(unit, n, gram), OCCURRENCE), "anchors")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offsets = flat(batch.column("text_"))
-            at, want = struct_lists(batch.column("want"))
-            for i in range(batch.num_rows):
-                lo, hi = at[i], at[i + 1]
-                if lo == hi:
-                    continue
-                part = buf[offsets[i] : offsets[i + 1]]
-                values, _ = symbols(part, np.array([0, len(part)]), unit)
-                ws, nw = want["ws"][lo:hi].astype(np.int64), want["nw"][lo:hi].astype(np.int64)
-                for j in range(0, hi - lo, 4096):  # a few million windows at a time
-                    s, m = ws[j : j + 4096], nw[j : j + 4096]
-                    which = np.repeat(np.arange(len(s)), m)
-                    place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                    start = s[which] + place
-                    first, end = int(start.min()), int(start.max()) + n
-                    h = prefix(values[first:end])
-                    wh = mix(stretch(h, start - first, start - first + n))
-                    yield pa.RecordBatch.from_arrays([pa.array(want["ah"][lo + j : hi][which]), pa.array(want["bh"][lo + j : hi][which]), _long(wh), pa.array(place.astype(np.int32))], ["ah", "bh", "wh", "at"])
 
-    return run
+def asked_of(texts: DataFrame, blocks: DataFrame, fields: list[str]) -> DataFrame:
+    """Texts with the list of their blocks that are asked for."""
+    want = blocks.groupBy(*KEY).agg(F.collect_list(F.struct(*fields)).alias("want"))
+    return texts.join(want, KEY)
 
 
-def by_hash(asked: DataFrame, unit: str, n: int, stored: bool = False) -> DataFrame:
-    """(ah, bh, s, e): windows of the asked blocks whose (gram, window hash) occurs in them more than once, counted by Spark.
-
-    ``stored`` writes the windows once; else they are hashed for the count and again for the join with it.
-    """
-    rows = asked.mapInArrow(_window_rows(unit, n), WINDOW)
-    rows = materialize(rows, "windows") if stored else rows
-    twice = rows.groupBy("ah", "wh").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("ah", "wh")
-    return rows.join(twice, ["ah", "wh"], "left_semi").select("ah", "bh", F.col("at").alias("s"), (F.col("at") + 1).alias("e"))
-
-
-def find_repeats(rows: DataFrame, texts: DataFrame, unit: str, n: int, gram: int, fine: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """(k1, k2, spans): for each text with windows that occur elsewhere, their intervals in symbols.
-
-    ``fine(texts, blocks)`` gets one row (ah, bh, k1, k2, ws, nw, blocks) per
-    distinct block of a gram with several, and returns (ah, bh, s, e) runs of
-    repeated windows counted from the block's first.
-    """
-    occ = materialize(rows.select("text_", *KEY).mapInArrow(anchor_rows(unit, n, gram), OCCURRENCE), "anchors")
-    blocks = occ.groupBy("ah", "bh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "ws", "nw", "ap")).alias("one"))
-    several = blocks.groupBy("ah").agg(F.count(F.lit(1)).alias("blocks")).filter("blocks > 1")
-    reps = materialize(blocks.join(several, "ah", "left").filter("c > 1 or blocks > 1").select("ah", "bh", "c", "one.*", "blocks"), "blocks")
-    whole = reps.filter("c > 1").select("ah", "bh", F.lit(0).alias("s"), F.col("nw").alias("e"))
-    partly = fine(texts, reps.filter("blocks > 1").drop("c"))
-    partly = partly.join(reps.filter("c > 1").select("ah", "bh"), ["ah", "bh"], "left_anti")
-    runs = whole.unionByName(partly).groupBy("ah", "bh").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+def spans_of(occ: DataFrame, runs: DataFrame, n: int) -> DataFrame:
+    """(k1, k2, spans): intervals in symbols of each text from runs (ah, bh, s, e) of repeated windows, counted from their block's first."""
+    runs = materialize(runs.groupBy("ah", "bh").agg(F.collect_set(F.struct("s", "e")).alias("runs")), "runs")
     spans = occ.join(runs, ["ah", "bh"]).select(*KEY, F.expr(f"transform(runs, r -> named_struct('s', ws + r.s, 'e', ws + r.e + {n - 1}))").alias("spans"))
     return spans.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def asked_of(texts: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Texts with the list of their blocks that are asked for."""
-    want = blocks.groupBy(*KEY).agg(F.collect_list(F.struct("ah", "bh", "ws", "nw", "ap")).alias("want"))
-    return texts.join(want, KEY)
-
-
 def covered(start: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the union of intervals; touching ones merge."""
     step = np.zeros(length + 1, np.int64)

@@ -1,21 +1,30 @@
 """Polynomial prefix hashes, window hashes and minimisers over numpy arrays.
 
-Hashes are polynomials modulo 2**64 with an odd base over random 64-bit symbol
-values. ``prefix`` holds running sums, so the hash of any stretch takes two
-look-ups and a multiplication with a power of the base's inverse.
+Hashes are polynomials modulo 2**64 with an odd base over 64-bit symbol values.
+``prefix`` holds running sums, so the hash of any stretch takes two look-ups and
+a multiplication with a power of the base's inverse.
+
+A polynomial modulo 2**64 over one fixed value for each byte has collisions in
+texts of two letters (the Thue-Morse word and its complement). So the symbols
+are no bytes: at each byte, all eight bytes from it on are mixed into one value
+(``byte_values``), and words are hashed by mixing eight bytes at a time.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 #: Low bits of a minimiser's order that hold its place; fixed, so that all tasks order grams alike. Limits symbols at once.
 PLACE_BITS = 22
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: One fixed random value for each byte.
-SYMBOL = np.random.RandomState(20240229).randint(1, 1 << 63, size=256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes in the symbol of one place, so ``n`` bytes are ``n - SPAN + 1`` symbols.
+SPAN = 8
+#: Words of more bytes are hashed one by one.
+LONG = 64
+_KEEP = np.array([(1 << 8 * min(i, 8)) - 1 for i in range(LONG + 1)], np.uint64)
 
 _power, _inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
@@ -41,6 +50,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def loads(data: np.ndarray, big: bool = False) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros beyond the end; big-endian ones order as the bytes do."""
+    padded = np.zeros(len(data) + SPAN, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data),), ">u8" if big else "<u8", padded, 0, (1,))
+
+
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """A 64-bit value of the eight bytes from each place on."""
+    return mix(loads(data).astype(np.uint64) + np.uint64(BASE))
+
+
+def word_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word: eight bytes at a time are mixed in, XXH64 for long words."""
+    size = ends - starts
+    at = loads(data)
+    out = mix((at[starts] & _KEEP[np.minimum(size, LONG)]) + size.astype(np.uint64) * np.uint64(BASE)) if len(starts) else np.zeros(0, np.uint64)
+    for step in range(SPAN, LONG, SPAN):
+        more = np.flatnonzero(size > step)
+        if not len(more):
+            break
+        out[more] = mix(out[more] + (at[starts[more] + step] & _KEEP[np.minimum(size[more] - step, LONG)]))
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), 42)
+    return out
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH3 (64 bits) of the stretches of an array."""
+    raw, width = memoryview(np.ascontiguousarray(data)).cast("B"), data.itemsize
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(raw[a:b]) for a, b in zip((starts * width).tolist(), (ends * width).tolist(), strict=True)], np.uint64)
+
+
 def prefix(values: np.ndarray) -> np.ndarray:
     """Prefix hashes of 64-bit symbol values; one entry more than values."""
     power, _ = _powers(len(values) + 1)

@@ -9,9 +9,17 @@ extension of ``n`` bytes are repeats once their bytes have been compared too,
 which guards against hash collisions. All buckets of a batch are sorted at once
 with numpy.
 
-Minimisers with more distinct blocks than one sort takes (a passage that very
-many texts share) don't meet in one task: their windows are counted by Spark
-over (minimiser, window hash) instead, which is as exact and has no hot task.
+Every repeat passes this sort. A block stands for all its occurrences (they have
+equal 64-bit digests and equal gram hashes); two of them are sorted, so that a
+block that occurs twice meets itself there.
+
+A minimiser with more blocks than one sort takes (a passage that very many texts
+share) is cut finer: windows at neighbouring distances share all but a few bytes,
+and the digest of what they share is a longer gram that parts those blocks which
+have the passage but not its surroundings. Blocks are cut by distance into parts
+of ``STEPS`` windows, whose longer grams are the new groups; where such a group is
+still too large, into single windows. A group then has one distinct window. So no
+group is sorted in one task beyond the limit, and none is left out.
 """
 
 from __future__ import annotations
@@ -21,19 +29,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import flat, read
-from .repeats import KEY, asked_of, by_hash, covered, distinct_texts, find_repeats, keyed, struct_lists
-from .rolling import SYMBOL, prefix, stretch
+from .common import flat, materialize, read
+from .repeats import KEY, anchors_of, asked_of, covered, distinct_texts, keyed, spans_of, struct_lists
+from .rolling import SPAN, byte_values, digests, loads, mix, prefix, stretch
 
+#: Windows in a part of a block, for the first and the second cut.
+STEPS = (16, 1)
 BLOCK = "ah long, bh long, block binary, ap int, nw int"
+PART = f"pa long, pb long, off int, {BLOCK}"
 RUNS = "ah long, bh long, s int, e int"
 SCHEMA = "k1 long, k2 int, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def _extension(h: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Length of the common prefix, up to ``n``, of suffixes at ``a`` and ``b``, by binary search over prefix hashes."""
+    """Number of equal symbols, up to ``n``, from ``a`` and ``b`` on, by binary search over prefix hashes."""
     low, high = np.zeros(len(a), np.int64), np.full(len(a), n, np.int64)
     for _ in range(int(n).bit_length()):
         mid = (low + high + 1) >> 1
@@ -42,12 +54,14 @@ def _extension(h: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarra
     return low
 
 
-def _less(data: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether suffix a < suffix b, and whether they are equal over ``n`` bytes."""
-    ext = _extension(h, a, b, n)
-    same = ext >= n
-    k = np.minimum(ext, n - 1)
-    return np.where(same, False, data[a + k] < data[b + k]), same
+def _less(order: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether suffix a < suffix b, and whether they are equal over ``n`` symbols; ``order`` are big-endian symbols."""
+    same = stretch(h, a, a + n) == stretch(h, b, b + n)
+    less = np.zeros(len(a), bool)
+    i = np.flatnonzero(~same)
+    ext = _extension(h, a[i], b[i], n - 1)
+    less[i] = order[a[i] + ext] < order[b[i] + ext]
+    return less, same
 
 
 def suffix_sort(data: np.ndarray, h: np.ndarray, at: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
@@ -87,7 +101,8 @@ def suffix_sort(data: np.ndarray, h: np.ndarray, at: np.ndarray, bucket: np.ndar
 
 
 def _sort_batch(n: int, ah: np.ndarray, bh: np.ndarray, data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray, nw: np.ndarray) -> pa.RecordBatch:
-    h = prefix(SYMBOL[data])
+    h = prefix(byte_values(data))
+    size = n - SPAN + 1  # in symbols
     which = np.repeat(np.arange(len(nw)), nw)
     place = np.arange(nw.sum()) - np.repeat(np.cumsum(nw) - nw, nw)
     at = offsets[:-1][which] + place
@@ -95,10 +110,10 @@ def _sort_batch(n: int, ah: np.ndarray, bh: np.ndarray, data: np.ndarray, offset
     bucket = group[which] * (2 * n) + (anchor[which] - place)
     by = np.argsort(bucket, kind="stable")
     at, which, place, bucket = at[by], which[by], place[by], bucket[by]
-    order = suffix_sort(data, h, at, bucket, n)
+    order = suffix_sort(loads(data, big=True).astype(np.uint64), h, at, bucket, size)
     at, which, place = at[order], which[order], place[order]
     x, y = at[:-1], at[1:]
-    near = np.flatnonzero((bucket[1:] == bucket[:-1]) & (stretch(h, x, x + n) == stretch(h, y, y + n)))
+    near = np.flatnonzero((bucket[1:] == bucket[:-1]) & (stretch(h, x, x + size) == stretch(h, y, y + size)))
     true = np.zeros(len(near), bool)
     for i in range(0, len(near), 4096):  # compare the bytes themselves
         p, q = x[near[i : i + 4096]], y[near[i : i + 4096]]
@@ -158,14 +173,72 @@ def _sort_blocks(n: int, at_once: int):
     return run
 
 
-def suffix_runs(texts: DataFrame, blocks: DataFrame, n: int, most_blocks: int = 1024) -> DataFrame:
-    """(ah, bh, s, e): runs of windows that another block of the same gram has too.
+def _sorted_runs(blocks: DataFrame, n: int, most: int) -> DataFrame:
+    return blocks.select("ah", "bh", "block", "ap", "nw").repartition("ah").sortWithinPartitions("ah", "bh").mapInArrow(_sort_blocks(n, most), RUNS)
 
-    A task sorts about ``most_blocks`` blocks at a time, whole grams only; that many fit in one sort.
+
+def _cut(n: int, step: int):
+    """Parts of blocks: ``step`` windows at neighbouring distances from the gram, with the digest of what such windows share as their gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(batch.column("block"))
+            ah, bh, ap, nw = (batch.column(c).to_numpy() for c in ("ah", "bh", "ap", "nw"))
+            # window j stands ap - j before the gram; cells of distances count down along a block
+            last, first = (ap - nw + 1) // step, ap // step
+            count = first - last + 1
+            which = np.repeat(np.arange(len(ap)), count)
+            cell = first[which] - (np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count))
+            begin = np.maximum(ap[which] - (cell + 1) * step + 1, 0)
+            end = np.minimum(ap[which] - cell * step + 1, nw[which])
+            core = offsets[which] + ap[which] - cell * step
+            key = mix(digests(data, core, core + n - step + 1) ^ mix(ah[which].view(np.uint64) + cell.astype(np.uint64)))
+            part, stop = offsets[which] + begin, offsets[which] + end - 1 + n
+            own = digests(data, part, stop)
+            for i in range(0, len(which), 8192):
+                j = slice(i, i + 8192)
+                raw = [data[x:y].tobytes() for x, y in zip(part[j].tolist(), stop[j].tolist(), strict=True)]
+                w = which[j]
+                numbers = [begin[j], *(x.view(np.int64) for x in (key[j], own[j]))]
+                yield pa.RecordBatch.from_arrays([pa.array(ah[w]), pa.array(bh[w]), pa.array(numbers[0].astype(np.int32)), pa.array(numbers[1]), pa.array(numbers[2]), pa.array(raw, pa.binary()), pa.array((ap[w] - begin[j]).astype(np.int32)), pa.array((end[j] - begin[j]).astype(np.int32))], ["pa", "pb", "off", "ah", "bh", "block", "ap", "nw"])
+
+    return run
+
+
+def _large_runs(blocks: DataFrame, n: int, most: int, steps: tuple[int, ...]) -> DataFrame:
+    """Runs of blocks whose grams have too many, by cutting them into parts with longer grams."""
+    parts = materialize(blocks.mapInArrow(_cut(n, steps[0]), PART), "parts")
+    twice = parts.withColumn("i", F.row_number().over(W.partitionBy("ah", "bh").orderBy("pa", "pb", "off"))).filter("i <= 2").drop("i")
+    kept = materialize(twice, "kept")
+    groups = materialize(kept.groupBy("ah").agg(F.count(F.lit(1)).alias("places")).filter("places > 1"), "groups")
+    kept = kept.join(groups, "ah")
+    runs = _sorted_runs(kept.filter(F.col("places") <= most), n, most)
+    if len(steps) > 1 and (groups.agg(F.max("places")).first()[0] or 0) > most:
+        runs = runs.unionByName(_large_runs(kept.filter(F.col("places") > most).select("ah", "bh", "block", "ap", "nw"), n, most, steps[1:]))
+    runs = materialize(runs.distinct(), "runs")
+    return parts.select("pa", "pb", "off", "ah", "bh").join(runs, ["ah", "bh"]).select(F.col("pa").alias("ah"), F.col("pb").alias("bh"), (F.col("off") + F.col("s")).alias("s"), (F.col("off") + F.col("e")).alias("e"))
+
+
+def suffix_runs(texts: DataFrame, occ: DataFrame, n: int, most_blocks: int = 1024) -> DataFrame:
+    """(ah, bh, s, e): runs of windows, counted from their block's first, that occur elsewhere too.
+
+    A task sorts about ``most_blocks`` blocks at a time, whole grams only.
     """
-    few = asked_of(texts, blocks.filter(F.col("blocks") <= most_blocks)).mapInArrow(_block_rows(n), BLOCK)
-    few = few.repartition("ah").sortWithinPartitions("ah", "bh").mapInArrow(_sort_blocks(n, most_blocks), RUNS)
-    return few.unionByName(by_hash(asked_of(texts, blocks.filter(F.col("blocks") > most_blocks)), "byte", n, stored=True))
+    place = F.struct("k1", "k2", "ws", "nw", "ap")
+    blocks = occ.groupBy("ah", "bh").agg(F.min(place).alias("one"), F.max(place).alias("other"))
+    several = F.when(F.col("one") == F.col("other"), 1).otherwise(2)
+    groups = materialize(blocks.groupBy("ah").agg(F.sum(several).alias("places")).filter("places > 1"), "groups")
+    asked = blocks.join(groups, "ah").select("ah", "bh", "places", F.explode(F.array_distinct(F.array("one", "other"))).alias("at")).select("ah", "bh", "places", "at.*")
+    asked = materialize(asked, "asked")
+    fields = ["ah", "bh", "ws", "nw", "ap"]
+
+    def take(rows: DataFrame) -> DataFrame:
+        return asked_of(texts, rows, fields).mapInArrow(_block_rows(n), BLOCK)
+
+    runs = _sorted_runs(take(asked.filter(F.col("places") <= most_blocks)), n, most_blocks)
+    if (groups.agg(F.max("places")).first()[0] or 0) > most_blocks:
+        runs = runs.unionByName(_large_runs(materialize(take(asked.filter(F.col("places") > most_blocks)), "large"), n, most_blocks, STEPS))
+    return runs
 
 
 def _remove(n: int):
@@ -198,15 +271,16 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", n: int = 400, gra
     A byte goes if any ``n``-byte string that covers it starts anywhere else too,
     in the same text or another; strings are judged on the input, and none
     crosses texts. Null and empty texts have no bytes; texts of fewer than ``n``
-    bytes keep all; repeated rows are repeats of each other.
+    bytes keep all; repeated rows are repeats of each other. Other columns of
+    ``docs`` aren't read, whatever their names; an empty table gives none.
     """
-    rows = keyed(docs, text)
-    texts = distinct_texts(rows)
-    spans = find_repeats(rows, texts, "byte", n, gram, lambda t, blocks: suffix_runs(t, blocks, n, most_blocks))
+    texts = distinct_texts(docs, text)
+    occ = anchors_of(texts, "byte", n, gram)
+    spans = spans_of(occ, suffix_runs(texts, occ, n, most_blocks), n)
     return texts.join(spans, KEY, "left").select(*KEY, "text_", "copies", "spans").mapInArrow(_remove(n), SCHEMA)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     done = remove_repeated_bytes(docs).select(*KEY, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    return keyed(docs, "text").select("doc_id", *KEY).join(done, KEY).drop(*KEY)
+    return keyed(docs.select("doc_id", "text"), "text").select("doc_id", *KEY).join(done, KEY).drop(*KEY)

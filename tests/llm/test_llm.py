@@ -9,11 +9,13 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from meterlake.llm import decontamination, langid, mixing, ogg, pst, sharding, simhash, suffix_dedup, token_count, window_dedup
+from meterlake.llm import decontamination, langid, mixing, ogg, pst, rolling, sharding, simhash, suffix_dedup, token_count, window_dedup
+from meterlake.llm.common import flat, word_bounds
 from meterlake.llm.repeats import KEY, keyed
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -339,3 +341,55 @@ def test_pipeline(spark):
     digests = {hashlib.sha256(t.encode()).hexdigest() for t in done["text"]}
     assert len(digests) == done["doc_id"].nunique()
     assert zlib.crc32(b"") == 0
+
+
+def thue_morse(n, a, b):
+    return "".join(a if bin(i).count("1") % 2 else b for i in range(n))
+
+
+def test_words_whose_polynomial_hashes_collide(spark):
+    """The Thue-Morse word and its complement have equal polynomial hashes modulo 2**64; they are different words."""
+    for n, a, b in ((1024, "a", "b"), (2048, "a", "b"), (512, "i", "y"), (512, "L", "Z")):
+        buf, offsets = flat(pa.array([thue_morse(n, a, b), thue_morse(n, b, a)]))
+        starts, ends, _ = word_bounds(buf, offsets)
+        assert len(set(rolling.word_values(buf, starts, ends).tolist())) == 2
+        h = rolling.prefix(rolling.byte_values(buf))
+        assert rolling.stretch(h, np.array([0]), np.array([n - 7])) != rolling.stretch(h, np.array([n]), np.array([2 * n - 7]))
+    common = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{common} {thue_morse(1024, 'a', 'b')}"), (2, f"{common} {thue_morse(1024, 'b', 'a')}")]
+    done = window_dedup.remove_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.n_removed for r in done.collect()] == [0, 0]
+    done = suffix_dedup.remove_repeated_bytes(spark.createDataFrame([(i, thue_morse(4096, *x)) for i, x in enumerate((("a", "b"), ("b", "a")))], "doc_id long, text string"))
+    texts = [thue_morse(4096, "a", "b").encode(), thue_morse(4096, "b", "a").encode()]
+    assert sorted(r.n_removed for r in done.collect()) == sorted(int(g.sum()) for g in spans(texts, 400))
+
+
+def test_repeats_in_very_long_texts(spark):
+    """Texts beyond the bytes worked on at once: a passage in two of them, and twice in one, goes and nothing else does."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    passage = " ".join(word() for _ in range(200))
+    fill = [" ".join(word() for _ in range(150_000)) for _ in range(4)]
+    texts = [f"{fill[0]} {passage} {fill[1]}", f"{fill[2]} {passage} 1 {passage} {fill[3]}"]
+    assert all(len(t) > 2 * (1 << 20) for t in texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bytes_ = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeated_bytes(docs).collect())
+    for (n, gone), t, times in zip(bytes_, sorted(texts, key=len), (1, 2), strict=True):
+        assert n == len(t) and times * len(passage) <= gone <= times * (len(passage) + 6)  # spaces and chance letters beside it may repeat too
+    words = sorted((r.n_words, r.n_removed) for r in window_dedup.remove_repeated_windows(docs).collect())
+    assert words == [(300_200, 200), (300_401, 400)]
+
+
+def test_many_blocks_of_one_gram(spark):
+    """A passage that many texts share in different surroundings: its blocks are cut into parts and windows, and nothing is lost."""
+    rng = random.Random(5)
+    passage = prose(rng, 90)
+    texts = [prose(rng, rng.randint(1, 40)) + " " + passage[rng.randint(0, 40) :] + " " + prose(rng, rng.randint(1, 40)) for _ in range(60)]
+    texts += texts[:3] + [texts[5][:700] + "!" + texts[6][3:]]
+    raw = [t.encode() for t in texts]
+    want = sorted((t, int(g.sum())) for t, g in zip(texts, spans(raw, 400), strict=True))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (2, 8, 64):
+        done = suffix_dedup.remove_repeated_bytes(docs, most_blocks=most)
+        got = keyed(docs, "text").join(done, KEY).select("text", "n_removed").collect()
+        assert sorted((r.text, r.n_removed) for r in got) == want
