@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _star(links: DataFrame, larger: bool) -> DataFrame:
+#: From so many links on, the least neighbours are written before the join: of two plain shuffles Spark splits a hub's links.
+MANY = 5_000_000
+
+
+def _star(links: DataFrame, larger: bool, many: bool) -> DataFrame:
     """Links (a, b), a > b. Large star: a node's larger neighbours move to its least; small star: its smaller ones do."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if larger:
         both = both.unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    met = both.join(least, "u")
+    met = both.join(materialize(least, "least") if many else least, "u")
     if larger:
         out = met.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -36,7 +40,7 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         if row == seen or not row[0]:
             break
         seen = row
-        edges = materialize(_star(_star(edges, True), False), "links")
+        edges = materialize(_star(_star(edges, True, row[0] > MANY), False, row[0] > MANY), "links")
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, flat, read, slices, word_bounds
+from .common import LOWER, aside, flat, materialize, read, slices, word_bounds
 from .rolling import mix, word_values
 
 MASKS = ("1111", "1110111", "1110110111")
@@ -75,9 +75,10 @@ class Index:
         h, p = np.concatenate(hashes), np.concatenate(places)
         by = np.argsort(h, kind="stable")
         self.hashes, self.places = h[by], p[by]
-        self.bits = np.uint64((1 << max(16, int(max(1, len(h))).bit_length() + 6)) - 1)
-        self.maybe = np.zeros(int(self.bits) + 1, bool)
-        self.maybe[h & self.bits] = True
+        self.bits = np.uint64((1 << max(16, int(max(1, len(h))).bit_length() + 5)) - 1)
+        seen = np.zeros(int(self.bits) + 1, bool)
+        seen[h & self.bits] = True
+        self.maybe = np.packbits(seen, bitorder="little")
 
     def search(self, buf: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int, int, int]]]:
         """For each row, one (item, overlap, matched, item tokens, start) for each item found: its longest overlap."""
@@ -85,7 +86,8 @@ class Index:
         lines = []
         for k, mask in enumerate(self.masks):
             h = seeds(values, mask, k)
-            at = np.flatnonzero(self.maybe[h & self.bits])
+            slot = h & self.bits
+            at = np.flatnonzero((self.maybe[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
             row = np.searchsorted(rows, at, side="right") - 1
             at = at[at + len(mask) <= rows[row + 1]]
             low = np.searchsorted(self.hashes, h[at], side="left")
@@ -143,9 +145,17 @@ def flag_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     An item is found if a stretch lined up with it has at least ``least`` tokens
     (or four fifths of a shorter item) of which ``identity`` match; the masks hit
     all of these for the given ``least`` and an ``identity`` of 0.8 or more.
-    Items of fewer than ``SHORTEST`` tokens are never found; null and empty texts hold none; an empty benchmark leaves all lists empty.
-    ``block_chars`` bounds the characters of the benchmark in one index.
+    Items of fewer than ``SHORTEST`` tokens, which any text may hold by chance, and
+    null items are never found; null and empty texts hold none; an empty benchmark
+    leaves all lists empty; of items with one id, each is found by itself. A column
+    of ``docs`` named ``leaks`` is returned with ``_in`` after its name.
+    ``block_chars`` bounds the characters of the benchmark in one index: where
+    there are more, the documents found so far are written after each block, and
+    its index is freed before the next one is built.
     """
+    was = docs.columns.index(text)
+    docs = aside(docs, "leaks")
+    text = docs.columns[was]
     asked = benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     chars = asked.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-chars // block_chars)
@@ -166,6 +176,9 @@ def flag_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
                 yield pa.RecordBatch.from_arrays([found if n == "leaks" else batch.column(i) for i, n in enumerate(names)], names)
 
         out = out.mapInArrow(run, out.schema)
+        if blocks > 1:
+            out = materialize(out, "leaks")
+            shared.unpersist()
     return out
 
 

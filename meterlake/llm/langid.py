@@ -8,8 +8,11 @@ length of the document and of the training text into bits a byte, and the
 language that needs the fewest wins.
 
 Case is folded and runs of anything but letters become one space, so digits and
-marks play no part. Parsing restarts every ``BLOCK`` bytes, which adds at most
-one phrase a block and lets the blocks of a batch be parsed side by side.
+marks play no part. The blocks of ``BLOCK`` bytes of a batch are parsed side by
+side, each as if a phrase began there; then each is parsed again from the state in
+which the block before it ended, until both parses are in the same state, and the
+phrases counted so far are exchanged. So a text's phrases are those of one parse
+from its beginning.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import flat, materialize, read, slices, small_join
+from .common import aside, flat, fresh, materialize, read, slices, small_join
 
 BLOCK = 1024
 #: One phrase, in the high bits of a table entry.
@@ -73,8 +77,9 @@ class SuffixAutomaton:
     def table(self, symbols: np.ndarray) -> np.ndarray:
         """Parsing table for symbol numbers ``symbols[byte]`` (0: in no training text).
 
-        An entry holds the next state times the number of symbols, plus STEP for
-        each phrase that begins with this byte or after it.
+        An entry holds the next state times the number of symbols, plus STEP if a
+        phrase begins with this byte. In state 0 no phrase is open; a byte that
+        never occurred is a phrase of its own.
         """
         k = int(symbols.max()) + 1
         out = np.empty((len(self.move), k), np.int32)
@@ -82,14 +87,38 @@ class SuffixAutomaton:
         for byte, to in self.move[0].items():
             root[symbols[byte]] = to * k
         out[:] = root | STEP
-        out[0] = root
-        out[:, root == 0] += STEP  # a byte that never occurred is a phrase of its own
-        for state, links in enumerate(self.move):
+        for state, links in enumerate(self.move[1:], 1):
             for byte, to in links.items():
                 out[state, symbols[byte]] = to * k
         return out.ravel()
 
 
+def _join(table: np.ndarray, coded: np.ndarray, start: np.ndarray, length: np.ndarray, number: np.ndarray, end: np.ndarray, count: np.ndarray) -> None:
+    """Correct ``count`` and ``end`` of blocks that were parsed from state 0 for the states in which the blocks before them ended."""
+    begin = np.zeros_like(end)
+    todo = np.flatnonzero(number > 0)
+    while True:
+        todo = todo[begin[todo] != end[todo - 1]]
+        if not len(todo):
+            return
+        old, new, which, i = begin[todo], end[todo - 1], todo, 0
+        begin[todo] = new
+        while True:
+            stay = (old != new) & (length[which] > i)
+            stopped = ~stay & (old != new)
+            end[which[stopped]] = new[stopped]
+            old, new, which = old[stay], new[stay], which[stay]
+            if not len(which):
+                break
+            symbol = coded[start[which] + i]
+            x, y = table[old + symbol], table[new + symbol]
+            count[which] += (y >> STEP_BIT) - (x >> STEP_BIT)
+            old, new, i = x & (STEP - 1), y & (STEP - 1), i + 1
+        todo = todo + 1  # their blocks may have ended in another state
+        todo = todo[todo < len(number)]
+        todo = todo[number[todo] > 0]
+
+
 class Model:
     """Parsing tables of all languages."""
 
@@ -103,28 +132,31 @@ class Model:
         self.bits = np.array([np.log2(max(a.size, 2)) for a in automata])
 
     def phrases(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Number of phrases of each row under each language. A byte outside the training text is a phrase, and one more at a block's end."""
+        """Number of phrases of each row under each language. A byte outside the training text is a phrase."""
         rows = len(offsets) - 1
-        out = np.zeros((rows, len(self.languages)), np.int64)
         size = np.diff(offsets)
+        out = np.zeros((rows, len(self.languages)), np.int64)
         blocks = -(-size // BLOCK)
         row = np.repeat(np.arange(rows), blocks)
-        start = offsets[row] + (np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
-        length = np.minimum(offsets[row + 1] - start, BLOCK)
-        by = np.argsort(-length, kind="stable")
-        row, start, length = row[by], start[by], length[by]
         if not len(row):
             return out
+        number = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        start = offsets[row] + number * BLOCK
+        length = np.minimum(offsets[row + 1] - start, BLOCK)
+        by = np.argsort(-length, kind="stable")
+        live = np.searchsorted(-length[by], -np.arange(1, length[by[0]] + 1), side="right")
         coded = self.symbols[buf]
-        live = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
-        steps = [coded[start[:n] + i] for i, n in enumerate(live.tolist())]
+        steps = [coded[start[by[:n]] + i] for i, n in enumerate(live.tolist())]
         for j, table in enumerate(self.tables):
-            state, count = np.zeros(len(row), np.int32), np.ones(len(row), np.int32)
+            state, count = np.zeros(len(row), np.int32), np.zeros(len(row), np.int32)
             for n, symbol in zip(live.tolist(), steps, strict=True):
                 got = table[state[:n] + symbol]
                 count[:n] += got >> STEP_BIT
                 state[:n] = got & (STEP - 1)
-            np.add.at(out[:, j], row, count)
+            end, found = np.empty_like(state), np.empty_like(count)
+            end[by], found[by] = state, count
+            _join(table, coded, start, length, number, end, found)
+            np.add.at(out[:, j], row, found)
         return out
 
     def predict(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -140,29 +172,39 @@ class Model:
         return [self.languages[i] for i in best], score, least
 
 
-def learn(labelled: DataFrame, text: str, lang: str, texts: int = 100, chars: int = 300) -> Model:
-    """Fit on a bounded sample: up to ``texts`` documents a language and ``chars`` folded characters from each.
+def learn(labelled: DataFrame, text: str, lang: str, texts: int = 100, pieces: int = 100, chars: int = 300) -> Model:
+    """Fit on a bounded sample: up to ``texts`` labelled rows a language, and of these up to ``pieces`` pieces of about ``chars`` characters.
 
-    Documents are chosen by a hash of their text: copies are merged first, then
-    the ``texts`` least hashes of each language are kept, partially in each task,
-    so that copies don't crowd out other texts. Rows whose text or label is null,
-    or whose text has no letter, are no examples.
+    Rows are chosen by a hash of their text: copies are merged first, then the
+    ``texts`` least hashes of each language are kept, partially in each task, so
+    that copies don't crowd out other texts and no language is left out. The
+    whole chosen texts are folded and cut into pieces at spaces; the pieces are
+    chosen by hash too, so that each part of a text is as likely as another. Rows
+    whose text or label is null, or whose text has no letter, are no examples.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     least = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= texts)
-    some = small_join(rows, materialize(least, "examples"), ["lang", "h"], "inner")
-    first = some.select("lang", "k", F.substring(fold(F.substring("text", 1, 4 * chars)), 1, chars).alias("t")).groupBy("lang", "k").agg(F.min("t").alias("t"))
+    some = small_join(rows, materialize(least.drop("k"), "examples"), ["lang", "h"], "inner")
+    cut = F.regexp_extract_all(fold(F.col("text")), F.lit(f".{{1,{chars}}}(?: |$)|.{{1,{chars}}}"), F.lit(0))
+    parts = some.select("lang", F.explode(cut).alias("t")).select("lang", F.rtrim("t").alias("t")).distinct().withColumn("h", F.xxhash64("t"))
+    first = parts.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "t"))).filter(F.col("k") <= pieces)
     samples: dict[str, list[bytes]] = {}
-    for r in first.orderBy("lang", "k").select("lang", "t").collect():  # languages x texts x chars, whatever the input
+    for r in first.orderBy("lang", "k").select("lang", "t").collect():  # languages x pieces x chars, whatever the input
         samples.setdefault(r.lang, []).append(r.t.encode())
     return Model(samples)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, lang_score and lang_bits (least bits a byte); ``und``, 0 and null if a text is null or has no letter."""
-    keep = docs.columns
-    schema = docs.schema.add("lang_pred", "string").add("lang_score", "double").add("lang_bits", "double")
+    """``docs`` with lang_pred, lang_score and lang_bits (least bits a byte); ``und``, 0 and null if a text is null or has no letter.
+
+    Ties go to the language that is first by name. A column of ``docs`` with one
+    of these names is returned with ``_in`` after it. An empty table stays empty;
+    a model without languages calls all ``und``.
+    """
+    docs = aside(docs, "lang_pred", "lang_score", "lang_bits")
+    keep, folded = docs.columns, fresh(docs, "folded")
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_bits", DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +225,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             s, b = np.concatenate(score), np.concatenate(bits)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(np.where(none, 0.0, s)), pa.array(b, mask=none)], schema.names)
 
-    has = F.when(F.col(text).rlike(r"\p{L}"), fold(F.col(text)))
-    return docs.withColumn("_folded", has).mapInArrow(run, schema)
+    has = F.when(F.col(f"`{text}`").rlike(r"\p{L}"), fold(F.col(f"`{text}`")))
+    return docs.withColumn(folded, has).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id", parts: int = 3) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, read
+from .common import aside, flat, read
 
 # Fixed values of the container format and of the two streams written here.
 CAPTURE = b"OggS"
@@ -184,14 +184,20 @@ def decode(media: bytes) -> tuple[bytes, int, str]:
 
 
 def to_ogg(rows: DataFrame, text: str = "text") -> DataFrame:
-    """``rows`` with ``media``: each whole text as Ogg bytes; a null text is empty."""
+    """``rows`` with ``media``: each whole text as Ogg bytes; a null text is empty.
+
+    Equal texts have equal bytes. A column that is named ``media`` already is
+    returned with ``_in`` after its name. An empty table stays empty.
+    """
     return _with(rows, text, "media", "binary", lambda raw: (encode(raw),))
 
 
 def from_ogg(rows: DataFrame, media: str = "media") -> DataFrame:
     """``rows`` with payload (binary), n_bytes (unpadded) and feature, read back from Ogg bytes.
 
-    Media whose headers or index are gone have a null payload and the feature "damaged".
+    Media whose headers or index are gone have a null payload and the feature
+    "damaged", as null media have. Columns that have these names already are
+    returned with ``_in`` after them.
     """
 
     def work(raw: bytes) -> tuple[bytes | None, int | None, str]:
@@ -205,22 +211,24 @@ def from_ogg(rows: DataFrame, media: str = "media") -> DataFrame:
 
 def _with(rows: DataFrame, column: str, names, kinds, work) -> DataFrame:
     names, kinds = ([names], [kinds]) if isinstance(names, str) else (names, kinds)
-    keep = [c for c in rows.columns if c not in names]
-    schema = rows.select(*keep).schema
+    was = rows.columns.index(column)
+    rows = aside(rows, *names)
+    keep = rows.columns
+    schema = rows.select(*[f"`{c}`" for c in keep]).schema
     for n, k in zip(names, kinds, strict=True):
         schema = schema.add(n, k)
     types = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = flat(batch.column(batch.schema.names.index(column)))
+            buf, offsets = flat(batch.column(was))
             for lo in range(0, batch.num_rows, 256):
                 hi = min(lo + 256, batch.num_rows)
                 out = [work(buf[offsets[i] : offsets[i + 1]].tobytes()) for i in range(lo, hi)]
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array([x[j] for x in out], types[k]) for j, k in enumerate(kinds))], [*keep, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([x[j] for x in out], types[k]) for j, k in enumerate(kinds))], [*keep, *names])
 
-    return rows.select(*keep).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op6_ogg_media(spark, sf_dir: str) -> DataFrame:

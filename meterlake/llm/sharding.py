@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import aside, fresh, read
 
 
 def _cost(key: Column, shard: int, weight: float) -> Column:
@@ -26,16 +26,19 @@ def _cost(key: Column, shard: int, weight: float) -> Column:
 def assign_shards(rows: DataFrame, key: Column, weights: Sequence[float], grown: float | None = None) -> DataFrame:
     """``rows`` with ``shard``, and ``grown_shard`` under one more shard of weight ``grown`` (else null).
 
-    A null key is a key of its own. Equal keys, and so repeated rows, share a shard.
+    A null key is a key of its own. Equal keys, and so repeated rows, share a shard;
+    of equal costs the shard of the lower number takes the key. Columns of ``rows``
+    named ``shard`` or ``grown_shard`` are returned with ``_in`` after them.
     """
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
-    known = F.coalesce(key.cast("string"), F.lit("\0null"))
-    drawn = rows.withColumn("_key", known)
-    draws = F.array(*[F.struct(_cost(F.col("_key"), i, w).alias("cost"), F.lit(i).alias("shard")) for i, w in enumerate(weights)])
-    out = drawn.withColumn("_best", F.array_min(draws)).withColumn("shard", F.coalesce(F.col("_best.shard"), F.lit(0)))  # never null: joins add no filter that draws again
-    more = F.when(_cost(F.col("_key"), len(weights), grown) < F.col("_best.cost"), F.lit(len(weights))).otherwise(F.col("shard")) if grown else F.lit(None).cast("int")
-    return out.withColumn("grown_shard", more).drop("_key", "_best")
+    names = {"shard", "grown_shard"}
+    best, text = fresh(rows, "best"), fresh(rows, "key")
+    drawn = aside(rows.withColumn(text, F.coalesce(key.cast("string"), F.lit("\0null"))), *names)
+    draws = F.array(*[F.struct(_cost(F.col(text), i, w).alias("cost"), F.lit(i).alias("shard")) for i, w in enumerate(weights)])
+    out = drawn.withColumn(best, F.array_min(draws)).withColumn("shard", F.coalesce(F.col(f"{best}.shard"), F.lit(0)))  # never null: joins add no filter that draws again
+    more = F.when(_cost(F.col(text), len(weights), grown) < F.col(f"{best}.cost"), F.lit(len(weights))).otherwise(F.col("shard")) if grown else F.lit(None).cast("int")
+    return out.withColumn("grown_shard", more).drop(text, best)
 
 
 def number_slots(rows: DataFrame, order: Sequence[str], group: str = "shard", buckets: int = 1024) -> DataFrame:
@@ -44,14 +47,18 @@ def number_slots(rows: DataFrame, order: Sequence[str], group: str = "shard", bu
     A group may hold any share of the rows, so it isn't sorted as a whole: rows
     are dealt into ``buckets`` hash buckets per group, counted, and numbered from
     the running count of the buckets before theirs. The counts are at most
-    groups x buckets rows and are broadcast; groups must be few (shards are).
+    groups x buckets rows and are broadcast; groups must be few (shards are). Rows
+    equal in ``order`` take neighbouring slots in any order. A column named ``slot``
+    is returned with ``_in`` after its name; an empty table stays empty.
     """
-    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    before = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    counts = dealt.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(W.partitionBy(group, "_bucket").orderBy(*order)) - 1
-    return dealt.withColumn("_place", place).join(F.broadcast(starts), [group, "_bucket"]).withColumn("slot", F.col("_start") + F.col("_place")).drop("_bucket", "_place", "_start")
+    rows = aside(rows, "slot")
+    bucket, start, place, n = (fresh(rows, x) for x in ("bucket", "start", "place", "n"))
+    dealt = rows.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    before = W.partitionBy(group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    counts = dealt.groupBy(group, bucket).agg(F.count(F.lit(1)).alias(n))
+    starts = counts.select(group, bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    number = F.row_number().over(W.partitionBy(group, bucket).orderBy(*order)) - 1
+    return dealt.withColumn(place, number).join(F.broadcast(starts), [group, bucket]).withColumn("slot", F.col(start) + F.col(place)).drop(bucket, place, start)
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:

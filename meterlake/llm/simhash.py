@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, flat, materialize, read, slices, word_bounds
 from .components import components
-from .rolling import mix
+from .rolling import mix, prefix, stretch, word_values
 
 EVEN = np.uint64(0x5555555555555555)
 PAIRS = np.uint64(0x3333333333333333)
@@ -49,12 +49,17 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     return np.array([digest(joined[a:b], 42) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64)
 
 
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set, the highest bit first."""
+    out = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        out += np.unpackbits(hashes[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return out
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """64 bits, each 1 if set in over half the hashes."""
-    if not len(hashes):
-        return 0
-    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+    return int.from_bytes(np.packbits(ones(hashes) * 2 > len(hashes)).tobytes(), "big") if len(hashes) else 0
 
 
 def fingerprints(rows: DataFrame, text: str, shingle: int) -> DataFrame:
@@ -219,39 +224,52 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 # --- similarity of shingle sets, for stages that ask for one -----------------------------------
 
 
+def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """For each row, its set of 64-bit shingle hashes, ascending; A-Z lower-cased. The one shingle of a shorter text is all of it."""
+    low = LOWER[buf]
+    starts, ends, rows = word_bounds(low, offsets)
+    h = prefix(word_values(low, starts, ends))
+    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+        first = np.arange(a, max(b - size, a) + 1) if b > a else np.zeros(0, np.int64)
+        yield np.unique(mix(stretch(h, first, np.minimum(first + size, b)) + np.uint64(min(size, b - a))))
+
+
+def _sample(h: np.ndarray, order: int, size: int) -> int:
+    """The SimHash fingerprint of the ``size`` least of some hashes under one order."""
+    least = mix(h ^ mix(np.array([order + 1], np.uint64)))
+    return fingerprint(mix((np.partition(least, size - 1)[:size] if len(least) > size else least) ^ np.uint64(order)))
+
+
+def _samples(h: np.ndarray, samples: int, size: int) -> np.ndarray:
+    """Cells of one set: the fingerprints of its samples, each with its order's number mixed in."""
+    if len(h) <= size or len(h) > 1 << 15 or size != 3:
+        found = np.array([_sample(h, i, size) for i in range(samples)], np.uint64)
+    else:  # all orders at once; of three hashes, a bit is set in over half if in two
+        order = np.arange(samples, dtype=np.uint64)
+        least = np.partition(mix(h[None, :] ^ mix(order + np.uint64(1))[:, None]), 2, axis=1)[:, :3]
+        x, y, z = mix(least ^ order[:, None]).T
+        found = x & y | x & z | y & z
+    return mix(found ^ mix(np.arange(samples, dtype=np.uint64) + np.uint64(7)))
+
+
 def _sketches(shingle: int, samples: int, size: int, words: int):
-    """Per text: ``samples`` SimHash fingerprints over the ``size`` least shingles under one order each, one of ``words`` x 64 bits over all, and the number of shingles."""
-
-    def row(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        h = np.unique(h)  # a set
-        cells = np.zeros(samples, np.uint64)
-        for i in range(samples):
-            order = mix(h ^ mix(np.array([i + 1], np.uint64)))
-            least = np.partition(order, size - 1)[:size] if len(order) > size else order
-            cells[i] = mix(np.array([fingerprint(mix(least ^ np.uint64(i))) ^ (i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)], np.uint64))[0]
-        sig = np.zeros(words, np.uint64)
-        for i in range(words):
-            sig[i] = fingerprint(mix(h + np.uint64(i * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)))
-        return cells, sig, len(h)
+    """Per text: its cells, a fingerprint of ``words`` x 64 bits over all shingles, and the number of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = flat(batch.column("text_"))
             node = batch.column("node").to_numpy()
             for lo, hi in slices(offsets, 4 << 20):
-                got = [row(h) for h in _shingles(buf, offsets[lo : hi + 1], shingle)]
-                cells = pa.array([g[0].view(np.int64) for g in got], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([cells, pa.array(node[lo:hi]), pa.array([g[1].tobytes() for g in got], pa.binary()), pa.array([g[2] for g in got], pa.int64())], ["cells", "node", "sig", "size"])
+                cells, sig, count = [], [], []
+                for h in shingle_sets(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle):
+                    cells.append(_samples(h, samples, size).view(np.int64))
+                    sig.append(np.array([fingerprint(mix(h + np.uint64(i * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))) for i in range(words)], np.uint64).tobytes())
+                    count.append(len(h))
+                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.list_(pa.int64())), pa.array(node[lo:hi]), pa.array(sig, pa.binary()), pa.array(count, pa.int64())], ["cells", "node", "sig", "size"])
 
     return run
 
 
-def _shingles(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np.ndarray]:
-    a = offsets[0]
-    raw = LOWER[buf[a : offsets[-1]]].tobytes()
-    return [shingle_hashes(raw[x - a : y - a], shingle) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-
-
 def _sets(shingle: int):
     """Per text: its shingles' hashes, ascending, as packed bytes."""
 
@@ -259,7 +277,7 @@ def _sets(shingle: int):
         for batch in batches:
             buf, offsets = flat(batch.column("text_"))
             for lo, hi in slices(offsets, 4 << 20):
-                got = [np.unique(h).tobytes() for h in _shingles(buf, offsets[lo : hi + 1], shingle)]
+                got = [h.tobytes() for h in shingle_sets(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column("node")[lo:hi], pa.array(got, pa.binary())], ["node", "set"])
 
     return run
@@ -319,7 +337,7 @@ def _similar(similarity: float):
     return run
 
 
-def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, samples: int = 12, size: int = 3, words: int = 16) -> DataFrame:
+def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, samples: int = 12, size: int = 3, words: int = 4) -> DataFrame:
     """(node, root): texts (by 64-bit hash) whose shingle sets have a Jaccard similarity of ``similarity`` or more, as components.
 
     A 64-bit fingerprint of a whole text is too coarse for this: at similarity
@@ -332,6 +350,9 @@ def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, similar
 
     First the pairs by which a search reaches a cell's members are compared; then
     all pairs of a cell that these comparisons left in different components.
+
+    A null text is empty; texts without words have empty sets and are similar to
+    each other. Other columns of ``docs`` aren't read; an empty table gives none.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bits = words * 64

@@ -31,6 +31,8 @@ POP_BITS = 6
 #: The state in which a word can't be matched: it counts as one unknown token.
 UNKNOWN = "unknown"
 LANE = 512
+#: Lanes of more bytes hold a very long word.
+LONG = 1 << 13
 
 
 class Automaton:
@@ -100,6 +102,21 @@ class Automaton:
         self.start, self.before = state, count
         self.table = self.table.ravel()
 
+    def walk(self, raw: bytes) -> tuple[int, int]:
+        """(tokens, words) of one stretch that begins and ends with a word's bounds, byte by byte."""
+        total, words, mask = 0, 0, (1 << POP_BITS) - 1
+        table, closing = memoryview(self.table), self.closing
+        for word in raw.split():
+            state, popped = self.start, self.before
+            for byte in word:
+                step = table[state << 8 | byte]
+                state = step >> POP_BITS
+                popped += step & mask
+            end = int(closing[state])
+            total += popped + end if end >= 0 else 1
+            words += 1
+        return total, words
+
     def count(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, words) of each row."""
         rows = len(offsets) - 1
@@ -110,6 +127,14 @@ class Automaton:
         ends = np.append(starts[1:], len(buf))
         row = np.searchsorted(offsets, starts, side="right") - 1
         length = ends - starts
+        for i in np.flatnonzero(length > LONG).tolist():  # an unbroken word: one after the other is faster
+            n, m = self.walk(buf[starts[i] : ends[i]].tobytes())
+            tokens[row[i]] += n
+            words[row[i]] += m
+        rest = length <= LONG
+        starts, length, row = starts[rest], length[rest], row[rest]
+        if not len(starts):
+            return tokens, words
         by = np.argsort(-length, kind="stable")
         starts, length, row = starts[by], length[by], row[by]
         state = np.full(len(starts), -1, np.int64)  # -1: between words
@@ -171,7 +196,8 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
     """(key, n_bytes, n_words, n_tokens) of every row.
 
     Null and empty texts have none; a word that the vocabulary can't spell is
-    one token. The automaton (about 40 MB for 50,000 entries, whatever the
+    one token. Rows are counted one by one, so repeated rows and ties play no
+    part; other columns of ``docs`` aren't read; an empty table gives none. The automaton (about 40 MB for 50,000 entries, whatever the
     input) is built once and broadcast.
     """
     automaton = Automaton(read_ranks(vocabulary or default_vocabulary()))

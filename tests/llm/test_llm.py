@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import random
-import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -14,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from meterlake.llm import decontamination, langid, mixing, ogg, pst, rolling, sharding, simhash, suffix_dedup, token_count, window_dedup
+from meterlake.llm import common, decontamination, langid, mixing, ogg, pst, rolling, sharding, simhash, suffix_dedup, token_count, window_dedup
 from meterlake.llm.common import flat, word_bounds
 from meterlake.llm.repeats import KEY, keyed
 
@@ -161,9 +160,14 @@ def test_sharding(spark, docs):
         sharding.assign_shards(rows, F.col("doc_id"), [0.0])
 
 
+def mixed(docs):
+    rows = mixing.one_by_one(mixing.mix(mixing.sizes_of(docs)), "place")
+    return rows.withColumn("taken", F.col("size") * (F.col("times") + F.when(F.col("place") <= F.col("more"), 1).otherwise(0)))
+
+
 def test_mixing(spark, docs):
-    rows = docs.select("doc_id", F.col("source").alias("src"), mixing.word_count(F.col("text")).alias("size"), mixing.row_hash(F.col("doc_id")).alias("h"))
-    got = mixing.mix(rows).collect()
+    got = mixed(docs).collect()
+    assert len(got) == docs.count()
     total = sum(r.size for r in got)
     by = {}
     for r in got:
@@ -173,7 +177,26 @@ def test_mixing(spark, docs):
     for v in by.values():
         assert v[0].target <= 3 * v[0].source_size + 1e-6
         assert abs(sum(r.taken for r in v) - v[0].target) <= max(r.size for r in v)
-    assert mixing.mix(rows.limit(0)).count() == 0
+    assert mixed(docs.limit(0)).count() == 0
+
+
+def test_mixing_meets_targets_with_null_and_repeated_keys(spark):
+    """Rows without doc_id, and many equal rows, are told apart or counted: each source ends within one row of its target."""
+    rows = [(None, f"a b c {i}" if i < 500 else "the same ten words are in each of these rows", "x", None) for i in range(900)]
+    rows += [(1, "one two", "y", 7) for _ in range(300)] + [(i, "w " * (i % 9), None, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, target int")
+    got = mixed(df).collect()
+    assert len(got) == len(rows)
+    for src in ("x", "y", None):
+        own = [r for r in got if r.src == src]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 10
+    again = mixed(df.repartition(7)).collect()
+    key = lambda r: (str(r.doc_id), str(r.src), r.size, r.h, r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    clash = mixing.mix(mixing.sizes_of(df).withColumns({"target": F.lit("mine"), "tag": F.lit(1)}))
+    assert {"target_in", "tag", "target", "more"} <= set(clash.columns) and clash.first().target_in == "mine"
+    spread = mixing.one_by_one(mixing.sizes_of(df), "place", step=64)
+    assert sorted(r.place for r in spread.filter("doc_id = 1 and size = 2").collect() if r.src == "y") == list(range(1, 301))
 
 
 def test_ogg(spark, docs, texts):
@@ -334,13 +357,123 @@ def test_decontamination_finds_all_that_qualifies():
     assert decontamination.longest(np.array([1, 0, 1, 1, 1, 1, 0, 0], bool), 0.8) == (0, 6, 5)
 
 
-def test_pipeline(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    done = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
+def test_language_phrases_are_those_of_one_parse(spark):
+    """Phrases against a greedy parse by substring search, in texts of many blocks."""
+    rng = random.Random(2)
+    samples = {"a": ["".join(rng.choice("abc ") for _ in range(90)) for _ in range(3)], "b": ["".join(rng.choice("bcde ") for _ in range(200))]}
+    model = langid.Model({k: [t.encode() for t in v] for k, v in samples.items()})
+    texts = ["".join(rng.choice("abcdeéf ") for _ in range(n)) for n in (1, 5, 1023, 1024, 1025, 3000, 5000)] + ["", samples["a"][0] * 40, "a" * 4000]
+
+    def phrases(raw, known):
+        n, i = 0, 0
+        while i < len(raw):
+            j = i
+            while j < len(raw) and any(raw[i : j + 1] in k for k in known):
+                j += 1
+            n, i = n + 1, max(j, i + 1)
+        return n
+
+    got = model.phrases(*flat(pa.array(texts)))
+    for j, name in enumerate(model.languages):
+        known = [t.encode() for t in samples[name]]
+        assert got[:, j].tolist() == [phrases(t.encode(), known) for t in texts]
+
+
+def test_language_learns_from_all_of_a_text(spark):
+    """Only the ends of long texts tell these languages apart."""
+    same = "zz " * 3000
+    rows = [(f"{same} {x * 200}{i}", lang) for i in range(40) for lang, x in (("p", "abab baba "), ("q", "cdcd dcdc "))]
+    model = langid.learn(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", pieces=400)
+    docs = spark.createDataFrame([("abab baba abab", "mine", 1), ("dcdc cdcd cdcd", None, None), (None, "", 2)], "text string, lang_pred string, folded int")
+    got = langid.identify(docs, model)
+    assert [r.lang_pred for r in got.collect()] == ["p", "q", "und"]
+    assert got.columns == ["text", "lang_pred_in", "folded", "lang_pred", "lang_score", "lang_bits"] and got.first().lang_pred_in == "mine"
+    assert langid.identify(docs, model).count() == 3 and langid.identify(docs.limit(0), model).count() == 0
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "some text", "mine"), (2, None, "yours")], "doc_id long, text string, media string")
+    back = ogg.from_ogg(ogg.to_ogg(docs).withColumnsRenamed({"doc_id": "n_bytes"}))
+    assert {r.n_bytes_in: (bytes(r.payload)[:9], r.media_in, r.n_bytes) for r in back.collect()} == {1: (b"some text", "mine", 9), 2: (b" " * 9, "yours", 0)}
+    assert ogg.from_ogg(ogg.to_ogg(docs.limit(0))).count() == 0
+    keyed_ = docs.withColumnsRenamed({"media": "shard"}).withColumns({"slot": F.lit("s"), "best": F.lit(1), "bucket": F.lit(2)})
+    placed = sharding.number_slots(sharding.assign_shards(keyed_, F.col("doc_id"), [1.0, 1.0], grown=1.0), ["doc_id"])
+    assert {"shard_in", "slot_in", "best", "bucket", "shard", "slot"} <= set(placed.columns) and placed.count() == 2
+    assert sharding.number_slots(sharding.assign_shards(keyed_.limit(0), F.col("doc_id"), [1.0]), ["doc_id"]).count() == 0
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    benchmark = spark.createDataFrame([(7, item), (8, None)], "item_id long, text string")
+    leaky = spark.createDataFrame([(f"x {item} y", "mine"), ("clean", None), (None, None)], "text string, leaks string")
+    for block in (16_000_000, 20):
+        got = decontamination.flag_leaks(leaky, benchmark, block_chars=block).collect()
+        assert [(len(r.leaks), r.leaks_in) for r in got] == [(1, "mine"), (0, None), (0, None)]
+    assert decontamination.flag_leaks(leaky.limit(0), benchmark).count() == 0 and decontamination.flag_leaks(leaky, benchmark.limit(0)).count() == 3
+    assert token_count.count_tokens(docs.limit(0)).count() == 0 and token_count.count_tokens(docs.unionByName(docs)).count() == 4
+
+
+def test_token_count_of_very_long_words(spark):
+    """Long unbroken words are counted one by one: as much as by the tables in step."""
+    rng = random.Random(4)
+    automaton = token_count.Automaton(token_count.read_ranks(token_count.default_vocabulary()))
+    long_ = "".join(rng.choice("abcdefgé") for _ in range(6000))
+    texts = [f"a {long_} b", long_[:3000], f"{long_}{long_} {long_} x", "short words"]
+    columns = flat(pa.array(texts))
+    at_once, token_count.LONG, kept = automaton.count(*columns), 1 << 40, token_count.LONG
+    try:
+        in_step = automaton.count(*columns)
+    finally:
+        token_count.LONG = kept
+    assert [x.tolist() for x in at_once] == [x.tolist() for x in in_step]
+
+
+def test_scratch_tables(spark):
+    kept = common.materialize(spark.range(5), "t")
+    assert kept.count() == 5 and common.clustered(spark.range(9).withColumnRenamed("id", "k1"), ["k1"], "t").count() == 9
+    common.drop_scratch(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("meterlake_")]
+
+
+@pytest.fixture(scope="module")
+def pipeline():
+    return pytest.importorskip("corpus_pipeline")
+
+
+def test_pipeline(spark, pipeline):
+    done = pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert len(done) and set(done["shard"]) <= set(range(24)) and done["text"].notna().all()
     digests = {hashlib.sha256(t.encode()).hexdigest() for t in done["text"]}
     assert len(digests) == done["doc_id"].nunique()
-    assert zlib.crc32(b"") == 0
+
+
+def test_pipeline_stages_one_by_one(spark, pipeline, docs):
+    """Each stage alone: nulls, empty and repeated rows, columns with clashing names, and an empty table."""
+    sf = "/root/testdata/sf0.001"
+    extra = docs.withColumns({"node": F.lit("n"), "shard": F.lit("s"), "lang_pred": F.lit("l"), "h_": F.lit(1), "leaks": F.lit("k")})
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        out = stage(spark, extra, sf)
+        added = ["shard_in"] if name == "sharding" else []
+        assert set(extra.columns) | set(added) == set(out.columns)
+        rows = out.collect()
+        assert {r["node"] for r in rows} <= {"n"} and {r["shard_in" if added else "shard"] for r in rows} <= {"s"}
+    by = dict(pipeline.STAGES)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    kept = by["language_id"](spark, docs, sf).collect()
+    assert all(r.text and any(c.isalpha() for c in r.text) for r in kept)
+    assert {"ab"} <= {r.text for r in kept}  # too short to tell
+    unlabelled = by["language_id"](spark, docs.withColumn("lang", F.lit(None).cast("string")), sf).collect()
+    assert {r.doc_id for r in unlabelled} == {i for i, t in texts.items() if t and any(c.isalpha() for c in t)}
+    once = by["near_dedup"](spark, docs, sf).collect()
+    wordless = [i for i, t in texts.items() if not (t or "").split()]
+    assert [r.doc_id for r in once if not (r.text or "").split()] == [min(wordless)]
+    assert Counter(r.text for r in once).most_common(1)[0][1] == 1 and 0 in {r.doc_id for r in once}
+    shards = by["sharding"](spark, docs, sf).collect()
+    assert len(shards) == len(texts) and all(0 <= r.shard < 24 for r in shards)
+    many = docs.unionByName(docs).unionByName(docs)
+    taken = Counter(r.doc_id for r in by["mixing"](spark, many, sf).collect())
+    want = Counter()
+    for r in mixed(many).collect():
+        want[r.doc_id] += r.taken // max(r.size, 1)
+    assert taken == +want
 
 
 def thue_morse(n, a, b):
