@@ -337,7 +337,58 @@ def _similar(similarity: float):
     return run
 
 
-def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, samples: int = 12, size: int = 3, words: int = 4) -> DataFrame:
+def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set, the number of the first set that it is linked to by a chain of similar sets.
+
+    Intersections with all other sets come from the sets that each element is in;
+    a search goes on from those reached, over those not yet reached.
+    """
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    names, element = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(element, kind="stable")
+    holder = np.repeat(np.arange(len(sets)), sizes)[order]
+    first = np.searchsorted(element[order], np.arange(len(names) + 1))
+    label = np.full(len(sets), -1)
+    for start in range(len(sets)):
+        if label[start] >= 0:
+            continue
+        label[start], front = start, [start]
+        while front and (label < 0).any():
+            i = front.pop()
+            both = np.zeros(len(sets), np.int64)
+            own = element[ends[i] - sizes[i] : ends[i]]
+            for j in range(0, len(own), 4096):
+                n = first[own[j : j + 4096] + 1] - first[own[j : j + 4096]]
+                at = np.repeat(first[own[j : j + 4096]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                both += np.bincount(holder[at], minlength=len(sets))
+            hit = (label < 0) & (both + 1e-9 >= similarity * (sizes[i] + sizes - both))
+            label[hit] = start
+            front.extend(np.flatnonzero(hit).tolist())
+    return label
+
+
+def _in_groups(similarity: float):
+    """(node, root) of the members of whole groups, which come sorted by group, that are linked to another member."""
+
+    def work(table: pa.Table) -> pa.RecordBatch:
+        group, node = (table.column(c).to_numpy() for c in ("cell", "node"))
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")]
+        out: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        for f, n in zip(first.tolist(), np.diff(np.append(first, len(group))).tolist(), strict=True):
+            label, own = linked(sets[f : f + n], similarity), node[f : f + n]
+            root = np.full(n, np.iinfo(np.int64).max)
+            np.minimum.at(root, label, own)
+            many = np.bincount(label, minlength=n)[label] > 1
+            out.append(np.stack([own[many], root[label[many]]]))
+        a, b = np.concatenate(out, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["node", "root"])
+
+    return lambda batches: _whole_cells(batches, work)
+
+
+def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, samples: int = 12, size: int = 3, words: int = 8, group_shingles: int = 1 << 25) -> DataFrame:
     """(node, root): texts (by 64-bit hash) whose shingle sets have a Jaccard similarity of ``similarity`` or more, as components.
 
     A 64-bit fingerprint of a whole text is too coarse for this: at similarity
@@ -346,9 +397,14 @@ def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, similar
     ``samples`` orders). A fingerprint of ``words`` x 64 bits leaves out those far
     below: at similarity s, shingle vectors have cosine 2s / (1 + s), the share of
     differing bits is the angle over pi, and five deviations more are let pass, as
-    are sets of fewer than ``FEW`` shingles. The rest are compared by their sets.
-
-    First the pairs by which a search reaches a cell's members are compared; then
+    are sets of fewer than ``FEW`` shingles.
+
+    A search in each cell gives one candidate link for each member that it reaches,
+    so links grow with the texts and not with their pairs. Texts that these links
+    join are a group; similar texts are in one group, and a task searches a whole
+    group by the exact similarity of its sets. Groups of more than
+    ``group_shingles`` shingles (eight bytes each) don't fit a task; there, the
+    pairs by which a search reaches a cell's members are compared first, and then
     all pairs of a cell that these comparisons left in different components.
 
     A null text is empty; texts without words have empty sets and are similar to
@@ -358,25 +414,35 @@ def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, similar
     bits = words * 64
     limit = int(bits * share + 5 * np.sqrt(bits * share * (1 - share)))
     t = F.coalesce(F.col(text), F.lit(""))
-    distinct = docs.select(F.xxhash64(t).alias("node"), t.alias("text_")).dropDuplicates(["node"])
-    sketches = materialize(distinct.mapInArrow(_sketches(shingle, samples, size, words), "cells array<long>, node long, sig binary, size long"), "sketches")
+    keyed = docs.select(F.xxhash64(t).alias("node"), t.alias("text_"))
+    sketches = materialize(keyed.dropDuplicates(["node"]).mapInArrow(_sketches(shingle, samples, size, words), "cells array<long>, node long, sig binary, size long"), "sketches")
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        asked = docs.select(F.xxhash64(t).alias("node"), t.alias("text_")).join(nodes, "node").dropDuplicates(["node"])
-        sets = materialize(asked.mapInArrow(_sets(shingle), "node long, set binary"), "sets")
-        met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        return materialize(met.mapInArrow(_similar(similarity), "a long, b long"), "similar")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return keyed.join(nodes, "node").dropDuplicates(["node"]).select("text_", "node").mapInArrow(_sets(shingle), "node long, set binary")
 
     def candidates(rows: DataFrame, labelled: bool) -> DataFrame:
         cells = rows.withColumn("cell", F.explode("cells")).drop("cells")
         return cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_candidates(similarity, limit, words, labelled), "a long, b long")
 
-    links = similar(candidates(sketches, False))
-    labels = components(links).withColumnRenamed("root", "label")
-    more = similar(candidates(sketches.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), True))
-    return components(links.unionByName(more))
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+        sets = materialize(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+        met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        return materialize(met.mapInArrow(_similar(similarity), "a long, b long"), "similar")
+
+    def by_pairs(rows: DataFrame) -> DataFrame:
+        links = similar(candidates(rows, False))
+        labels = components(links).withColumnRenamed("root", "label")
+        more = similar(candidates(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), True))
+        return components(links.unionByName(more))
+
+    groups = components(candidates(sketches, False)).withColumnRenamed("root", "cell")
+    large = materialize(groups.join(sketches.select("node", "size"), "node").groupBy("cell").agg(F.sum("size").alias("n")).filter(F.col("n") > group_shingles).select("cell"), "large")
+    some = not large.isEmpty()
+    members = groups.join(large, "cell", "left_anti") if some else groups
+    sets = sets_of(members.select("node")).join(members, "node")
+    done = sets.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_in_groups(similarity), "node long, root long")
+    return done.unionByName(by_pairs(sketches.join(groups.join(large, "cell").select("node"), "node"))) if some else done
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
