@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,36 +36,38 @@ def cumulative_delta(rows: DataFrame, keys: list[str], order: str, counters: lis
     return rows.withColumns({c: F.greatest(F.lit(0), F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0))).cast("long") for c in counters})
 
 
+COUNTERS = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens"]
+
+
 def counter_deltas(rows: DataFrame, key: str, order: str, kind: str = "kind") -> DataFrame:
     """Token counters of a log whose mode must be guessed, as usage: input, output, cache_read and cache_write of each row.
 
-    Counters count as running totals from the first row on that doesn't fall,
-    grows, and either follows a counted row or is of a kind that names tokens.
-    From then on the greater of a row's counters decides: differences, or the
-    values themselves where both fell. Rows are in order within a file; a file
-    is one session's log, whose rows are worked on one after the other.
+    Up to the first row with tokens whose kind names tokens, counters are counts.
+    From there on they are running totals: a row counts by what it has more than
+    the last such row. A row in which input and output both fell is a count
+    again, and the next row is compared with the one before it. ``order`` is
+    unique within a file; which rows fell is decided along the file's counters,
+    everything else by windows. Unknown counters are 0; an empty table stays empty.
     """
-    names = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens"]
-
-    def session(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        last, running, out = [0, 0, 0, 0], False, []
-        for row in frame[[*names, kind]].itertuples(index=False):
-            now, what = [int(x or 0) for x in row[:4]], str(row[4] or "")
-            grows = now[0] >= last[0] and now[1] >= last[1] and (now[0] > last[0] or now[1] > last[1])
-            guess = running or (grows and (last[0] > 0 or last[1] > 0 or "token" in what))
-            if guess and (now[0] >= last[0] or now[1] >= last[1]):
-                running = True
-                out.append([max(0, a - b) for a, b in zip(now, last, strict=True)])
-                last = now
-            else:
-                out.append(now)
-                if not running:
-                    last = [0, 0, 0, 0]
-        frame[names] = pd.DataFrame(out, columns=names, index=frame.index, dtype="int64")
-        return frame
-
-    return rows.groupBy(key).applyInPandas(session, rows.schema)
+    known = rows.withColumns({c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")) for c in COUNTERS})
+    names_tokens = F.coalesce(F.col(kind), F.lit("")).contains("token") & (F.greatest("input_tokens", "output_tokens") > 0)
+    begun = F.min(F.when(names_tokens, F.col(order))).over(W.partitionBy(key))
+    phased = known.withColumn("_running", F.coalesce(F.col(order) >= begun, F.lit(False)))
+    log = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col("input_tokens").alias("i"), F.col("output_tokens").alias("o"))))
+    zero, kind_of = F.lit(0).cast("long"), rows.schema[order].dataType.simpleString()
+
+    def follow(last: Column, row: Column) -> Column:
+        fell = (row["i"] < last["i"]) & (row["o"] < last["o"])
+        after = F.struct(row["i"].alias("i"), row["o"].alias("o"), last["fell"].alias("fell"))
+        return F.when(fell, F.struct(last["i"].alias("i"), last["o"].alias("o"), F.array_append(last["fell"], row["at"]).alias("fell"))).otherwise(after)
+
+    start = F.struct(zero.alias("i"), zero.alias("o"), F.array().cast(f"array<{kind_of}>").alias("fell"))
+    fallen = phased.filter("_running").groupBy(key).agg(F.aggregate(log, start, follow)["fell"].alias("_fell"))
+    marked = phased.join(fallen.select(key, F.explode("_fell").alias(order)).withColumn("_single", F.lit(True)), [key, order], "left")
+    marked = marked.withColumn("_total", F.col("_running") & F.col("_single").isNull())
+    before = W.partitionBy(key, "_total").orderBy(order)
+    own = {c: F.when(F.col("_total"), F.greatest(zero, F.col(c) - F.coalesce(F.lag(c).over(before), zero))).otherwise(F.col(c)) for c in COUNTERS}
+    return marked.withColumns(own).select(*rows.columns)
 
 
 def context_estimate(rows: DataFrame, keys: list[str], order: str, text: str = "text", speaker: str = "role", answers: str = "assistant") -> DataFrame:

@@ -54,9 +54,13 @@ def raw_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def priced(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    return conform(price_events(rows, R.rates(spark)))
+
+
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priced rows."""
-    return conform(price_events(raw_usage(spark, sf_dir), R.rates(spark)))
+    return priced(spark, raw_usage(spark, sf_dir))
 
 
 def _values(rows) -> str:

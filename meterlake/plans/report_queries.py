@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import rates as R
 from ..operators import activity, reports
 from ..sources.connectors import CONNECTORS, agents_table
-from .adapter import E_SQL, NOW, NOW_SQL, PARTS, REQ, norm_sql, usage
+from .adapter import E_SQL, NOW, NOW_SQL, PARTS, REQ, norm_sql, priced, raw_usage, usage
 from .queries import query
 
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -97,12 +97,12 @@ _RECENT = "SELECT id, agent, model, {at}, total_tokens, round(estimated_cost, 9)
 
 @query(f"WITH {E_SQL} " + _RECENT.format(at=AT_SQL, where="", n=100))
 def recent_events(spark, sf_dir):
-    return reports.recent(usage(spark, sf_dir)).select("id", "agent", "model", at(), "total_tokens", F.round("estimated_cost", 9).alias("estimated_cost"))
+    return priced(spark, reports.recent(raw_usage(spark, sf_dir))).select("id", "agent", "model", at(), "total_tokens", F.round("estimated_cost", 9).alias("estimated_cost"))
 
 
 @query(f"WITH {E_SQL} " + _RECENT.format(at=AT_SQL, where="WHERE agent = 'grok'", n=1000))
 def recent_events_agent(spark, sf_dir):
-    return reports.recent(usage(spark, sf_dir), 5000, "grok").select("id", "agent", "model", at(), "total_tokens", F.round("estimated_cost", 9).alias("estimated_cost"))
+    return priced(spark, reports.recent(raw_usage(spark, sf_dir), 5000, "grok")).select("id", "agent", "model", at(), "total_tokens", F.round("estimated_cost", 9).alias("estimated_cost"))
 
 
 LIVE_SQL = "ts IS NOT NULL AND coalesce(request_count, 0) <= 5 AND (NOT estimated OR (coalesce(request_count, 0) <= 1 AND total_tokens <= 2000000 AND (total_tokens > 0 OR coalesce(estimated_cost, 0) > 0)))"

@@ -97,15 +97,39 @@ def uncached_split(spark, sf_dir):
     return usage(spark, sf_dir).select("id", S.uncached(F.col("total_tokens"), F.col("cache_read_tokens")).cast("long").alias("uncached"), S.output_with_reasoning(F.col("output_tokens"), F.col("cache_write_tokens"), F.col("agent")).alias("output_tokens"), S.of_ticks(F.col("seq")).alias("usd"))
 
 
-@query(f"""SELECT DISTINCT day, strftime(CASE WHEN h < 12 THEN day::TIMESTAMP + to_hours(h) WHEN day::TIMESTAMP + INTERVAL 12 HOUR <= {NOW_SQL} - INTERVAL 7 DAY THEN day::TIMESTAMP + INTERVAL 12 HOUR ELSE day::TIMESTAMP END, '%Y-%m-%d %H:%M:%S') AS stamp
-FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, max(CAST(date_part('hour', ts) AS INT)) AS h FROM events WHERE user_id % 37 = 0 GROUP BY 1)""")
+@query(f"""SELECT user_id, day, strftime(CASE WHEN h <= 12 THEN day::TIMESTAMP + to_hours(h) WHEN day::TIMESTAMP + INTERVAL 12 HOUR <= {NOW_SQL} - INTERVAL 7 DAY THEN day::TIMESTAMP + INTERVAL 12 HOUR ELSE day::TIMESTAMP END, '%Y-%m-%d %H:%M:%S') AS stamp
+FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, max(CAST(date_part('hour', ts) AS INT)) AS h FROM events GROUP BY ALL)""")
 def synthetic_ts(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("user_id % 37 = 0").withColumn("ts", F.col("ts").cast("timestamp"))
-    days = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.max(F.hour("ts")).alias("h"))
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    days = e.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.max(F.hour("ts")).alias("h"))
     at = F.to_timestamp("day", "yyyy-MM-dd") + F.make_dt_interval(hours=F.col("h"))
     from datetime import timedelta
 
-    return days.select("day", F.date_format(time.rollup_moment(F.col("day"), at, time.moment(NOW - timedelta(days=7))), "yyyy-MM-dd HH:mm:ss").alias("stamp"))
+    return days.select("user_id", "day", F.date_format(time.rollup_moment(F.col("day"), at, time.moment(NOW - timedelta(days=7))), "yyyy-MM-dd HH:mm:ss").alias("stamp"))
+
+
+@query("SELECT event_id, event_id * 12345.0::DOUBLE / 1e10::DOUBLE AS usd FROM events")
+def cost_ticks(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", S.of_ticks(F.col("event_id") * F.lit(12345.0)).alias("usd"))
+
+
+_POLICY = "CASE user_id % 3 WHEN 0 THEN 'grok' WHEN 1 THEN 'hermes' ELSE 'cursor' END"
+
+
+@query(f"""WITH p AS (SELECT event_id, {_POLICY} AS agent, CAST(floor(value) AS BIGINT) AS o, CASE WHEN event_id % 4 > 0 THEN event_id % 90 END AS r FROM events)
+SELECT event_id, agent, CASE agent WHEN 'grok' THEN greatest(o, coalesce(r, 0)) WHEN 'hermes' THEN o + coalesce(r, 0) ELSE o END AS output_tokens FROM p""")
+def reasoning_policy(spark, sf_dir):
+    reasoning = F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 90)
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(_POLICY).alias("agent"), F.floor("value").cast("long").alias("o"), reasoning.alias("r"))
+    return rows.select("event_id", "agent", S.output_with_reasoning(F.col("o"), F.col("r"), F.col("agent")).alias("output_tokens"))
+
+
+_SPOKEN = "CASE user_id % 6 WHEN 0 THEN ' Grok ' WHEN 1 THEN 'hermes' WHEN 2 THEN 'DEVIN' WHEN 3 THEN '' WHEN 4 THEN 'unheard-of' END"
+
+
+@query(f"""SELECT event_id, CASE lower(trim(a)) WHEN 'grok' THEN 'Grok (xAI)' WHEN 'hermes' THEN 'Hermes Agent' WHEN 'devin' THEN 'Devin' ELSE coalesce(nullif(a, ''), 'unknown') END AS label FROM (SELECT event_id, {_SPOKEN} AS a FROM events)""")
+def agent_labels(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", text.agent_label(F.expr(_SPOKEN)).alias("label"))
 
 
 @query()

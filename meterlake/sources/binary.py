@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,34 +20,32 @@ def decrypt(content: Column, key: Column) -> Column:
     return F.try_aes_decrypt(content, key, F.lit("GCM"))
 
 
-def numbers_after(data: bytes, label: str) -> list[float]:
-    """The little-endian floats that follow each occurrence of a label within a few bytes of a mark."""
-    name, found, at = label.encode(), [], 0
-    while (at := data.find(name, at)) >= 0:
-        at += len(name)
-        for pos in range(at, min(at + FLOAT_WITHIN, len(data) - 4)):
-            if data[pos] == FLOAT_MARK:
-                (value,) = struct.unpack_from("<f", data, pos + 1)
-                if 0 <= value < FLOAT_LIMIT:
-                    found.append(value)
-                    break
-    return found
+def small_float(four: Column) -> Column:
+    """The number of four little-endian bytes (as ISO-8859-1 text) read as a float, if it is from 0 to below ``FLOAT_LIMIT``; else null."""
+    byte = [F.ascii(F.substr(four, F.lit(i), F.lit(1))) for i in (1, 2, 3, 4)]
+    exponent = (byte[3] % 128) * 2 + F.floor(byte[2] / 128)
+    fraction = (byte[0] + byte[1] * 256 + (byte[2] % 128) * 65536) / F.lit(float(1 << 23))
+    size = F.when(exponent == 0, fraction * F.lit(2.0**-126)).when(exponent < 255, (1 + fraction) * F.pow(F.lit(2.0), exponent - 127))
+    return F.when((size == 0) | ((byte[3] < 128) & (size < FLOAT_LIMIT)), size)
+
 
+def numbers_after(content: Column, label: str) -> Column:
+    """The floats behind the occurrences of a label: of each, the first that stands within a few bytes behind a mark and is in range."""
+    near = F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(rf"(?s)\Q{label}\E(?=(.{{0,{FLOAT_WITHIN + 4}}}))"), F.lit(1))
+    places = F.array(*[F.lit(i) for i in range(1, FLOAT_WITHIN + 1)])
 
-def labelled_total(family: str) -> Column:
-    """A pandas UDF: the rounded sum of the numbers after the first label of a family that has any."""
+    def first(text: Column) -> Column:
+        whole = F.filter(places, lambda i: (F.substr(text, i, F.lit(1)) == chr(FLOAT_MARK)) & (F.length(text) >= i + 4))
+        return F.get(F.filter(F.transform(whole, lambda i: small_float(F.substr(text, i + 1, F.lit(4)))), lambda v: v.isNotNull()), F.lit(0))
 
-    @F.pandas_udf("long")
-    def total(content: pd.Series) -> pd.Series:
-        def one(data: bytes | None) -> int:
-            for label in LABELS[family]:
-                if values := numbers_after(data or b"", label):
-                    return sum(int(v + 0.5) for v in values)
-            return 0
+    return F.filter(F.transform(near, first), lambda v: v.isNotNull())
 
-        return content.map(one)
 
-    return total
+def labelled_total(content: Column, family: str) -> Column:
+    """The rounded sum of the numbers after the first label of a family that has any, 0 if none has."""
+    total = lambda found: F.aggregate(found, F.lit(0).cast("long"), lambda a, v: a + F.floor(v + 0.5).cast("long"))
+    lists = [numbers_after(content, label) for label in LABELS[family]]
+    return F.coalesce(*[F.when(F.size(x) > 0, total(x)) for x in lists], F.lit(0).cast("long"))
 
 
 def strings(content: Column) -> Column:

@@ -21,7 +21,7 @@ def read_trajectories(spark: SparkSession, roots: list[str], key: bytes | None =
     found = files.read_bytes(spark, roots, r".*\.pb$").filter(F.col("length") >= LEAST_BYTES)
     plain = binary.decrypt(F.col("content"), F.lit(key)) if key else F.lit(None).cast("binary")
     opened = found.select("path", "mtime", "length", plain.alias("plain"))
-    counts = opened.select("path", "mtime", "length", binary.dominant_model(F.col("plain")).alias("model"), *[binary.labelled_total(f)(F.coalesce("plain", F.lit(b""))).alias(f) for f in binary.LABELS])
+    counts = opened.select("path", "mtime", "length", binary.dominant_model(F.col("plain")).alias("model"), *[binary.labelled_total(F.col("plain"), f).alias(f) for f in binary.LABELS])
     real = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_read_tokens") > 0
     guess = S.size_estimate(F.col("length"))
     out = counts.withColumn("real", real).filter((F.col("length") >= LEAST_GUESSED) | F.col("real")).withColumns({c: F.when(F.col("real"), F.col(c)).otherwise(guess.get(c, F.lit(0))) for c in binary.LABELS})

@@ -16,8 +16,18 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _rename(fs, a, b) -> None:
+    if not fs.rename(a, b):
+        raise OSError(f"{a} could not be renamed to {b}")
+
+
 def write_snapshot(rows: DataFrame, path: str) -> None:
-    """Write beside the snapshot, then swap names: readers see the old or the new one. The old one stays as ``.bak``. Partitioned by UTC day."""
+    """Write beside the snapshot, then swap names; the old one stays as ``.bak``. Partitioned by UTC day.
+
+    A writer that stops before the swap leaves the snapshot as it was; one that
+    stops between the two renames leaves ``.bak``, which is then the snapshot for
+    readers and isn't removed by the next writer.
+    """
     spark = rows.sparkSession
     staging = f"{path}.staging-{uuid.uuid4().hex}"
     dated = rows.withColumn("day", F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("unknown")))
@@ -26,17 +36,20 @@ def write_snapshot(rows: DataFrame, path: str) -> None:
     fs, live = _fs(spark, path)
     _, back = _fs(spark, f"{path}.bak")
     _, made = _fs(spark, staging)
+    fs.mkdirs(live.getParent())
     if fs.exists(live):
         fs.delete(back, True)
-        fs.rename(live, back)
-    fs.mkdirs(live.getParent())
-    fs.rename(made, live)
+        _rename(fs, live, back)
+    _rename(fs, made, live)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The snapshot's rows, or none if there is no snapshot."""
-    fs, live = _fs(spark, path)
-    return conform(spark.read.parquet(path)) if fs.exists(live) else empty(spark)
+    """The snapshot's rows; those of the one before if a writer stopped between the renames; none if there is neither."""
+    for place in (path, f"{path}.bak"):
+        fs, found = _fs(spark, place)
+        if fs.exists(found):
+            return conform(spark.read.parquet(place))
+    return empty(spark)
 
 
 def score(rows: DataFrame) -> tuple[int, int]:

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; set here only where it is unset, as in tests."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Where it is unset, local mode takes a temporary folder; a cluster is an error."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="meterlake-"))
         where = sc.getCheckpointDir()
     return where.rstrip("/")
