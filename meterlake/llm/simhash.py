@@ -418,7 +418,8 @@ def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, similar
     sketches = materialize(keyed.dropDuplicates(["node"]).mapInArrow(_sketches(shingle, samples, size, words), "cells array<long>, node long, sig binary, size long"), "sketches")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        return keyed.join(nodes, "node").dropDuplicates(["node"]).select("text_", "node").mapInArrow(_sets(shingle), "node long, set binary")
+        # the nodes grow with the documents, so they are never broadcast
+        return keyed.join(nodes.hint("merge"), "node").dropDuplicates(["node"]).select("text_", "node").mapInArrow(_sets(shingle), "node long, set binary")
 
     def candidates(rows: DataFrame, labelled: bool) -> DataFrame:
         cells = rows.withColumn("cell", F.explode("cells")).drop("cells")
