@@ -91,6 +91,13 @@ def period_stats(rows: DataFrame, bundled: DataFrame, now: datetime, tz: str = "
     return sets.select("period", dim.alias("dim"), F.coalesce("m", "a").alias("key"), *MEASURES, *COSTS, "event_count")
 
 
+def period_documents(stats: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(period, total, by_model, by_agent): the sums of ``period_stats`` as JSON, lists sorted by key, for an export that has one document a period."""
+    row = F.struct(*(columns or [c for c in stats.columns if c not in ("period", "dim")]))
+    listed = lambda dim: F.to_json(F.array_sort(F.collect_list(F.when(F.col("dim") == dim, row))))
+    return stats.groupBy("period").agg(F.to_json(F.first(F.when(F.col("dim") == "total", row), True)).alias("total"), listed("model").alias("by_model"), listed("agent").alias("by_agent"))
+
+
 def agent_status(rows: DataFrame, agents: DataFrame) -> DataFrame:
     """``agents`` (agent) with label, number of rows and last time; agents without rows too."""
     seen = rows.groupBy("agent").agg(F.count(F.lit(1)).alias("event_count"), F.max(second()).alias("last_event"))

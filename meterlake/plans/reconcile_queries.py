@@ -188,11 +188,11 @@ def _short(rows):
     return rows.select("id", "agent", "model", at(), "input_tokens", "total_tokens", F.coalesce("request_count", F.lit(1)).alias("request_count"), F.round("estimated_cost", 12).alias("estimated_cost"))
 
 
-@query(f"WITH {E_SQL}, {_DOCS} {_SHORT} {_expand_sql('docs', 'models', '(SELECT * FROM e WHERE seq % 5 = 0)')} q")
+@query(f"WITH {E_SQL}, {_DOCS} {_SHORT} {_expand_sql('docs', 'models', 'e')} q")
 def expand_daily(spark, sf_dir):
     from ..functions.time import moment
 
-    calls = usage(spark, sf_dir).filter("seq % 5 = 0")
+    calls = usage(spark, sf_dir)
     return _short(RD.expand_days(RD.merge_days(_documents(spark, sf_dir)), calls, moment(NOW)))
 
 
@@ -241,10 +241,10 @@ def tiered_rollup(spark, sf_dir):
 
 def _rollups(spark, sf_dir):
     rows = usage(spark, sf_dir)
-    return M.tiered_rollup(rows.filter("seq % 2 = 0"), NOW, "host-a"), M.tiered_rollup(rows.filter("seq % 3 = 0"), NOW, " host b!")
+    return M.tiered_rollup(rows.filter("seq % 3 <> 1"), NOW, "host-a"), M.tiered_rollup(rows.filter("seq % 3 <> 0"), NOW, " host b!")
 
 
-_ROLLUPS = f"ra AS MATERIALIZED (SELECT * FROM {Q.tiered('(SELECT * FROM e WHERE seq % 2 = 0)', 'host-a')}), rb AS MATERIALIZED (SELECT * FROM {Q.tiered('(SELECT * FROM e WHERE seq % 3 = 0)', 'host-b')})"
+_ROLLUPS = f"ra AS MATERIALIZED (SELECT * FROM {Q.tiered('(SELECT * FROM e WHERE seq % 3 <> 1)', 'host-a')}), rb AS MATERIALIZED (SELECT * FROM {Q.tiered('(SELECT * FROM e WHERE seq % 3 <> 0)', 'host-b')})"
 
 
 @query(f"WITH {E_SQL}, {_ROLLUPS} SELECT DISTINCT {Q.MACHINE} AS machine FROM (SELECT {Q.COLS} FROM ra UNION ALL SELECT {Q.COLS} FROM rb UNION ALL SELECT {Q.COLS} FROM e) WHERE {Q.MACHINE} IS NOT NULL")

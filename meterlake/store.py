@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.dedup import richer_union
 from .operators.merge import heal
+from .operators.reports import sanitize
 from .schema import conform, empty, weight
 
 
@@ -67,3 +69,14 @@ def load_best(spark: SparkSession, path: str) -> DataFrame:
     """The better of the snapshot and the one before, healed."""
     live, back = read_snapshot(spark, path), read_snapshot(spark, f"{path}.bak")
     return heal(back if better(score(back), score(live)) else live)
+
+
+def save_imported(rows: DataFrame, folder: str) -> None:
+    """Rows of other hosts' exports, cleaned, as a snapshot of their own."""
+    write_snapshot(sanitize(rows), f"{folder}/imported")
+
+
+def load_imported(spark: SparkSession, folder: str, legacy: str | None = None) -> DataFrame:
+    """Imported rows, and those of a former folder that are absent or richer there: by id, the richest."""
+    rows = read_snapshot(spark, f"{folder}/imported")
+    return sanitize(richer_union(rows, read_snapshot(spark, f"{legacy}/imported"))) if legacy else sanitize(rows)

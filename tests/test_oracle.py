@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["stats_by_model", "period_stats", "price_events", "collapse_router_days", "reconcile_daily", "monotonic_merge", "generic_usage_scan", "sliding_rate", "recent_events", "recent_events_agent", "synthetic_ts", "uncached_split", "cost_ticks", "reasoning_policy", "agent_labels"]
+NAMES = ["stats_by_model", "period_stats", "price_events", "collapse_router_days", "reconcile_daily", "monotonic_merge", "generic_usage_scan", "sliding_rate", "recent_events", "recent_events_agent", "synthetic_ts", "uncached_split", "cost_ticks", "reasoning_policy", "agent_labels", "message_contents", "alias_override", "proxy_claims", "hot_rows", "spend_by_model", "thread_replacement", "conversation_models", "export_period_stats"]
 
 
 def plain(frame):
