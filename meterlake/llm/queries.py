@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, langid, mixing, ogg, pst, sharding, simhash, suffix_dedup, token_count, window_dedup
+from . import conversations, decontamination, langid, mixing, ogg, pst, sharding, simhash, suffix_dedup, token_count, token_files, variants, window_dedup
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_language_id": langid.op8_language_id,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_window_dedup": window_dedup.op10_window_dedup,
+        "op11_spelling_variants": variants.op11_spelling_variants,
+        "op12_conversation_repair": conversations.op12_conversation_repair,
+        "op13_token_files": token_files.op13_token_files,
     }
 
 
