@@ -45,7 +45,7 @@ INDEX = np.dtype([("offset", "<u8"), ("size", "<u4"), ("first", "<u8"), ("n", "<
 BLOCK_IDS = 1 << 16
 FILE_BYTES = 32 << 20
 #: Spellings whose ids a worker remembers.
-KNOWN = 1_000_000
+KNOWN = 250_000
 ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
 PLANES = {"bit": 1, "byte": 0}
 
