@@ -20,6 +20,7 @@ file system that Spark writes to, and a task that is run again leaves one file.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -46,6 +47,8 @@ BLOCK_IDS = 1 << 16
 FILE_BYTES = 32 << 20
 #: Spellings whose ids a worker remembers.
 KNOWN = 250_000
+#: Letters of ASCII and Latin-1, which composing leaves as they are and which lower-case one by one.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
 PLANES = {"bit": 1, "byte": 0}
 
@@ -178,23 +181,41 @@ class Encoder:
     Such a tokenizer never joins what white space separates, so each distinct
     spelling between white space is encoded once and remembered. ``apart`` are
     ASCII characters that it doesn't join to a letter or digit before them: one
-    at the end of a spelling is encoded on its own.
+    at the end of a spelling is encoded on its own. Where a trial shows that the
+    tokenizer makes one lower-case piece of a run of Latin letters, such spellings go
+    to its model at once, without its normalizer and patterns.
     """
 
     def __init__(self, definition: str, apart: str = ""):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.known: dict[str, int] = {}
         self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.mapped = lambda text: byte_level.pre_tokenize_str(text)[0][0]
+        self.between = self.mapped("\n")
+        self.direct = False
+        letters = [chr(i) for i in range(0x41, 0x100) if LETTERS.fullmatch(chr(i))]
+        trial = [*letters, *("".join(letters[i : i + n]) for n in (2, 3, 7, 20) for i in range(0, len(letters), 3)), *("".join(letters[i::n]) for n in (5, 11, 50) for i in range(n))]
+        self.direct = self._ids(trial, True) == self._ids(trial, False)
         self.apart = np.zeros(256, bool)
         self.apart[list(apart.encode("ascii"))] = True
 
+    def _ids(self, spellings: list[str], direct: bool) -> list[list[int]]:
+        if not direct:
+            return [x.ids for lo in range(0, len(spellings), 4096) for x in self.tokenizer.encode_batch_fast(spellings[lo : lo + 4096], add_special_tokens=False)]
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(x)] for x in self.mapped("\n".join(spellings).lower()).split(self.between)] if spellings else []
+
     def _learn(self, spellings: list[str]) -> None:
         if len(self.known) + len(spellings) > KNOWN:
             self.known, self.ids, self.starts = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        lists = [x.ids for lo in range(0, len(spellings), 4096) for x in self.tokenizer.encode_batch_fast(spellings[lo : lo + 4096], add_special_tokens=False)]
+        plain = [x for x in spellings if self.direct and LETTERS.fullmatch(x)]
+        other = [x for x in spellings if not (self.direct and LETTERS.fullmatch(x))]
+        spellings, lists = plain + other, self._ids(plain, True) + self._ids(other, False)
         base = len(self.known)
         self.known.update(zip(spellings, range(base, base + len(spellings)), strict=True))
         size = np.fromiter(map(len, lists), np.int64, len(lists))
