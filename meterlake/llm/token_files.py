@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import _scratch, flat, pieces, read, slices, small_join, word_bounds
+from .common import SPACE, _scratch, flat, pieces, read, slices, small_join, word_bounds
 
 MAGIC, END_MAGIC, VERSION = b"PLNF", b"FNLP", 1
 HEAD = struct.Struct("<4sHBBI")
@@ -45,8 +45,10 @@ TRAILER = struct.Struct(">QQQQQQ4s")  # big-endian: column expressions read the
 INDEX = np.dtype([("offset", "<u8"), ("size", "<u4"), ("first", "<u8"), ("n", "<u4"), ("crc", "<u4")])
 BLOCK_IDS = 1 << 16
 FILE_BYTES = 32 << 20
+#: Bytes of text that are encoded at once.
+STEP_BYTES = 2 << 20
 #: Spellings whose ids a worker remembers.
-KNOWN = 250_000
+KNOWN = 400_000
 #: Letters of ASCII and Latin-1, which composing leaves as they are and which lower-case one by one.
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
@@ -213,8 +215,11 @@ class Encoder:
     def _learn(self, spellings: list[str]) -> None:
         if len(self.known) + len(spellings) > KNOWN:
             self.known, self.ids, self.starts = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        plain = [x for x in spellings if self.direct and LETTERS.fullmatch(x)]
-        other = [x for x in spellings if not (self.direct and LETTERS.fullmatch(x))]
+        plain, other = [], spellings
+        if self.direct:
+            other = []
+            for x in spellings:
+                (plain if LETTERS.fullmatch(x) else other).append(x)
         spellings, lists = plain + other, self._ids(plain, True) + self._ids(other, False)
         base = len(self.known)
         self.known.update(zip(spellings, range(base, base + len(spellings)), strict=True))
@@ -239,9 +244,8 @@ class Encoder:
     def encode(self, buf: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids one after another, each row closed by ``end``, and the number of each row's ids."""
         starts, ends, rows = self._cut(buf, *word_bounds(buf, offsets))
-        size = ends - starts
-        where = np.concatenate(([0], np.cumsum(size)))
-        letters = buf[_ramps(starts, size, where)]
+        where = np.concatenate(([0], np.cumsum(ends - starts)))
+        letters = buf[~SPACE[buf]]  # the spellings without what is between them
         words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(where.astype(np.int64)), pa.py_buffer(letters)]).dictionary_encode()
         spellings = words.dictionary.to_pylist()
         new = [x for x in spellings if x not in self.known]
@@ -250,18 +254,18 @@ class Encoder:
             self._learn(new)
             if len(self.known) < before + len(new):  # began anew
                 self._learn([x for x in spellings if x not in self.known])
-        number = np.fromiter((self.known[x] for x in spellings), np.int64, len(spellings))[words.indices.to_numpy()] if len(starts) else np.zeros(0, np.int64)
-        n = np.diff(self.starts)[number]
-        # one more piece a row: its end
-        piece_n = np.ones(len(starts) + len(rows) - 1, np.int64)
+        # rows' ends are one more spelling, of one id
+        ids, first = np.append(self.ids, np.uint32(end)), np.append(self.starts[:-1], self.starts[-1])
+        size = np.append(np.diff(self.starts), 1)
         at = rows + np.arange(len(rows))
-        is_end = np.zeros(len(piece_n), bool)
-        is_end[at[1:] - 1] = True
-        piece_n[~is_end] = n
-        cut = np.concatenate(([0], np.cumsum(piece_n)))
-        out = np.full(cut[-1], end, np.uint32)
-        out[_ramps(cut[:-1][~is_end], n)] = self.ids[_ramps(self.starts[number], n)]
-        return out, np.diff(cut[at])
+        number = np.full(len(starts) + len(rows) - 1, len(self.known))
+        inner = np.ones(len(number), bool)
+        inner[at[1:] - 1] = False
+        if len(starts):
+            number[inner] = np.fromiter((self.known[x] for x in spellings), np.int64, len(spellings))[words.indices.to_numpy()]
+        n = size[number]
+        cut = np.concatenate(([0], np.cumsum(n)))
+        return ids[_ramps(first[number], n, cut)], np.diff(cut[at])
 
 
 @lru_cache(maxsize=1)
@@ -309,7 +313,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", t
                 writer, encoder = Writer(TaskContext.get().partitionId(), width, planes, block), encoder_of(shared.value, apart)
                 yield _records([writer.head()])
             buf, offsets = flat(batch.column(1))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, STEP_BYTES):
                 ids, counts = encoder.encode(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], end)
                 records = list(writer.add(batch.column(0).slice(lo, hi - lo), ids, counts))
                 if records:
