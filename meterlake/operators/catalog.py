@@ -73,18 +73,36 @@ def _score(raw: Column) -> Column:
     )
 
 
+#: Slugs of fewer characters aren't looked for within names.
+WITHIN = 6
+
+
+def _grams(name: Column) -> Column:
+    """All stretches of ``WITHIN`` characters of a name."""
+    return F.when(F.length(name) >= WITHIN, F.transform(F.sequence(F.lit(1), F.length(name) - WITHIN + 1), lambda i: name.substr(i, F.lit(WITHIN)))).otherwise(F.array().cast("array<string>"))
+
+
 def lookup_catalog(models: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(model, id, rates) for the models that the catalog has: by id, else by slug, else by the longest and best slug (6 or more) within the name."""
+    """(model, id, rates) for the models that the catalog has: by id, else by slug, else by the longest and best slug (6 or more) within the name.
+
+    Names and rows meet by equal marks: ids, slugs, and the first characters of a
+    slug with every stretch of that length in a name, so that no name is compared
+    with all rows. The exact conditions follow.
+    """
     raw = F.lower(strip(F.col("model")))
     wanted = models.select("model").distinct().withColumn("raw", raw).filter("raw <> ''").withColumn("cand", F.explode(lookup_candidates(F.col("model"))))
-    bare = F.element_at(F.split("cand", "/"), -1)
+    bare, dashed = F.element_at(F.split("cand", "/"), -1), F.replace(F.col("raw"), F.lit("_"), F.lit("-"))
     rows = catalog.withColumns({"_id": F.lower("id"), "_slug": F.lower("slug"), "_bare": F.lower(F.element_at(F.split("id", "/"), -1))})
+    mark = lambda kind, c: F.concat(F.lit(kind), c)
+    within = F.transform(F.array_union(_grams(F.col("cand")), _grams(dashed)), lambda g: mark("w:", g))
+    asked = wanted.withColumn("mark", F.explode(F.array_distinct(F.concat(F.array(mark("i:", F.col("cand")), mark("s:", bare), mark("s:", F.col("cand")), mark("b:", bare)), within))))
+    held = rows.withColumn("mark", F.explode(F.array_distinct(F.array_compact(F.array(mark("i:", F.col("_id")), mark("s:", F.col("_slug")), mark("b:", F.col("_bare")), F.when(F.length("_slug") >= WITHIN, mark("w:", F.substring("_slug", 1, WITHIN))))))))
     tier = (
         F.when(F.col("_id") == F.col("cand"), 3)
         .when((F.col("_slug") == bare) | (F.col("_slug") == F.col("cand")) | (F.col("_bare") == bare), 2)
-        .when((F.length("_slug") >= 6) & (~F.col("_slug").contains(":batch") | F.col("cand").contains("batch")) & (F.col("cand").contains(F.col("_slug")) | F.replace(F.col("raw"), F.lit("_"), F.lit("-")).contains(F.col("_slug"))), 1)
+        .when((F.length("_slug") >= WITHIN) & (~F.col("_slug").contains(":batch") | F.col("cand").contains("batch")) & (F.col("cand").contains(F.col("_slug")) | dashed.contains(F.col("_slug"))), 1)
     )
-    met = wanted.join(F.broadcast(rows), tier.isNotNull()).withColumn("tier", tier)  # distinct names against one document of models
+    met = asked.join(held, "mark").withColumn("tier", tier).filter("tier is not null")
     best = F.max_by(F.struct("id", *RATES), F.struct("tier", _score(F.col("raw")), F.length("slug"), F.lit("")))
     return met.groupBy("model").agg(best.alias("b")).select("model", "b.*")
 
@@ -95,7 +113,7 @@ def model_catalog(catalog: DataFrame, seen: DataFrame, bundled: DataFrame, custo
     rate = F.struct(*RATES[:4])
     by_id = own.select(F.col("key").alias("_id"), rate.alias("by_id"))
     by_slug = own.select(F.col("key").alias("_slug"), rate.alias("by_slug"))
-    listed = catalog.withColumns({"_id": F.lower("id"), "_slug": F.lower("slug")}).join(F.broadcast(by_id), "_id", "left").join(F.broadcast(by_slug), "_slug", "left")
+    listed = catalog.withColumns({"_id": F.lower("id"), "_slug": F.lower("slug")}).join(by_id, "_id", "left").join(by_slug, "_slug", "left")
     mine = F.coalesce("by_id", "by_slug")
     pick = lambda c: F.coalesce(mine[c], F.col(c)).alias(c)
     shown = ["id", "name", "provider", "slug", "context_length", "modality", "source", *RATES[:4], "created", "free"]

@@ -120,10 +120,14 @@ def replace_summaries(summaries: DataFrame, details: DataFrame, keys: list[str])
 
 
 def with_sessions(rows: DataFrame, sessions: DataFrame) -> DataFrame:
-    """``rows`` with workspace and time of their session (session_id, started_at, ended_at, cwd); of repeated sessions the last started counts."""
+    """``rows`` with workspace and time of their session (session_id, started_at, ended_at, cwd); of repeated sessions the last started counts.
+
+    Rows that have ``ts`` and ``workspace`` keep what they know; the session's fill in.
+    """
     at = F.coalesce("ended_at", "started_at")
     one = sessions.filter(F.coalesce("session_id", F.lit("")) != "").groupBy("session_id").agg(F.max_by(F.struct(at.alias("ts"), F.col("cwd").alias("workspace")), F.struct("started_at", "ended_at", "cwd")).alias("s"))
-    return rows.join(one, "session_id", "left").select(*rows.columns, F.col("s.ts").alias("ts"), F.col("s.workspace").alias("workspace"))
+    told = {c: F.coalesce(F.col(c), F.col(f"s.{c}")) if c in rows.columns else F.col(f"s.{c}") for c in ("ts", "workspace")}
+    return rows.join(one, "session_id", "left").withColumns(told).select(*rows.columns, *[c for c in told if c not in rows.columns])
 
 
 def enabled(rows: DataFrame, switched: dict[str, bool]) -> DataFrame:

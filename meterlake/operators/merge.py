@@ -52,11 +52,14 @@ def keeps_old() -> Column:
 
 
 def monotonic_merge(old: DataFrame, new: DataFrame) -> DataFrame:
-    """For each agent and UTC day all rows of the old or of the new side, whichever is richer. Rows without a day are days of their own."""
+    """For each agent and UTC day all rows of the old or of the new side, whichever is richer. Rows without a day are days of their own.
+
+    Only the choice, one row an agent's day, is written; both sides are read twice.
+    """
     bucket = F.coalesce(day(), F.concat(F.lit("id:"), "id"))
-    sides = [drop_stale_residuals(cut(s)).withColumn("agent", normalize_agent(F.col("agent"))).withColumn("_bucket", bucket) for s in (old, new)]
+    sides = [drop_stale_residuals(s).withColumn("agent", normalize_agent(F.col("agent"))).withColumn("_bucket", bucket) for s in (old, new)]
     keys = ["agent", "_bucket"]
-    choice = _side_sums(sides[0], "p").join(_side_sums(sides[1], "n"), keys, "full_outer").select(*keys, keeps_old().alias("_old"))
+    choice = cut(_side_sums(sides[0], "p").join(_side_sums(sides[1], "n"), keys, "full_outer").select(*keys, keeps_old().alias("_old")))
     kept = [s.join(choice.filter(F.col("_old") == keep), keys, "left_semi") for s, keep in zip(sides, (True, False), strict=True)]
     return drop_stale_residuals(kept[0].unionByName(kept[1]).drop("_bucket"))
 
@@ -140,7 +143,7 @@ def light_merge(old: DataFrame, fresh: DataFrame, least: int = 5) -> DataFrame:
 
 def finalize(scanned: DataFrame, old: DataFrame, imported: DataFrame | None, machine: str) -> DataFrame:
     """All merges in order: heal the scan, keep richer old days, add imported rows, keep richer old days again."""
-    rows = heal(monotonic_merge(old, heal(richer_union(scanned))))
+    rows = heal(monotonic_merge(old, cut(heal(richer_union(scanned)))))
     if imported is not None:
         rows = cut(merge_local_over_rollups(cut(rows), imported, machine))
         rows = heal(monotonic_merge(old, rows))

@@ -30,6 +30,10 @@ def _family(raw: Column) -> Column:
     return out
 
 
+#: Rates' names of fewer characters aren't looked for within names.
+WITHIN = 5
+
+
 def resolve_models(models: DataFrame, bundled: DataFrame, custom: DataFrame | None = None) -> DataFrame:
     """``models`` (model) with raw and key: a custom rate, another name, a rate's own name, the longest rate name (5 or more) within it, its family, or null."""
     aliases = F.create_map(*[F.lit(x) for kv in R.ALIASES.items() for x in kv])
@@ -38,9 +42,14 @@ def resolve_models(models: DataFrame, bundled: DataFrame, custom: DataFrame | No
     if custom is not None:
         keys = custom.select("key", "ord", F.lit(True).alias("own")).unionByName(keys)
     exact = keys.groupBy(F.col("key").alias("raw")).agg(F.max("own").alias("own"))
-    inside = (F.col("raw").contains(F.col("key")) | F.replace(F.col("raw"), F.lit("_"), F.lit("-")).contains(F.col("key"))) & (F.length("key") >= 5) & (F.col("key") != "default")
-    longest = named.join(F.broadcast(keys), inside).groupBy("model").agg(F.max_by("key", F.struct(F.length("key"), -F.col("ord"))).alias("part"))  # the rate table: a few hundred rows
-    out = named.join(F.broadcast(exact), "raw", "left").join(longest, "model", "left")
+    # a rate's first characters meet every stretch of that length in a name; the whole is compared then
+    dashed = F.replace(F.col("raw"), F.lit("_"), F.lit("-"))
+    stretches = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - WITHIN + 1)), lambda i: c.substr(i, F.lit(WITHIN)))
+    asked = named.withColumn("start", F.explode(F.array_distinct(F.concat(stretches(F.col("raw")), stretches(dashed)))))
+    starts = keys.filter((F.length("key") >= WITHIN) & (F.col("key") != "default")).withColumn("start", F.substring("key", 1, WITHIN))
+    inside = F.col("raw").contains(F.col("key")) | dashed.contains(F.col("key"))
+    longest = asked.join(starts, "start").filter(inside).groupBy("model").agg(F.max_by("key", F.struct(F.length("key"), -F.col("ord"))).alias("part"))
+    out = named.join(exact, "raw", "left").join(longest, "model", "left")
     alias = F.try_element_at(aliases, F.col("raw"))
     key = F.when(F.col("own"), F.col("raw")).otherwise(F.coalesce(alias, F.when(F.col("own").isNotNull(), F.col("raw")), F.col("part"), _family(F.col("raw"))))
     return out.select("model", "raw", key.alias("key"))
@@ -64,7 +73,7 @@ def model_rates(models: DataFrame, bundled: DataFrame, custom: DataFrame | None
     for label, tier in tiers:
         by, name = tier.columns
         key = out[by].eqNullSafe(tier[by])
-        out = out.join(F.broadcast(tier) if label != "catalog" else tier, key, "left").select(*[out[c] for c in out.columns], tier[name])
+        out = out.join(tier, key, "left").select(*[out[c] for c in out.columns], tier[name])
         found.append((label, name))
     for label, name in reversed(found):
         source = F.when(F.col(name).isNotNull(), label).otherwise(source)
@@ -117,10 +126,11 @@ def apply_pricing(rated: DataFrame, router_cost: str | None = "router_cost", pre
     )
 
 
-def price_events(rows: DataFrame, bundled: DataFrame, custom: DataFrame | None = None, catalog: DataFrame | None = None, router_cost: str = "router_cost", prefer_router: bool = True) -> DataFrame:
-    """``rows`` priced; a ``router_cost`` column is used if there is one. Rate columns are left out."""
+def price_events(rows: DataFrame, bundled: DataFrame, custom: DataFrame | None = None, catalog: DataFrame | None = None, router_cost: str = "router_cost", prefer_router: bool = True, keep_rates: bool = False) -> DataFrame:
+    """``rows`` priced; a ``router_cost`` column is used if there is one. Rate columns are left out, unless reports are to find them."""
     own = router_cost if router_cost in rows.columns else None
-    return apply_pricing(with_rates(rows, bundled, custom, catalog), own, prefer_router).drop(*RATES, "rate_key", "rate_source")
+    priced = apply_pricing(with_rates(rows, bundled, custom, catalog), own, prefer_router)
+    return priced.drop("rate_key", "rate_source") if keep_rates else priced.drop(*RATES, "rate_key", "rate_source")
 
 
 def reprice_events(rows: DataFrame, bundled: DataFrame, custom: DataFrame | None = None, force: bool = False) -> DataFrame:
@@ -129,7 +139,7 @@ def reprice_events(rows: DataFrame, bundled: DataFrame, custom: DataFrame | None
     kept = rows
     if custom is not None:
         own = custom.select(F.col("key").alias("_raw"), F.lit(True).alias("_own"))
-        kept = rows.withColumn("_raw", raw_name(F.col("model"))).join(F.broadcast(own), "_raw", "left").drop("_raw")
+        kept = rows.withColumn("_raw", raw_name(F.col("model"))).join(own, "_raw", "left").drop("_raw")
         table = table | F.coalesce("_own", F.lit(False))
     return price_events(kept.withColumn("router_cost", F.when(~table, F.col("estimated_cost"))), bundled, custom).drop("router_cost", "_own")
 

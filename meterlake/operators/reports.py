@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import time
 from ..functions.text import agent_label, model_key
 from ..schema import cost, is_estimated, requests, second, token_sum
-from .pricing import cost_parts, first_by, with_rates
+from .pricing import RATES, cost_parts, first_by, with_rates
 
 MEASURES = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "total_tokens"]
 COSTS = ["estimated_cost", "input_cost", "cache_cost", "output_cost"]
@@ -36,10 +36,10 @@ def measures() -> list[Column]:
 
 
 def with_parts(rows: DataFrame, bundled: DataFrame, custom: DataFrame | None = None) -> DataFrame:
-    """``rows`` with input, cache and output cost: by rates, scaled to the recorded cost."""
+    """``rows`` with input, cache and output cost: by rates, scaled to the recorded cost. Rows that still have the rates they were priced with use those."""
     parts = cost_parts(F.col("estimated_cost"))
-    rated = with_rates(rows, bundled, custom)
-    return rated.select(*rows.columns, *[parts[c].alias(c) for c in COSTS[1:]])
+    rated = rows if set(RATES) <= set(rows.columns) else with_rates(rows, bundled, custom)
+    return rated.select(*[c for c in rows.columns if c not in RATES], *[parts[c].alias(c) for c in COSTS[1:]])
 
 
 def in_period(rows: DataFrame, since: datetime | None = None, until: datetime | None = None, agent: str | None = None) -> DataFrame:
@@ -81,12 +81,20 @@ PERIODS = ["today", "24h", "7d", "30d", "all"]
 
 
 def period_stats(rows: DataFrame, bundled: DataFrame, now: datetime, tz: str = "UTC") -> DataFrame:
-    """(period, dim, key, sums) for each period, in all, by model and by agent: one scan, a row goes to the periods that hold it."""
+    """(period, dim, key, sums) for each period, in all, by model and by agent.
+
+    One scan sums each agent's models, for each period by a condition; what is
+    spread over periods and grouping sets are those few sums, not rows.
+    """
     starts = {p: time.since(None if p == "all" else p, now, tz) for p in PERIODS}
-    held = [F.when(F.lit(True) if s is None else F.col("ts") >= time.moment(s), p) for p, s in starts.items()]
-    spread = with_parts(rows, bundled).filter("ts is not null").withColumn("period", F.explode(F.array_compact(F.array(*held))))
-    spread = spread.withColumns({"m": group_key("model"), "a": group_key("agent")})
-    sets = spread.groupingSets([["period"], ["period", "m"], ["period", "a"]], "period", "m", "a").agg(*measures(), F.grouping("m").alias("gm"), F.grouping("a").alias("ga"))
+    held = [F.lit(True) if s is None else F.col("ts") >= time.moment(s) for s in starts.values()]
+    told = {c: F.col(c) for c in MEASURES} | {"estimated_cost": cost()} | {c: F.col(c) for c in COSTS[1:]} | {"event_count": requests(), "rows": F.lit(1).cast("long")}
+    keyed = with_parts(rows, bundled).filter("ts is not null").select(group_key("model").alias("m"), group_key("agent").alias("a"), "ts", *[c.alias(f"_{n}") for n, c in told.items()])
+    sums = keyed.groupBy("m", "a").agg(*[F.sum(F.when(h, F.col(f"_{n}"))).alias(f"{n}_{i}") for i, h in enumerate(held) for n in told])
+    each = F.array(*[F.struct(F.lit(p).alias("period"), *[F.col(f"{n}_{i}").alias(n) for n in told]) for i, p in enumerate(PERIODS)])
+    spread = sums.select("m", "a", F.inline(each)).filter("rows > 0")
+    last = [*[F.sum(c).cast("long").alias(c) for c in [*MEASURES, "event_count"]], *[F.round(F.sum(c), DIGITS).alias(c) for c in COSTS]]
+    sets = spread.groupingSets([["period"], ["period", "m"], ["period", "a"]], "period", "m", "a").agg(*last, F.grouping("m").alias("gm"), F.grouping("a").alias("ga"))
     dim = F.when(F.col("gm") == 0, "model").when(F.col("ga") == 0, "agent").otherwise("total")
     return sets.select("period", dim.alias("dim"), F.coalesce("m", "a").alias("key"), *MEASURES, *COSTS, "event_count")
 

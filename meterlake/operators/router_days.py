@@ -104,9 +104,9 @@ def collapse_router_days(rows: DataFrame) -> DataFrame:
     others, routed = dated.filter("_day is null").drop("_day"), dated.filter("_day is not null")
     rollups, calls = routed.filter(is_estimated()), routed.filter(~is_estimated())
     own = F.when(_workspace() == "", F.concat(F.lit("id:"), "id")).otherwise(F.concat(F.lit("mw:"), _name(), F.lit("|"), _workspace()))
-    rollups = dedupe_mixed(richest(rollups, F.col("agent"), F.col("_day"), own), keys)
-    clean = cut(rollups.unionByName(calls))  # read for the sums, the choice and the gaps
-    choice = day_sums(clean, keys).select(*keys, day_choice().alias("_choice"))
+    rollups = cut(dedupe_mixed(richest(rollups, F.col("agent"), F.col("_day"), own), keys))
+    clean = rollups.unionByName(calls)  # read for the sums, the choice and the gaps; requests, which are many, from where they are
+    choice = cut(day_sums(clean, keys).select(*keys, day_choice().alias("_choice")))
     chosen = clean.join(choice, keys)
     keep = F.when(is_estimated(), F.col("_choice").isin(ROLLUPS, BOTH)).otherwise(F.col("_choice").isin(REQUESTS, BOTH, FILLED))
     filled = chosen.filter(F.col("_choice") == FILLED).drop("_choice")

@@ -17,16 +17,16 @@ def carry_forward(rows: DataFrame, keys: list[str], order: str, columns: list[st
     return rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
 
-def turn_segments(rows: DataFrame, keys: list[str], order: str, starts: Column, ends: Column, chars: dict[str, Column], ts: str = "ts") -> DataFrame:
+def turn_segments(rows: DataFrame, keys: list[str], order: str, starts: Column, ends: Column, chars: dict[str, Column], ts: str = "ts", last: dict[str, Column] | None = None) -> DataFrame:
     """(keys, turn, start_ts, end_ts, sums): turns from a start mark to the first end mark after it; turns without an end are left out.
 
-    ``chars`` names what is summed over the rows of a turn.
+    ``chars`` names what is summed over the rows of a turn, ``last`` what is taken from its last row.
     """
     w = running_window(keys, order)
     cut = rows.withColumns({"turn": F.sum(F.when(starts, 1).otherwise(0)).over(w), "_end": F.when(ends, 1).otherwise(0)}).filter("turn > 0")
     ended = F.sum("_end").over(running_window([*keys, "turn"], order)) - F.col("_end")
     inside = cut.withColumn("_before", ended).filter("_before = 0")
-    out = inside.groupBy(*keys, "turn").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), *[F.sum(c).cast("long").alias(n) for n, c in chars.items()], F.max("_end").alias("_closed"))
+    out = inside.groupBy(*keys, "turn").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), *[F.sum(c).cast("long").alias(n) for n, c in chars.items()], *[F.max_by(c, order).alias(n) for n, c in (last or {}).items()], F.max("_end").alias("_closed"))
     return out.filter("_closed = 1").drop("_closed")
 
 

@@ -76,7 +76,20 @@ def _documents(spark):
     return spark.createDataFrame([(json.dumps({"data": models}),)], "value string")
 
 
-@query()
+# The catalog's rows as they are meant, and names peeled end by end until none fits.
+_CATALOG_SQL = """cat AS (SELECT *, string_split(id, '/')[-1] AS slug, string_split(id, '/')[1] AS provider FROM (VALUES ('google/gemini-3.6-flash', 0.3::DOUBLE, 2.5::DOUBLE, 0.03::DOUBLE), ('google/gemini-3.1-pro-preview', 1.25, 10, NULL), ('moonshotai/kimi-k3', 0.6, 2.5, NULL), ('acme/kimi-k3:free', 0, 0, NULL), ('acme/claude-sonnet-4', 0, 0, NULL)) v(id, i, o, r)),
+wanted AS (SELECT DISTINCT model FROM (SELECT model FROM raw_e UNION ALL VALUES ('gemini-3.6-flash-high'), ('gemini_3.1_pro_low'), ('x/kimi-k3-turbo')) m WHERE model IS NOT NULL),
+peeled AS (SELECT model, lower(trim(model)) AS raw, replace(lower(trim(model)), '_', '-') AS whole, string_split(replace(lower(trim(model)), '_', '-'), '/')[-1] AS c FROM wanted UNION ALL
+SELECT model, raw, whole, regexp_replace(c, '(:batch|:free|-high|-tiered|-low|-medium|-xhigh|-fast|-exp|-latest|-preview)$', '') FROM peeled WHERE regexp_matches(c, '...(:batch|:free|-high|-tiered|-low|-medium|-xhigh|-fast|-exp|-latest|-preview)$') AND length(regexp_replace(c, '(:batch|:free|-high|-tiered|-low|-medium|-xhigh|-fast|-exp|-latest|-preview)$', '')) > 3),
+lasts AS (SELECT model, raw, whole, arg_min(c, length(c)) AS c FROM peeled GROUP BY ALL),
+plain AS (SELECT model, raw, whole, c FROM peeled UNION SELECT model, raw, whole, whole FROM peeled UNION SELECT model, raw, whole, c || '-preview' FROM lasts WHERE contains(c, 'gemini') AND regexp_matches(c, '(^|-)pro$')),
+cands AS (SELECT * FROM plain UNION SELECT model, raw, whole, 'google/' || c FROM plain WHERE c LIKE 'gemini%'),
+met AS (SELECT model, raw, cat.*, CASE WHEN id = c THEN 3 WHEN slug = string_split(c, '/')[-1] OR slug = c THEN 2 WHEN length(slug) >= 6 AND (contains(c, slug) OR contains(whole, slug)) THEN 1 END AS tier FROM cands CROSS JOIN cat),
+scored AS (SELECT *, CASE WHEN i = 0 AND o = 0 THEN 0 ELSE 200 END + 80 + CASE WHEN NOT contains(raw, 'image') THEN 40 ELSE 0 END + CASE WHEN contains(raw, 'preview') = contains(id, 'preview') THEN 30 ELSE 0 END + CASE WHEN (contains(raw, 'gemini') OR raw LIKE 'google/%') AND provider = 'google' THEN 50 ELSE 0 END + least(length(slug), 80) AS score FROM met WHERE tier IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY tier DESC, score DESC, length(slug) DESC) AS k FROM scored)"""
+
+
+@query(f"WITH RECURSIVE {RAW}, {_CATALOG_SQL} SELECT model, id, i AS input_rate, o AS output_rate, r AS cache_read_rate, CAST(NULL AS DOUBLE) AS cache_write_rate, CAST(NULL AS BIGINT) AS long_context FROM ranked WHERE k = 1")
 def catalog_lookup(spark, sf_dir):
     names = raw_usage(spark, sf_dir).select("model").filter("model is not null").distinct()
     extra = spark.createDataFrame([("gemini-3.6-flash-high",), ("gemini_3.1_pro_low",), ("x/kimi-k3-turbo",)], "model string")
@@ -88,7 +101,8 @@ def model_catalog(spark, sf_dir):
     return C.model_catalog(C.parse_catalog(_documents(spark)), raw_usage(spark, sf_dir).select("model"), R.rates(spark), R.rates(spark, _CUSTOM))
 
 
-@query()
+@query("""WITH n AS (SELECT DISTINCT 'Acme/gemini_' || p_size || '-pro-low-latest' AS model, 'gemini-' || p_size || '-pro' AS p FROM part)
+SELECT model, concat_ws(',', 'acme/' || p || '-low-latest', p || '-low-latest', p || '-low', p, p || '-preview', 'google/' || p || '-low-latest', 'google/' || p || '-low', 'google/' || p, 'google/' || p || '-preview') AS candidates FROM n""")
 def lookup_candidates(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.concat(F.lit("Acme/gemini_"), "p_size", F.lit("-pro-low-latest")).alias("model")).distinct()
     return names.select("model", F.concat_ws(",", C.lookup_candidates(F.col("model"))).alias("candidates"))

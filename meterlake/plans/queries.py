@@ -24,6 +24,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import agent_queries, pricing_queries, reconcile_queries, report_queries, scalar_queries, sequence_queries, source_queries  # noqa: F401
+    from . import agent_queries, pricing_queries, reader_queries, reconcile_queries, report_queries, scalar_queries, sequence_queries, source_queries  # noqa: F401
 
     return QUERIES, SQL

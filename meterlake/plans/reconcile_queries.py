@@ -77,17 +77,17 @@ def collapse_source_path(spark, sf_dir):
     return shown(D.collapse_source_path(_ghosts(spark, sf_dir)))
 
 
-# Router days of every kind: rollups scaled by day, requests thinned on some.
+# Router days of every kind: rollups scaled by day, and on some days requests that are another agent's.
 _SCALE = [1, 2, 3, 5, 8, 12, 20, 40]
-_ROUTED = f"""routed AS (SELECT * EXCLUDE (d, f) REPLACE (CASE WHEN estimated AND seq % 7 = 0 THEN 'mixed' ELSE model END AS model, input_tokens * f AS input_tokens, total_tokens + input_tokens * (f - 1) AS total_tokens, estimated_cost * f AS estimated_cost)
-FROM (SELECT *, CASE WHEN estimated THEN CASE d % 8 {" ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(_SCALE))} END ELSE 1 END AS f FROM (SELECT *, CAST(date_part('day', ts) AS BIGINT) AS d FROM e))
-WHERE estimated OR NOT ((d % 5 = 4 AND seq % 3 <> 0) OR d % 11 = 0 OR (d % 9 = 2 AND seq % 16 <> 0)))"""
+_ROUTED = f"""routed AS (SELECT * EXCLUDE (d, f) REPLACE (CASE WHEN NOT estimated AND ((d % 5 = 4 AND seq % 3 <> 0) OR d % 11 = 0 OR (d % 9 = 2 AND seq % 16 <> 0)) THEN 'amp' ELSE agent END AS agent, CASE WHEN estimated AND seq % 7 = 0 THEN 'mixed' ELSE model END AS model, input_tokens * f AS input_tokens, total_tokens + input_tokens * (f - 1) AS total_tokens, estimated_cost * f AS estimated_cost)
+FROM (SELECT *, CASE WHEN estimated THEN CASE d % 8 {" ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(_SCALE))} END ELSE 1 END AS f FROM (SELECT *, CAST(date_part('day', ts) AS BIGINT) AS d FROM e)))"""
 
 
 def _routed(spark, sf_dir):
     d = F.dayofmonth("ts")
     f = F.when(F.col("estimated"), F.element_at(F.array(*[F.lit(v).cast("long") for v in _SCALE]), (d % 8 + 1).cast("int"))).otherwise(1)
-    rows = usage(spark, sf_dir).filter(F.col("estimated") | ~(((d % 5 == 4) & (F.col("seq") % 3 != 0)) | (d % 11 == 0) | ((d % 9 == 2) & (F.col("seq") % 16 != 0))))
+    other = ~F.col("estimated") & (((d % 5 == 4) & (F.col("seq") % 3 != 0)) | (d % 11 == 0) | ((d % 9 == 2) & (F.col("seq") % 16 != 0)))
+    rows = usage(spark, sf_dir).withColumn("agent", F.when(other, "amp").otherwise(F.col("agent")))
     rows = rows.withColumns({"f": f, "model": F.when(F.col("estimated") & (F.col("seq") % 7 == 0), "mixed").otherwise(F.col("model"))})
     return rows.withColumns({"total_tokens": F.col("total_tokens") + F.col("input_tokens") * (F.col("f") - 1), "input_tokens": F.col("input_tokens") * F.col("f"), "estimated_cost": F.col("estimated_cost") * F.col("f")}).drop("f")
 
@@ -196,8 +196,8 @@ def expand_daily(spark, sf_dir):
     return _short(RD.expand_days(RD.merge_days(_documents(spark, sf_dir)), calls, moment(NOW)))
 
 
-# Requests of differing completeness by day.
-_CALLS = "calls AS MATERIALIZED (SELECT * FROM e WHERE agent IN ('9router', 'routerlab') AND seq % (1 + CAST(date_part('day', ts) AS BIGINT) % 9) = 0)"
+# Requests of differing completeness by day; the others are of a router without day documents.
+_CALLS = "calls AS MATERIALIZED (SELECT * REPLACE (CASE WHEN seq % (1 + CAST(date_part('day', ts) AS BIGINT) % 9) = 0 THEN agent ELSE 'litellm' END AS agent) FROM e WHERE agent IN ('9router', 'routerlab'))"
 _PREFER = """CASE WHEN rows < 2 THEN false WHEN dt > 0 AND tok >= dt * 0.95e0 AND tok <= dt * 1.08e0 AND req >= 2 AND (target <= 0 OR req >= target * 0.75e0) THEN true WHEN dt > 0 AND tok >= dt * 0.95e0 AND tok <= dt * 1.08e0 AND target >= 2 AND req >= target * 0.95e0 AND req <= target * 1.08e0 THEN true
 WHEN target >= 20 AND dt >= 10000 THEN false WHEN dt > 0 AND tok > dt * 1.05e0 THEN false WHEN target > 0 AND rows > greatest(target * 1.5e0, target + 5) AND (dt <= 0 OR tok <= dt * 1.05e0) THEN false WHEN target >= 1 AND (cost > 0 OR dt > 0) AND rows > target * 1.25e0 THEN false
 ELSE CASE WHEN target > 0 THEN rows / target ELSE 1 END >= 0.15e0 OR CASE WHEN dt > 0 THEN tok / dt ELSE 1 END >= 0.15e0 END"""
@@ -220,7 +220,7 @@ def reconcile_daily(spark, sf_dir):
     """Requests of differing completeness against day documents, some of which are small."""
     from ..functions.time import moment
 
-    calls = usage(spark, sf_dir).filter("agent in ('9router', 'routerlab')").filter(F.col("seq") % (1 + F.dayofmonth("ts") % 9) == 0)
+    calls = usage(spark, sf_dir).filter("agent in ('9router', 'routerlab')").withColumn("agent", F.when(F.col("seq") % (1 + F.dayofmonth("ts") % 9) == 0, F.col("agent")).otherwise("litellm"))
     days = _documents(spark, sf_dir)
     f = F.when(F.col("day").rlike("[36]$"), 100).otherwise(1)
     names = ["requests", "input", "output", "cache", "cost"]
@@ -253,10 +253,11 @@ def machines(spark, sf_dir):
     return M.machines(a.unionByName(b).unionByName(usage(spark, sf_dir)))
 
 
-@query(shown_sql(Q.heal(Q.richer_union("lo", Q.uncovered("lo", "(SELECT * FROM ra UNION ALL SELECT * FROM rb)", "host-a"))), _ROLLUPS, "lo AS MATERIALIZED (SELECT * FROM e WHERE seq % 5 = 0)"))
+@query(shown_sql(Q.heal(Q.richer_union("lo", Q.uncovered("lo", "(SELECT * FROM ra UNION ALL SELECT * FROM rb)", "host-a"))), _ROLLUPS, "lo AS MATERIALIZED (SELECT * REPLACE (CASE WHEN seq % 5 = 0 THEN agent ELSE 'amp' END AS agent) FROM e)"))
 def merge_local_over_rollups(spark, sf_dir):
     a, b = _rollups(spark, sf_dir)
-    return shown(M.merge_local_over_rollups(usage(spark, sf_dir).filter("seq % 5 = 0"), a.unionByName(b), "host-a"))
+    local = usage(spark, sf_dir).withColumn("agent", F.when(F.col("seq") % 5 == 0, F.col("agent")).otherwise("amp"))
+    return shown(M.merge_local_over_rollups(local, a.unionByName(b), "host-a"))
 
 
 @query(shown_sql(Q.heal(Q.richer_union("rb", "fresh")), _ROLLUPS, f"fresh AS MATERIALIZED (SELECT * FROM {Q.tiered('e', 'host-a')})"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import rates as R
 from ..operators import activity, reports
 from ..sources.connectors import CONNECTORS, agents_table
-from .adapter import E_SQL, NOW, NOW_SQL, PARTS, REQ, norm_sql, priced, raw_usage, usage
+from .adapter import E_SQL, NOW, NOW_SQL, PARTS, REQ, norm_sql, priced, rated_usage, raw_usage, usage
 from .queries import query
 
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -32,27 +32,27 @@ def _stats_sql(by: str) -> str:
 
 @query(_stats_sql("agent"))
 def stats_by_agent(spark, sf_dir):
-    return reports.stats(usage(spark, sf_dir), R.rates(spark), "agent")
+    return reports.stats(rated_usage(spark, sf_dir), R.rates(spark), "agent")
 
 
 @query(_stats_sql("model"))
 def stats_by_model(spark, sf_dir):
-    return reports.stats(usage(spark, sf_dir), R.rates(spark), "model")
+    return reports.stats(rated_usage(spark, sf_dir), R.rates(spark), "model")
 
 
 @query(_stats_sql("day"))
 def stats_by_day(spark, sf_dir):
-    return reports.stats(usage(spark, sf_dir), R.rates(spark), "day", sort="tokens")
+    return reports.stats(rated_usage(spark, sf_dir), R.rates(spark), "day", sort="tokens")
 
 
 @query(_stats_sql("hour"))
 def stats_by_hour(spark, sf_dir):
-    return reports.stats(usage(spark, sf_dir), R.rates(spark), "hour")
+    return reports.stats(rated_usage(spark, sf_dir), R.rates(spark), "hour")
 
 
 @query(f"WITH {E_SQL}, {PARTS} SELECT agent AS key, {SUMS}, CAST(grouping(agent) AS INT) AS is_total FROM parts GROUP BY GROUPING SETS ((agent), ())")
 def stats_with_total(spark, sf_dir):
-    return reports.stats_with_total(usage(spark, sf_dir), R.rates(spark))
+    return reports.stats_with_total(rated_usage(spark, sf_dir), R.rates(spark))
 
 
 def _cost_sql(by: str, share: bool = True, limit: str = "") -> str:
@@ -83,7 +83,7 @@ _PERIODS = " UNION ALL ".join(f"SELECT '{p}' AS period, {s} AS since" for p, s i
 SELECT period, CASE WHEN grouping(m) = 0 THEN 'model' WHEN grouping(agent) = 0 THEN 'agent' ELSE 'total' END AS dim, coalesce(m, agent) AS key, {SUMS} FROM x GROUP BY GROUPING SETS ((period), (period, m), (period, agent))"""
 )
 def period_stats(spark, sf_dir):
-    return reports.period_stats(usage(spark, sf_dir), R.rates(spark), NOW)
+    return reports.period_stats(rated_usage(spark, sf_dir), R.rates(spark), NOW)
 
 
 @query(f"WITH {E_SQL} SELECT id, agent, {AT_SQL}, total_tokens FROM e WHERE ts >= {NOW_SQL} - INTERVAL 7 DAY AND ts <= {NOW_SQL} - INTERVAL 1 DAY")

@@ -16,6 +16,7 @@ def session(app: str = "meterlake", cores: int | None = None, memory: str = "8g"
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
         "spark.ui.enabled": "false",
+        "spark.sql.python.filterPushdown.enabled": "true",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)

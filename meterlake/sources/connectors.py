@@ -89,9 +89,14 @@ def roots_of(connector: Connector, homes: list[str]) -> list[str]:
     return [f"{h.rstrip('/')}/{f}" for h in homes for f in connector.folders]
 
 
+def _proxies(homes: list[str]) -> list[str]:
+    """Where routers keep their request histories: beside the agents' own folders."""
+    return [f"{h.rstrip('/')}/{f}" for h in homes for f in (".litellm", ".9router", ".tokenlab/mirrors/litellm", ".tokenlab/mirrors/9router")]
+
+
 def read_agent(spark: SparkSession, agent: str, homes: list[str], **options) -> DataFrame:
     """Usage rows of one agent below some homes (local folders or a copy of them in any store)."""
-    from . import dashboards, routers, sessions, transcripts
+    from . import dashboards, rollouts, routers, sessions, streams, transcripts
 
     c = BY_AGENT[agent]
     readers = {
@@ -99,10 +104,10 @@ def read_agent(spark: SparkSession, agent: str, homes: list[str], **options) ->
         "claude": lambda roots: transcripts.read_claude(spark, roots),
         "carried": lambda roots: transcripts.read_carried(spark, roots, agent),
         "gemini": lambda roots: transcripts.read_gemini(spark, roots),
-        "rollout": lambda roots: transcripts.read_rollouts(spark, roots),
-        "updates": lambda roots: transcripts.read_updates(spark, roots),
+        "rollout": lambda roots: rollouts.read_rollouts(spark, roots, **({"proxies": _proxies(homes)} | options)),
+        "updates": lambda roots: streams.read_updates(spark, roots),
         "transcripts": lambda roots: transcripts.read_steps(spark, roots),
-        "cascade": lambda roots: sessions.read_trajectories(spark, roots, **options),
+        "cascade": lambda roots: sessions.read_cascade(spark, roots, **options),
         "sessions": lambda roots: sessions.read_sessions(spark, roots),
         "devin": lambda roots: sessions.read_message_nodes(spark, roots),
         "dashboard": lambda roots: dashboards.read_dashboards(spark, roots),

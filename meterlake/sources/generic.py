@@ -41,7 +41,7 @@ def usage_rows(rows: DataFrame, agent: str) -> DataFrame:
 
 def read_rows(spark: SparkSession, roots: list[str], name: str, depth: int = 10) -> DataFrame:
     """(path, mtime, line_no, row) of JSON lines files and of other files that are JSON documents."""
-    lines = files.parse_lines(files.read_lines(spark, roots, rf"(?=.*\.jsonl$)(?:{name})", depth))
+    lines = files.read_json_lines(spark, roots, rf"(?=.*\.jsonl$)(?:{name})", depth)
     documents = files.explode_documents(files.read_documents(spark, roots, rf"(?!.*\.jsonl$)(?:{name})", depth))
     return lines.select("path", "mtime", "line_no", "row").unionByName(documents)
 

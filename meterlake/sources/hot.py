@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.logs import live_hot_rows
-from .files import read_documents, read_lines
+from .files import existing, read_documents, read_named
+from .tail import read_tail
 
 # Agents and their request logs below the folder of mirrors.
 HOT_FILES = [
@@ -23,14 +24,15 @@ HOT_FILES = [
     ("routerlab", "xlabrouter/usage-history.jsonl"),
     ("litellm", "litellm/usage-history.jsonl"),
 ]
+#: Bytes at a file's end that the live rate looks at.
+TAIL_BYTES = 512 * 1024
 # Keys whose text is a path.
 PATH_KEYS = ("path", "file", "session", "transcript")
 
 
-def read_hot(spark: SparkSession, mirrors: str, now: datetime, minutes: int = 30) -> DataFrame:
-    """Usage rows of single calls of the last minutes; whole files are read."""
-    name = "^(" + "|".join(f.replace(".", r"\.") for _, f in HOT_FILES) + ")$"
-    lines = read_lines(spark, [mirrors], name, 1)
+def read_hot(spark: SparkSession, mirrors: str, now: datetime, minutes: int = 30, tail: int = TAIL_BYTES) -> DataFrame:
+    """Usage rows of single calls of the last minutes, of the last ``tail`` bytes of each file."""
+    lines = read_tail(spark, existing(spark, [f"{mirrors.rstrip('/')}/{f}" for _, f in HOT_FILES]), tail)
     agent = F.lit(None).cast("string")
     for a, f in HOT_FILES:
         agent = F.when(F.col("path").endswith(f"/{f}"), a).otherwise(agent)
@@ -66,10 +68,12 @@ def path_references(document: Column, folder: Column) -> Column:
 
 
 def follow_index(spark: SparkSession, roots: list[str], index: str = r"(^|/)sessions\.json$") -> DataFrame:
-    """Lines (path, mtime, line_no, value) of the files below ``roots`` that index documents there name."""
+    """Lines (path, mtime, line_no, value) of the files that index documents below ``roots`` name, wherever those are.
+
+    The names are collected: there are as many as the indexes list files.
+    """
     documents = read_documents(spark, roots, index)
     folder = F.regexp_replace("path", "/[^/]*$", "")
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    named = documents.select(F.explode(path_references(F.col("value"), plain(folder))).alias("named")).distinct()
-    lines = read_lines(spark, roots, r"\.jsonl?$")
-    return lines.join(named, plain(F.col("path")) == F.col("named"), "left_semi")
+    plain = F.regexp_replace(folder, "^file:/+", "/")
+    named = documents.select(F.explode(path_references(F.col("value"), plain)).alias("named")).filter(r"named rlike '[.]jsonl?$'").distinct()
+    return read_named(spark, sorted(r.named for r in named.collect()))

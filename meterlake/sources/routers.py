@@ -117,9 +117,9 @@ def read_router(spark: SparkSession, roots: list[str], agent: str, now: datetime
     order = F.lit(0)
     for i, r in enumerate(roots):
         order = F.when(F.col("path").contains(r.rstrip("/")), i).otherwise(order)
-    lines = files.parse_lines(files.read_lines(spark, roots, HISTORY_FILES)).select("path", "mtime", "line_no", "row")
+    lines = files.read_json_lines(spark, roots, HISTORY_FILES).select("path", "mtime", "line_no", "row")
     documents = files.read_documents(spark, roots, DAILY_FILES)
-    tables = sqlite.read_tables(spark, roots, {"usageHistory": None, "usageDaily": None})
+    tables = sqlite.read_tables(spark, roots, ["usageHistory", "usageDaily"])
     stored = tables.filter("name = 'usageHistory'").select("path", "mtime", "line_no", F.parse_json("data").alias("row"))
     requests = request_rows(lines.unionByName(history_rows(documents)).unionByName(stored), agent)
     ranked = requests.withColumn("path", F.col("source_path")).withColumn("seq", order.cast("long") * F.lit(1 << 40) + F.col("seq")).drop("path")

@@ -10,6 +10,7 @@ from ..functions.usage import fields
 from ..operators import sequences as S
 from ..schema import conform
 from . import binary, files, generic, sqlite
+from .keyvalues import read_key_values
 
 TOKENS = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens"]
 #: Smaller files hold nothing; below the second size only labelled counts are believed.
@@ -28,9 +29,19 @@ def read_trajectories(spark: SparkSession, roots: list[str], key: bytes | None =
     return conform(out.withColumns({"id": text.stable_id(F.lit("windsurf"), F.col("path")), "agent": F.lit("windsurf"), "model": F.coalesce("model", F.lit("windsurf-cascade")), "ts": F.col("mtime"), "source_path": F.col("path"), "estimated": ~F.col("real"), "cache_write_tokens": F.lit(0), "total_tokens": F.expr("input_tokens + output_tokens + cache_read_tokens")}))
 
 
+# JSON files of an editor that may hold usage, by words in their names or folders.
+ARTIFACTS = r"(?i)(?!.*\.lock$)(?:.*\.jsonl|(?:.*/)?[^/]*(?:usage|cascade|chat|transcript|session|token|billing)[^/]*\.json|.*/logs/.*\.(?:json|log)|logs/.*\.(?:json|log)|.*(?:globalstorage|workspacestorage)/.*\.json)$"
+
+
+def read_cascade(spark: SparkSession, roots: list[str], key: bytes | None = None) -> DataFrame:
+    """Usage of an editor's JSON files, of its key-value stores and other tables, and of its session files."""
+    files_ = generic.read_usage(spark, roots, "windsurf", ARTIFACTS, 14)
+    return files_.unionByName(read_key_values(spark, roots, "windsurf")).unionByName(read_trajectories(spark, roots, key))
+
+
 def read_sessions(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Usage by session and model, and what sessions count beyond it."""
-    tables = sqlite.read_tables(spark, roots, {"sessions": None, "session_model_usage": None})
+    tables = sqlite.read_tables(spark, roots, ["sessions", "session_model_usage"])
     names = ["id", "session_id", "model", *TOKENS, "reasoning_tokens", "api_call_count", "cwd", "started_at", "ended_at", "updated_at", "actual_cost_usd", "estimated_cost_usd", "cost_usd", "cost"]
     rows = tables.withColumn("_r", fields(F.col("data"), names))
     n = lambda c: text.num(F.col(f"_r.{c}"))
@@ -46,9 +57,12 @@ def read_sessions(spark: SparkSession, roots: list[str]) -> DataFrame:
     return conform(out.withColumns({"id": text.stable_id(F.lit("hermes"), F.col("session_id"), F.col("model"), F.col("estimated")), "agent": F.lit("hermes"), "source_path": F.split_part("session_id", F.lit("|"), F.lit(1)), "request_count": F.nullif("api_calls", F.lit(0)), "estimated_cost": F.col("router_cost"), "total_tokens": F.expr(" + ".join(TOKENS))}))
 
 
-def read_message_nodes(spark: SparkSession, roots: list[str], newest: int = 200_000) -> DataFrame:
-    """Messages with usage: of databases the newest of each; JSON lines where there is no database row."""
-    stored = sqlite.read_tables(spark, roots, {"message_nodes": "created_at"}).filter((F.col("line_no") <= newest) & F.col("data").contains("token"))
-    rows = stored.withColumn("_r", fields(F.col("data"), ["data", "content", "message", "created_at"])).withColumn("row", F.try_parse_json(F.coalesce("_r.data", "_r.message", "_r.content"))).filter("row is not null")
+def read_message_nodes(spark: SparkSession, roots: list[str], newest: int | None = None) -> DataFrame:
+    """Messages with usage, or the ``newest`` of each database; JSON lines where there is no database row."""
+    stored = sqlite.read_tables(spark, roots, ["message_nodes"]).filter(F.col("data").contains("token"))
+    rows = stored.withColumn("_r", fields(F.col("data"), ["data", "content", "message", "created_at"]))
+    if newest is not None:
+        rows = S.newest(rows.withColumn("_at", F.coalesce(F.col("_r.created_at").try_cast("double"), F.unix_micros(usage.time.instant(F.col("_r.created_at"))).cast("double"))), ["path"], "_at", newest)
+    rows = rows.withColumn("row", F.try_parse_json(F.coalesce("_r.data", "_r.message", "_r.content"))).filter("row is not null")
     out = generic.usage_rows(rows.select("path", "mtime", "line_no", "row"), "devin")
     return out if not out.isEmpty() else generic.read_usage(spark, roots, "devin")

@@ -19,12 +19,6 @@ CLAUDE = {
     "cache_read_tokens": ["cache_read_input_tokens", "cache_read_tokens", "cacheReadTokens"],
     "cache_write_tokens": ["cache_creation_input_tokens", "cache_write_tokens", "cacheWriteTokens"],
 }
-GROK_IN = ["inputTokens", "input_tokens", "prompt_tokens", "promptTokens"]
-GROK_OUT = ["outputTokens", "output_tokens", "completion_tokens", "completionTokens"]
-GROK_REASONING = ["reasoningTokens", "reasoning_tokens", "thinking_tokens"]
-GROK_READ = ["cachedReadTokens", "cache_read_input_tokens", "cacheReadInputTokens", "cache_read_tokens", "cacheReadTokens", "cached_tokens"]
-GROK_WRITE = ["cacheCreationTokens", "cache_creation_tokens", "cache_creation_input_tokens", "cacheWriteTokens", "cache_write_tokens", "cachedWriteTokens"]
-GROK_TICKS = ["costUsdTicks", "cost_usd_ticks"]
 ANSWERS = ["assistant", "ai", "model", "reasoning", "agent"]
 TOTAL = "input_tokens + output_tokens + cache_read_tokens + cache_write_tokens"
 
@@ -41,7 +35,7 @@ def _usage(rows: DataFrame, agent: str, *id_parts) -> DataFrame:
 
 def read_claude(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Usage of messages; aliases of a count are summed. The workspace is the folder below ``projects``."""
-    rows = files.parse_lines(files.read_lines(spark, roots, r".*\.jsonl$", 10))
+    rows = files.read_json_lines(spark, roots, r".*\.jsonl$", 10)
     top = rows.withColumn("_r", fields(F.to_json("row"), ["usage", "message", "model", "timestamp", "ts"])).withColumn("_m", fields(F.col("_r.message"), ["usage", "model"]))
     top = top.withColumn("_u", fields(F.coalesce("_m.usage", "_r.usage"), [n for names in CLAUDE.values() for n in names])).filter("_u is not null")
     sums = {c: sum((text.num(F.col(f"_u.{n}")) for n in names), F.lit(0.0)).cast("long") for c, names in CLAUDE.items()}
@@ -81,28 +75,6 @@ def read_carried(spark: SparkSession, roots: list[str], agent: str = "openclaw")
     return _usage(out.select("path", "line_no", "model", "workspace", usage.time_of(F.col("row"), fallback=F.col("mtime")).alias("ts"), *[c.alias(n) for n, c in counts.items()]), agent)
 
 
-def read_rollouts(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Counters of rollout logs, running totals told from single counts; model and folder carried forward."""
-    rows = files.parse_lines(files.read_lines(spark, roots, r".*\.jsonl$", 10)).filter(files.not_noise(F.col("path")))
-    places = ["payload.info.last_token_usage", "payload.info.total_token_usage", "payload.usage", "payload.token_usage", "payload.tokens", "usage", "token_usage"]
-    found = F.coalesce(*[usage.obj(F.col("row"), p) for p in places])
-    used = usage.with_buckets(_carried(rows).withColumn("_u", found).filter("_u is not null"), F.col("_u"))
-    counts = {f"{n}_tokens": F.col(f"b.{n}") for n in ("input", "output", "cache_read", "cache_write")}
-    flat = used.select("path", "line_no", "model", "workspace", usage.time_of(F.col("row"), F.try_variant_get("row", "$.payload", "variant"), fallback=F.col("mtime")).alias("ts"), F.coalesce(get(F.col("row"), "type"), F.lit("")).alias("kind"), *[c.alias(n) for n, c in counts.items()])
-    return _usage(S.counter_deltas(flat, "path", "line_no"), "codex")
-
-
-def read_updates(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Completed turns with usage: cached input apart, reasoning within the output, the cost in ticks."""
-    lines = files.read_lines(spark, roots, r"(?:.*/)?updates\.jsonl$", 10).filter(F.col("value").contains("turn_completed"))
-    rows = files.parse_lines(lines).filter(get(F.col("row"), "params.update.sessionUpdate") == "turn_completed")
-    top = rows.withColumns({"_u": fields(F.to_json(F.try_variant_get("row", "$.params.update.usage", "variant")), [*GROK_IN, *GROK_OUT, *GROK_REASONING, *GROK_READ, *GROK_WRITE, *GROK_TICKS]), "prompt": F.coalesce(get(F.col("row"), "params.update.prompt_id"), get(F.col("row"), "params.update.promptId"), F.col("line_no").cast("string")), "session": F.coalesce(get(F.col("row"), "params.sessionId"), F.col("path"))})
-    n = lambda names: text.num(F.coalesce(*[F.col(f"_u.{x}") for x in names])).cast("long")
-    models = F.map_keys(F.try_variant_get("row", "$.params.update.usage.modelUsage", "map<string, variant>"))
-    out = top.select("path", "line_no", "session", "prompt", S.uncached(n(GROK_IN), n(GROK_READ)).alias("input_tokens"), F.greatest(n(GROK_OUT), n(GROK_REASONING)).alias("output_tokens"), n(GROK_READ).alias("cache_read_tokens"), n(GROK_WRITE).alias("cache_write_tokens"), F.get(models, F.lit(0)).alias("model"), F.coalesce(usage.time.epoch(get(F.col("row"), "timestamp")), usage.time.instant(get(F.col("row"), "timestamp")), F.col("mtime")).alias("ts"), F.nullif(S.of_ticks(n(GROK_TICKS)), F.lit(0.0)).alias("estimated_cost"))
-    return _usage(out, "grok", F.col("session"), F.lit("turn"), F.col("prompt"))
-
-
 def read_steps(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Transcripts without counts: each answer is estimated from the texts before it and its own."""
     rows = generic.read_rows(spark, roots, JSON)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import days
 from .operators.dedup import richer_union
 from .operators.merge import heal
 from .operators.reports import sanitize
 from .schema import conform, empty, weight
+from .sources.exports import read_export
 
 
 def _fs(spark: SparkSession, path: str):
@@ -46,7 +49,9 @@ def write_snapshot(rows: DataFrame, path: str) -> None:
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The snapshot's rows; those of the one before if a writer stopped between the renames; none if there is neither."""
+    """The snapshot's rows, or the newest version of a history by days; those of the one before if a writer stopped between the renames; none if there is neither."""
+    if days.exists(spark, path):
+        return days.read(spark, path)
     for place in (path, f"{path}.bak"):
         fs, found = _fs(spark, place)
         if fs.exists(found):
@@ -71,6 +76,33 @@ def load_best(spark: SparkSession, path: str) -> DataFrame:
     return heal(back if better(score(back), score(live)) else live)
 
 
+def best_of(parts: list[DataFrame]) -> DataFrame | None:
+    """The snapshot that comes before all others; of equals the earlier one; None if all are empty."""
+    best, top = None, (0, 0)
+    for rows in parts:
+        own = score(rows)
+        if own[0] and (best is None or better(own, top)):
+            best, top = rows, own
+    return best
+
+
+def load_history(spark: SparkSession, path: str, archives: list[str] | None = None, legacy: list[str] | None = None) -> DataFrame:
+    """The best of a snapshot, the one before it and JSON ``archives``, with what former folders (``legacy``, JSON) have beyond it; healed.
+
+    Former rows are merged by id, the richer one wins, so usage never falls when a folder moves.
+    """
+
+    def document(file: str) -> DataFrame:
+        folder, _, name = file.rpartition("/")
+        return read_export(spark, [folder], f"^{re.escape(name)}$", 0)
+
+    parts = [read_snapshot(spark, path), read_snapshot(spark, f"{path}.bak"), *map(document, archives or [])]
+    best, old = best_of(parts), best_of(list(map(document, legacy or [])))
+    if old is not None:
+        best = old if best is None else richer_union(best, old)
+    return empty(spark) if best is None else heal(best)
+
+
 def save_imported(rows: DataFrame, folder: str) -> None:
     """Rows of other hosts' exports, cleaned, as a snapshot of their own."""
     write_snapshot(sanitize(rows), f"{folder}/imported")

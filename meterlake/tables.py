@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +22,27 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Tables that are written while a ``cut_tables`` block runs, innermost last.
+_open: list[list[tuple[SparkSession, str]]] = []
+
+
 def cut(rows: DataFrame) -> DataFrame:
-    """The same rows from a table in the shared folder: a short plan, and lost executors cost nothing."""
-    path = f"{shared_dir(rows.sparkSession)}/cut/{uuid.uuid4().hex}"
+    """The same rows from a table in the shared folder: a short plan, and lost executors cost nothing. It stays until the ``cut_tables`` block around it ends."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/cut/{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append((spark, path))
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def cut_tables() -> Iterator[None]:
+    """Tables cut within the block are deleted at its end; results that read them must be written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _open.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

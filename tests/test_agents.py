@@ -61,6 +61,8 @@ def test_sessions_and_summaries(spark):
     at = datetime(2024, 1, 1)
     sessions = spark.createDataFrame([("a", at, None, "/w"), ("a", at.replace(day=2), at.replace(day=3), None), ("", at, at, "/no")], "session_id string, started_at timestamp, ended_at timestamp, cwd string")
     assert [tuple(r) for r in logs.with_sessions(rows, sessions).orderBy("i").collect()] == [(1, "a", at.replace(day=3), None), (2, "b", None, None), (3, None, None, None)]
+    known = rows.withColumns({"ts": F.when(F.col("i") > 1, F.lit(at)), "workspace": F.when(F.col("i") == 1, "/own")})
+    assert [tuple(r) for r in logs.with_sessions(known, sessions).orderBy("i").collect()] == [(1, "a", at.replace(day=3), "/own"), (2, "b", at, None), (3, None, at, None)]
     kept = logs.replace_summaries(rows, rows.filter("i = 1").withColumn("i", F.col("i") + 10), ["session_id"])
     assert sorted(r.i for r in kept.collect()) == [2, 3, 11]
     assert logs.enabled(rows.withColumn("agent", F.col("session_id")), {"a": False, "b": True}).count() == 2
