@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rates as R
-from ..operators.pricing import RATES, price_events
+from ..operators.pricing import RATES as RATE_COLUMNS
+from ..operators.pricing import price_events
 from ..schema import USAGE, conform
 
 NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
@@ -66,7 +67,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rated_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priced rows with the rates they were priced with."""
     rows = price_events(raw_usage(spark, sf_dir), R.rates(spark), keep_rates=True)
-    return rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in USAGE], *RATES)
+    return rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in USAGE], *RATE_COLUMNS)
 
 
 def _values(rows) -> str:

@@ -89,11 +89,11 @@ scored AS (SELECT *, CASE WHEN i = 0 AND o = 0 THEN 0 ELSE 200 END + 80 + CASE W
 ranked AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY tier DESC, score DESC, length(slug) DESC) AS k FROM scored)"""
 
 
-@query(f"WITH RECURSIVE {RAW}, {_CATALOG_SQL} SELECT model, id, i AS input_rate, o AS output_rate, r AS cache_read_rate, CAST(NULL AS DOUBLE) AS cache_write_rate, CAST(NULL AS BIGINT) AS long_context FROM ranked WHERE k = 1")
+@query(f"WITH RECURSIVE {RAW}, {_CATALOG_SQL} SELECT model, id, i AS input_rate, o AS output_rate, r AS cache_read_rate, CAST(NULL AS DOUBLE) AS cache_write_rate FROM ranked WHERE k = 1")
 def catalog_lookup(spark, sf_dir):
     names = raw_usage(spark, sf_dir).select("model").filter("model is not null").distinct()
     extra = spark.createDataFrame([("gemini-3.6-flash-high",), ("gemini_3.1_pro_low",), ("x/kimi-k3-turbo",)], "model string")
-    return C.lookup_catalog(names.union(extra), C.parse_catalog(_documents(spark)))
+    return C.lookup_catalog(names.union(extra), C.parse_catalog(_documents(spark))).drop("long_context")
 
 
 @query()
