@@ -22,6 +22,8 @@ from urllib.parse import quote, unquote
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructType
 
@@ -326,14 +328,30 @@ def databases(spark: SparkSession, roots: list[str], name: str = DATABASES, dept
     return [(local_path(path), mtime) for path, mtime in found], [r for r in roots if not local_path(r)]
 
 
-def read_tables(spark: SparkSession, roots: list[str], tables: list[str], name: str = DATABASES, depth: int = 8) -> DataFrame:
-    """(path, mtime, name, line_no, data) of the wanted tables of all SQLite files below the roots; ``line_no`` is the row's id."""
+def _newest_first(rows: DataFrame, column: str) -> DataFrame:
+    """Rows of each file numbered by a column, greatest first, as SQLite orders: text, then numbers, then nulls. Without the column they keep their ids."""
+    v = F.try_parse_json("data")
+    kind = F.schema_of_variant(F.try_variant_get(v, f"$['{column}']", "variant"))
+    said = F.try_variant_get(v, f"$['{column}']", "string")
+    order = [(kind == "STRING").desc_nulls_last(), said.try_cast("double").desc_nulls_last(), said.desc_nulls_last(), F.col("line_no")]
+    has = kind.isNotNull()
+    return rows.withColumn("line_no", F.when(has, F.row_number().over(W.partitionBy("path").orderBy(*order)).cast("long")).otherwise(F.col("line_no")))
+
+
+def read_tables(spark: SparkSession, roots: list[str], tables: list[str] | dict[str, str | None], name: str = DATABASES, depth: int = 8) -> DataFrame:
+    """(path, mtime, name, line_no, data) of the wanted tables of all SQLite files below the roots.
+
+    ``line_no`` is the row's id; of tables that name a column to read newest first by, the row's number in that order.
+    """
+    by = {t: c for t, c in tables.items() if c} if isinstance(tables, dict) else {}
+    tables = list(tables)
     paths, far = databases(spark, roots, name, depth)
     out = spark.createDataFrame([], SCHEMA)
     if paths:
         for table in tables:
             rows = scan(spark, paths, table, "_path string, _mtime timestamp, _rowid long, _data string")
-            out = out.unionByName(rows.selectExpr("_path as path", "_mtime as mtime", f"'{table}' as name", "_rowid as line_no", "_data as data"))
+            rows = rows.selectExpr("_path as path", "_mtime as mtime", f"'{table}' as name", "_rowid as line_no", "_data as data")
+            out = out.unionByName(_newest_first(rows, by[table]) if table in by else rows)
     if far:
         found = files.read_bytes(spark, far, name, depth).select("path", "mtime", "content")
 
@@ -344,5 +362,8 @@ def read_tables(spark: SparkSession, roots: list[str], tables: list[str], name:
                     if rows:
                         yield pd.DataFrame(rows, columns=["path", "mtime", "name", "line_no", "data"])
 
-        out = out.unionByName(found.mapInPandas(run, SCHEMA))
+        rows = found.mapInPandas(run, SCHEMA)
+        for table in tables:
+            own = rows.filter(F.col("name") == table)
+            out = out.unionByName(_newest_first(own, by[table]) if table in by else own)
     return out
