@@ -276,3 +276,20 @@ def _schema(rows: DataFrame, columns: str) -> pa.Schema:
 
 def op12_conversation_repair(spark, sf_dir: str) -> DataFrame:
     return repair(damaged(read(spark, sf_dir, "conversations"))).drop("signature")
+
+
+#: The same by the least way to each state after each row, with the repaired rows carried along.
+SQL = r"""WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS bytes FROM conversations),
+part AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) % 20 AS p FROM src),
+dam AS (SELECT conv_id, turn, CASE WHEN p = 4 THEN 'user' ELSE role END AS role, CASE WHEN p = 1 THEN '' WHEN p = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN p = 3 THEN [0, 1] ELSE [0] END) AS copy FROM part WHERE p <> 0),
+ord AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS ini FROM dam),
+flt AS MATERIALIZED (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS before, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault FROM ord),
+cnt AS (SELECT c.conv_id, count(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN flt ON c.conv_id IS NOT DISTINCT FROM flt.conv_id GROUP BY 1),
+moves AS (SELECT * FROM (VALUES (0, 0, 0, []::VARCHAR[]), (1, 0, 1, []), (2, 0, 2, []), (3, 0, 3, []), (0, 1, 2, ['user:']), (1, 1, 2, ['user:']), (2, 1, 3, ['assistant:']), (3, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']), (1, 2, 3, ['user:', 'assistant:']), (2, 2, 2, ['assistant:', 'user:']), (3, 2, 3, ['user:', 'assistant:'])) v(f, k, t, ins)),
+ops AS (SELECT * FROM (VALUES (0, 'D', 0, 2, ''), (1, 'D', 1, 2, ''), (2, 'D', 2, 2, ''), (3, 'D', 3, 2, ''), (0, 'R', 2, 1, ''), (1, 'R', 2, 1, ''), (2, 'R', 3, 1, ''), (3, 'R', 2, 1, ''), (0, 'K', 1, 0, 's'), (0, 'K', 2, 0, 'u'), (1, 'K', 2, 0, 'u'), (2, 'K', 3, 0, 'a'), (3, 'K', 2, 0, 'u')) v(f, e, t, cost, ini)),
+dp AS (SELECT conv_id, 0::BIGINT AS i, 0 AS st, {'c': 0::BIGINT, 'a': '', 'o': []::VARCHAR[]} AS b FROM cnt
+UNION ALL SELECT d.conv_id, d.i + 1, op.t, min({'c': (d.b.c + 5 * mv.k + op.cost + CASE WHEN r.fault = 't' AND op.e <> 'D' THEN 5 ELSE 0 END)::BIGINT, 'a': d.b.a || repeat('I', mv.k) || op.e, 'o': list_concat(list_concat(d.b.o, mv.ins), CASE op.e WHEN 'D' THEN [] WHEN 'K' THEN [r.role || ':' || r.text] ELSE [CASE op.t WHEN 3 THEN 'assistant:' ELSE 'user:' END || r.text] END)})
+FROM dp d JOIN flt r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.i = d.i + 1 JOIN moves mv ON mv.f = d.st JOIN ops op ON op.f = mv.t AND (op.e <> 'K' OR op.ini = r.ini) AND (op.e = 'D' OR r.fault NOT IN ('b', 'd')) GROUP BY 1, 2, 3),
+fin AS (SELECT d.conv_id, min({'c': d.b.c + 5 * mv.k, 'a': d.b.a || repeat('I', mv.k), 'o': list_concat(d.b.o, mv.ins)}) AS b FROM dp d JOIN cnt ON cnt.conv_id IS NOT DISTINCT FROM d.conv_id AND cnt.n = d.i JOIN moves mv ON mv.f = d.st AND mv.t IN (0, 3) GROUP BY 1)
+SELECT cnt.conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, CAST(b.c AS BIGINT) AS cost, b.a AS audit, sha256(array_to_string(b.o, chr(10))) AS repaired_sha256 FROM cnt JOIN fin ON cnt.conv_id IS NOT DISTINCT FROM fin.conv_id"""

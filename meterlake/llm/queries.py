@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL}
+    return {"op3_mixing": mixing.SQL, "op11_spelling_variants": variants.SQL, "op12_conversation_repair": conversations.SQL}

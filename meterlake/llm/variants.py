@@ -264,3 +264,19 @@ def variant_groups(words: DataFrame, ratio: int = 5) -> DataFrame:
 
 def op11_spelling_variants(spark, sf_dir: str) -> DataFrame:
     return variant_groups(count_words(read(spark, sf_dir, "documents"), damage=199))
+
+
+#: The same by joining words without each of their places; the checksum is worked out bit by bit.
+SQL = r"""WITH RECURSIVE runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+each AS (SELECT doc_id, run, count(*) AS n, string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, '') AS cs FROM runs GROUP BY ALL),
+hashed AS (SELECT run, n, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(cs, lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))), lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) AS h FROM each),
+hurt AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM hurt WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+less AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS MATERIALIZED (SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM less d JOIN w ON d.rest = w.word UNION SELECT w.word, d.word, d.n FROM less d JOIN w ON d.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, min({'m': -m, 'other': other}) AS b FROM near GROUP BY 1),
+told AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 5 * n THEN b.other END AS form, CASE WHEN -b.m >= 5 * n THEN -b.m END AS form_n FROM w LEFT JOIN best ON w.word = best.word),
+way AS (SELECT word, word AS root, 0 AS step FROM told UNION ALL SELECT way.word, told.form, step + 1 FROM way JOIN told ON told.word = way.root WHERE told.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, step) AS root FROM way GROUP BY 1)
+SELECT told.word, form, root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM told JOIN roots ON told.word = roots.word"""
