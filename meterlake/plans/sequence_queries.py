@@ -42,7 +42,13 @@ def cumulative_delta(spark, sf_dir):
     return S.cumulative_delta(rows.withColumn("total", total), ["agent", "model"], "seq", ["total"]).select("id", "total")
 
 
-@query()
+_COUNTERS = f"""{RAW}, r AS MATERIALIZED (SELECT seq, source_path, input_tokens AS i, output_tokens AS o, cache_read_tokens AS c, cache_write_tokens AS w, CASE WHEN seq % 5 = 0 THEN 'token_count' ELSE 'message' END AS kind, row_number() OVER (PARTITION BY source_path ORDER BY seq) AS k FROM raw_e),
+f AS (SELECT DISTINCT source_path, CAST(0 AS BIGINT) AS k, false AS run, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS o, CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS w, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS kind, CAST(0 AS BIGINT) AS di, CAST(0 AS BIGINT) AS d_o, CAST(0 AS BIGINT) AS dc, CAST(0 AS BIGINT) AS dw FROM r
+UNION ALL SELECT source_path, k, run, CASE WHEN total THEN ni ELSE i END, CASE WHEN total THEN n_o ELSE o END, CASE WHEN total THEN nc ELSE c END, CASE WHEN total THEN nw ELSE w END, seq, kind, CASE WHEN total THEN greatest(0, ni - i) ELSE ni END, CASE WHEN total THEN greatest(0, n_o - o) ELSE n_o END, CASE WHEN total THEN greatest(0, nc - c) ELSE nc END, CASE WHEN total THEN greatest(0, nw - w) ELSE nw END
+FROM (SELECT *, run AND NOT (ni < i AND n_o < o) AS total FROM (SELECT r.source_path, r.k, f.run OR (r.kind = 'token_count' AND greatest(r.i, r.o) > 0) AS run, f.i, f.o, f.c, f.w, r.seq, r.kind, r.i AS ni, r.o AS n_o, r.c AS nc, r.w AS nw FROM f JOIN r ON r.source_path = f.source_path AND r.k = f.k + 1) x) y)"""
+
+
+@query(f"WITH RECURSIVE {_COUNTERS} SELECT seq, source_path, di AS input_tokens, d_o AS output_tokens, dc AS cache_read_tokens, dw AS cache_write_tokens, kind FROM f WHERE k > 0")
 def counter_deltas(spark, sf_dir):
     """Counters of unknown mode: each user's log, in order."""
     rows = raw_usage(spark, sf_dir).select("seq", "source_path", F.col("input_tokens"), "output_tokens", "cache_read_tokens", "cache_write_tokens", F.when(F.col("seq") % 5 == 0, "token_count").otherwise("message").alias("kind"))
