@@ -106,7 +106,8 @@ def test_counters_on_a_stream_equal_those_of_the_whole(spark, tmp_path):
     for part, (a, b) in enumerate(((0, 13), (10, 14), (14, 40))):  # the second batch brings some rows again
         (folder / f"{part}.json").write_text("".join(json.dumps(dict(zip(columns, r, strict=True))) + "\n" for s in sessions for r in s[a:b]))
         stream = counters.stream_deltas(spark.readStream.schema(schema).json(str(folder)), "path", "at")
-        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(60)
+        writer = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check"))
+        assert writer.trigger(availableNow=True).start().awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out"))
     want = counter_deltas(spark.createDataFrame([r for s in sessions for r in s], schema), "path", "at")
     plain = lambda d: sorted(tuple(r) for r in d.select(*columns).fillna("", ["kind"]).collect())
