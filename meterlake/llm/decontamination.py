@@ -9,6 +9,10 @@ hit every such stretch: with at most one token in five substituted, there are
 four equal tokens in a row, or else three on either side of a substitution, or
 3 + 2 + 3 around two in a stretch of ten.
 
+Items of fewer tokens than ``SHORTEST`` would match by chance inside any text.
+They are found where they are the whole of a line: lines that short are hashed
+under a mask of all ones of their own length and looked up among the items.
+
 Tokens are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. The
 benchmark is counted first and cut into blocks of bounded size; each block's
 index is broadcast and all documents pass it, so documents are never shuffled
@@ -29,7 +33,7 @@ from .common import LOWER, aside, flat, materialize, read, slices, word_bounds
 from .rolling import mix, word_values
 
 MASKS = ("1111", "1110111", "1110110111")
-#: Items of fewer tokens are too short to tell from chance.
+#: Items of fewer tokens can't be told from chance within a line; they are found as whole lines.
 SHORTEST = 8
 LEAK = "array<struct<item_id:bigint,overlap:int,matched:int,item_tokens:int,start:int>>"
 
@@ -38,11 +42,21 @@ TOKEN = np.where((_letters >= 128) | ((_letters >= 48) & (_letters <= 57)) | ((L
 _factor = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, and where each row's begin."""
+def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens, where each row's begin, and where each token starts."""
     plain = TOKEN[buf]
     starts, ends, rows = word_bounds(plain, offsets)
-    return word_values(plain, starts, ends), rows
+    return word_values(plain, starts, ends), rows, starts
+
+
+def lines(buf: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where each line's tokens begin, and their number last; lines end at newlines, returns and the ends of rows. Lines without tokens are left out."""
+    if not len(starts):
+        return np.zeros(1, np.int64)
+    line = np.searchsorted(np.flatnonzero((buf == 10) | (buf == 13)), starts)
+    new = np.concatenate(([True], line[1:] != line[:-1]))
+    new[rows[:-1][rows[:-1] < len(starts)]] = True
+    return np.append(np.flatnonzero(new), len(starts))
 
 
 def seeds(values: np.ndarray, mask: str, number: int) -> np.ndarray:
@@ -63,7 +77,7 @@ class Index:
         self.masks, self.identity, self.least = masks, identity, least
         self.ids = [i for i, _ in items]
         buf, offsets = flat(pa.array([t or "" for _, t in items], pa.string()))
-        self.values, self.offsets = tokens(buf, offsets)
+        self.values, self.offsets, _ = tokens(buf, offsets)
         hashes, places = [], []
         for k, mask in enumerate(masks):
             h = seeds(self.values, mask, k)
@@ -79,11 +93,33 @@ class Index:
         seen = np.zeros(int(self.bits) + 1, bool)
         seen[h & self.bits] = True
         self.maybe = np.packbits(seen, bitorder="little")
+        self.short: dict[int, list[int]] = {}
+        for i in np.flatnonzero((np.diff(self.offsets) > 0) & (np.diff(self.offsets) < SHORTEST)).tolist():
+            n = int(self.offsets[i + 1] - self.offsets[i])
+            self.short.setdefault(int(self._whole(self.values[self.offsets[i] :], n)[0]), []).append(i)
+        self.lengths = sorted({int(self.offsets[i + 1] - self.offsets[i]) for items in self.short.values() for i in items})
+
+    def _whole(self, values: np.ndarray, n: int) -> np.ndarray:
+        """Hash of the ``n`` tokens from each token on, none ignored."""
+        return seeds(values, "1" * n, len(self.masks) + n)
+
+    def _short_lines(self, buf: np.ndarray, values: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item, tokens, token) of each line that is an item of few tokens, in the order of lines for each length."""
+        cut = lines(buf, starts, rows)
+        size, known = np.diff(cut), np.array(sorted(self.short), np.uint64)
+        for n in self.lengths:
+            at = cut[:-1][size == n]
+            h = self._whole(values, n)[at]
+            hit = np.isin(h, known)
+            for a, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
+                for i in self.short[x]:
+                    if np.array_equal(self.values[self.offsets[i] : self.offsets[i + 1]], values[a : a + n]):
+                        yield int(np.searchsorted(rows, a, side="right")) - 1, i, n, a
 
     def search(self, buf: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int, int, int]]]:
         """For each row, one (item, overlap, matched, item tokens, start) for each item found: its longest overlap."""
-        values, rows = tokens(buf, offsets)
-        lines = []
+        values, rows, starts = tokens(buf, offsets)
+        lined_up = []
         for k, mask in enumerate(self.masks):
             h = seeds(values, mask, k)
             slot = h & self.bits
@@ -94,8 +130,8 @@ class Index:
             n = np.searchsorted(self.hashes, h[at], side="right") - low
             hit = np.repeat(np.arange(len(at)), n)
             place = self.places[np.repeat(low, n) + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)]
-            lines.append(np.stack([at[hit], place], axis=1))
-        pairs = np.concatenate(lines)
+            lined_up.append(np.stack([at[hit], place], axis=1))
+        pairs = np.concatenate(lined_up)
         row = np.searchsorted(rows, pairs[:, 0], side="right") - 1
         item = np.searchsorted(self.offsets, pairs[:, 1], side="right") - 1
         lined = np.unique(np.stack([row, item, pairs[:, 0] - pairs[:, 1]], axis=1), axis=0)
@@ -106,6 +142,8 @@ class Index:
             x, y, m = longest(self.values[lo:hi] == values[lo + s : hi + s], self.identity)
             if y - x >= self._need(b - a) and (i not in found[r] or y - x > found[r][i][1]):
                 found[r][i] = (self.ids[i], y - x, m, b - a, lo + s + x - int(rows[r]))
+        for r, i, n, a in self._short_lines(buf, values, rows, starts):
+            found[r].setdefault(i, (self.ids[i], n, n, n, a - int(rows[r])))
         return [list(f.values()) for f in found]
 
     def _need(self, size):
@@ -145,8 +183,9 @@ def flag_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     An item is found if a stretch lined up with it has at least ``least`` tokens
     (or four fifths of a shorter item) of which ``identity`` match; the masks hit
     all of these for the given ``least`` and an ``identity`` of 0.8 or more.
-    Items of fewer than ``SHORTEST`` tokens, which any text may hold by chance, and
-    null items are never found; null and empty texts hold none; an empty benchmark
+    Items of fewer than ``SHORTEST`` tokens, which any text may hold by chance, are
+    found where they are all tokens of a line, the first such line. Null items and
+    items without tokens are never found; null and empty texts hold none; an empty benchmark
     leaves all lists empty; of items with one id, each is found by itself. A column
     of ``docs`` named ``leaks`` is returned with ``_in`` after its name.
     ``block_chars`` bounds the characters of the benchmark in one index: where

@@ -340,6 +340,29 @@ def test_decontamination(spark):
     assert decontamination.flag_leaks(docs, bench.limit(0)).filter("size(leaks) > 0").count() == 0
 
 
+def test_short_benchmark_items_are_found_as_whole_lines(spark):
+    """Items of one to seven tokens against every line of texts, by comparing lists of tokens."""
+    rng = random.Random(11)
+
+    def words_of(t):
+        return "".join(c.lower() if c.isascii() and c.isalnum() else c if ord(c) > 127 else " " for c in t or "").split()
+
+    items = [(1, "same"), (2, "Two words"), (3, "a b, c d e f g"), (4, "a b c d e f g h"), (5, "two  WORDS!"), (6, "..."), (7, None), (8, "é ü")]
+    parts = ["same", "SAME.", "same same", "two words", "two words more", "a b c d e f g", "a b c d e f g h", "é-ü", "", "..", "two", "words"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["\n", "\r\n", " ", "\n\n"]) for _ in range(rng.randint(0, 6))) for _ in range(300)] + ["same", "\nsame", "same\n", "not the same", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        found = [words_of(x) for x in (t or "").replace("\r", "\n").split("\n")]
+        want[i] = {k for k, x in items if 0 < len(words_of(x)) < decontamination.SHORTEST and words_of(x) in found}
+    for block in (16_000_000, 10):
+        got = {r.doc_id: [x.item_id for x in r.leaks if x.item_tokens < decontamination.SHORTEST] for r in decontamination.flag_leaks(docs, bench, block_chars=block).collect()}
+        assert {i: set(x) for i, x in got.items()} == want and all(len(x) == len(set(x)) for x in got.values())
+    one = decontamination.flag_leaks(docs.filter("doc_id = 300"), bench.filter("item_id = 1")).first().leaks[0]
+    assert (one.overlap, one.matched, one.item_tokens, one.start) == (1, 1, 1, 0)
+
+
 def test_decontamination_finds_all_that_qualifies():
     """All places of substitutions in whole items, with unrelated tokens around, against all stretches of the line."""
 
