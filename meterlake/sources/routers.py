@@ -39,9 +39,10 @@ def by_priority(roots: list[str]) -> list[str]:
     return sorted(roots, key=lambda r: -next((p for part, p in PREFERRED if part in r.lower()), 10))
 
 
-def request_rows(rows: DataFrame, agent: str) -> DataFrame:
+def request_rows(rows: DataFrame, agent: str, free: bool = False) -> DataFrame:
     """(path, line_no, row) -> usage rows with native_id and router_cost. Rows without tokens and cost, and rows without a time, are left out.
 
+    A cost is one above 0; with ``free`` every cost that a row states is one, also 0.
     The id leaves out the path, so that copies of a row in two places are one.
     """
     names = ["tokens", *ROW_IN, *ROW_OUT, *ROW_READ, *ROW_WRITE, *ROW_TIME, *ROW_COST, *ROW_REQUESTS, "meta", "model", "rawModel", "provider", "endpoint", "id", "connectionId"]
@@ -55,24 +56,26 @@ def request_rows(rows: DataFrame, agent: str) -> DataFrame:
     of = lambda v, which: [v[x] for x in which]
     name = lambda f: F.nullif(r[f], F.lit(""))
     stated = F.coalesce(*of(r, ROW_TIME))
+    paid = lambda value, *said: F.when(F.coalesce(*said).isNotNull() if free else value > 0, value)
+    hint, cost = of(r, ROW_COST), [*of(r, ROW_COST), *of(m, ROW_COST[:2])]
     out = one.select(
         F.col("line_no").alias("seq"), "path",
         n(*of(t, TOKENS_IN), *of(r, ROW_IN)).cast("long").alias("input_tokens"),
         n(*of(t, TOKENS_OUT), *of(r, ROW_OUT)).cast("long").alias("output_tokens"),
         n(*of(t, TOKENS_READ), *of(d, DETAIL_READ), *of(r, ROW_READ)).cast("long").alias("cache_read_tokens"),
         n(*of(t, TOKENS_WRITE), *of(d, DETAIL_WRITE), *of(r, ROW_WRITE)).cast("long").alias("cache_write_tokens"),
-        n(*of(r, ROW_COST)).alias("hint"), n(*of(r, ROW_REQUESTS)).alias("asked"), n(*of(r, ROW_COST), *of(m, ROW_COST[:2])).alias("cost"),
+        paid(n(*hint), *hint).alias("hint"), n(*of(r, ROW_REQUESTS)).alias("asked"), paid(n(*cost), *cost).alias("cost"),
         F.coalesce(name("model"), name("rawModel")).alias("said"), F.coalesce(time.instant(stated), time.epoch(stated)).alias("ts"), name("provider").alias("provider"), name("endpoint").alias("endpoint"),
         F.coalesce(r["id"], F.concat_ws("-", F.lit("row"), "line_no")).alias("native_id"), F.coalesce(name("connectionId"), F.lit("")).alias("connection"),
     )
     total = lambda x: x["input_tokens"] + x["output_tokens"] + x["cache_read_tokens"] + x["cache_write_tokens"]
-    used = F.filter(F.array(F.struct(*out.columns)), lambda x: x["ts"].isNotNull() & ((total(x) > 0) | ((x["hint"] > 0) & (x["asked"] > 0))))
+    used = F.filter(F.array(F.struct(*out.columns)), lambda x: x["ts"].isNotNull() & ((total(x) > 0) | (x["hint"].isNotNull() & (x["asked"] > 0))))
     out = out.select(F.explode(used).alias("x")).select("x.*").withColumns({"model": text.normalize_model(F.col("said")), "n": F.expr("input_tokens + output_tokens + cache_read_tokens + cache_write_tokens")})
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return out.select(
         "seq", text.stable_id(F.lit(agent), F.col("native_id"), F.col("input_tokens"), F.col("output_tokens"), stamp, F.col("connection"), F.col("model")).alias("id"), F.lit(agent).alias("agent"), "model", "ts",
         "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", F.col("n").alias("total_tokens"), F.coalesce(F.concat(F.lit("provider:"), "provider"), "endpoint").alias("workspace"),
-        F.col("path").alias("source_path"), F.lit(False).alias("estimated"), F.greatest(F.lit(1), F.floor("asked")).cast("long").alias("request_count"), F.when(F.col("cost") > 0, F.col("cost")).alias("router_cost"), "native_id",
+        F.col("path").alias("source_path"), F.lit(False).alias("estimated"), F.greatest(F.lit(1), F.floor("asked")).cast("long").alias("request_count"), F.col("cost").alias("router_cost"), "native_id",
     )
 
 

@@ -24,3 +24,13 @@ def test_same_as_sql(spark, name):
     for t in os.listdir(SF):
         db.execute(f"create view {t.removesuffix('.parquet')} as select * from '{SF}/{t}'")
     assert plain(entry.queries()[name](spark, SF).toPandas()) == plain(db.execute(entry.oracle_sql()[name]).fetchdf())
+
+
+def test_router_rows_state_costs_of_nothing(spark, tmp_path):
+    """Costs of 0, also of requests without tokens, are those of the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    db.execute(f"create table events as select event_id, ts, event_id % 2 as user_id, event_type, case when event_id % 3 = 0 then 0.0 else value end as value, '{{\"k\": 0}}' as props from '{SF}/events.parquet' limit 200")
+    db.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = entry.queries()["router_rows"](spark, str(tmp_path)).toPandas()
+    assert (got["router_cost"] == 0).any() and plain(got) == plain(db.execute(entry.oracle_sql()["router_rows"]).fetchdf())
