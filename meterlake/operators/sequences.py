@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,6 +42,29 @@ def cumulative_delta(rows: DataFrame, keys: list[str], order: str, counters: lis
 COUNTERS = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens"]
 
 
+def _own_counts(key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows sorted by key and order: counters become counts. What is kept between rows is a log's last totals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, running, last = (), False, (0, 0, 0, 0)
+        for batch in batches:
+            own = []
+            for k, begins, *c in zip(*(batch.column(x).to_pylist() for x in (key, "_begins", *COUNTERS)), strict=True):
+                if k != log:
+                    log, running, last = k, False, (0, 0, 0, 0)
+                running = running or begins
+                if running and not (c[0] < last[0] and c[1] < last[1]):
+                    own.append([max(0, x - y) for x, y in zip(c, last, strict=True)])
+                    last = c
+                else:
+                    own.append(c)
+            told = dict(zip(COUNTERS, zip(*own, strict=True), strict=True)) if own else {}
+            names = [n for n in batch.schema.names if n != "_begins"]
+            yield pa.RecordBatch.from_arrays([pa.array(told[n], pa.int64()) if n in told else batch.column(n) for n in names], names)
+
+    return run
+
+
 def counter_deltas(rows: DataFrame, key: str, order: str, kind: str = "kind") -> DataFrame:
     """Token counters of a log whose mode must be guessed, as usage: input, output, cache_read and cache_write of each row.
 
@@ -46,28 +72,14 @@ def counter_deltas(rows: DataFrame, key: str, order: str, kind: str = "kind") ->
     From there on they are running totals: a row counts by what it has more than
     the last such row. A row in which input and output both fell is a count
     again, and the next row is compared with the one before it. ``order`` is
-    unique within a file; which rows fell is decided along the file's counters,
-    everything else by windows. Unknown counters are 0; an empty table stays empty.
+    unique within a file. A file's rows are followed in order, in one pass over
+    sorted rows that holds a batch of them; files are dealt to tasks. Unknown
+    counters are 0; an empty table stays empty.
     """
     known = rows.withColumns({c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")) for c in COUNTERS})
-    names_tokens = F.coalesce(F.col(kind), F.lit("")).contains("token") & (F.greatest("input_tokens", "output_tokens") > 0)
-    begun = F.min(F.when(names_tokens, F.col(order))).over(W.partitionBy(key))
-    phased = known.withColumn("_running", F.coalesce(F.col(order) >= begun, F.lit(False)))
-    log = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col("input_tokens").alias("i"), F.col("output_tokens").alias("o"))))
-    zero, kind_of = F.lit(0).cast("long"), rows.schema[order].dataType.simpleString()
-
-    def follow(last: Column, row: Column) -> Column:
-        fell = (row["i"] < last["i"]) & (row["o"] < last["o"])
-        after = F.struct(row["i"].alias("i"), row["o"].alias("o"), last["fell"].alias("fell"))
-        return F.when(fell, F.struct(last["i"].alias("i"), last["o"].alias("o"), F.array_append(last["fell"], row["at"]).alias("fell"))).otherwise(after)
-
-    start = F.struct(zero.alias("i"), zero.alias("o"), F.array().cast(f"array<{kind_of}>").alias("fell"))
-    fallen = phased.filter("_running").groupBy(key).agg(F.aggregate(log, start, follow)["fell"].alias("_fell"))
-    marked = phased.join(fallen.select(key, F.explode("_fell").alias(order)).withColumn("_single", F.lit(True)), [key, order], "left")
-    marked = marked.withColumn("_total", F.col("_running") & F.col("_single").isNull())
-    before = W.partitionBy(key, "_total").orderBy(order)
-    own = {c: F.when(F.col("_total"), F.greatest(zero, F.col(c) - F.coalesce(F.lag(c).over(before), zero))).otherwise(F.col(c)) for c in COUNTERS}
-    return marked.withColumns(own).select(*rows.columns)
+    schema = known.schema
+    begins = F.coalesce(F.col(kind), F.lit("")).contains("token") & (F.greatest("input_tokens", "output_tokens") > 0) & F.col(order).isNotNull()
+    return known.withColumn("_begins", begins).repartition(F.col(key)).sortWithinPartitions(key, order).mapInArrow(_own_counts(key), schema)
 
 
 def context_estimate(rows: DataFrame, keys: list[str], order: str, text: str = "text", speaker: str = "role", answers: str = "assistant") -> DataFrame:

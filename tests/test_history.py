@@ -116,6 +116,19 @@ def test_counters_on_a_stream_equal_those_of_the_whole(spark, tmp_path):
     assert plain(both) == plain(want)
 
 
+def test_a_log_is_followed_without_gathering_it(spark):
+    """Also one without a name, and one that falls in every row."""
+    schema = "path string, at long, kind string, " + ", ".join(f"{c} long" for c in COUNTERS) + ", other string"
+    falling = [("f", i, "token_count", 9000 - i, 9000 - i, 1, 1, "x") for i in range(3000)]
+    rows = [*log(40, 1), *falling]
+    told = counter_deltas(spark.createDataFrame([(None if r[0] == "s1" else r[0], *r[1:]) for r in rows], schema), "path", "at")
+    assert "collect_list" not in told._jdf.queryExecution().toString()
+    got = {(r.path or "s1", r.at): tuple(r) for r in told.collect()}
+    want = {(r.path, r.at): tuple(r) for r in counter_deltas(spark.createDataFrame(rows, schema), "path", "at").collect()}
+    assert len(got) == 3040 and {k: v[1:] for k, v in got.items()} == {k: v[1:] for k, v in want.items()}
+    assert [got["f", i][3] for i in (0, 1, 2999)] == [9000, 8999, 6001]
+
+
 def test_revisions_rise_by_one_a_batch(spark, tmp_path):
     told = []
     listener = progress.watch(spark, lambda p: told.append((p.name, p.revision)))
