@@ -65,14 +65,23 @@ def path(c: Column | None = None) -> Column:
     return F.lower(F.replace(F.col("source_path") if c is None else c, F.lit("\\"), F.lit("/")))
 
 
+def own_key() -> Column:
+    """A key of the row alone, for rows that are to meet none in a join: nulls would all go to one task."""
+    return F.concat(F.lit("id:"), F.coalesce("id", F.col("seq").cast("string"), F.lit("")))
+
+
 def drop_stale_residuals(rows: DataFrame) -> DataFrame:
-    """Without grok's stale stream residuals (estimated, no output): all of them where their file has better rows, else all but its heaviest."""
+    """Without grok's stale stream residuals (estimated, no output): all of them where their file has better rows, else all but its heaviest.
+
+    Other rows meet no file; they join by their id, so that they spread over tasks.
+    """
     of_file = (F.col("agent") == "grok") & path().endswith("updates.jsonl")
     ghost = is_estimated() & (F.coalesce("output_tokens", F.lit(0)) <= 0)
     files = rows.filter(of_file).groupBy(path().alias("_path"))
     best = files.agg(F.max(~ghost).alias("_better"), F.max(F.when(ghost, F.struct(weight().alias("w"), (-F.col("seq")).alias("s"), F.col("id").alias("id")))).alias("_best"))
-    out = rows.withColumn("_path", F.when(of_file & ghost, path())).join(best, "_path", "left")
-    keep = F.col("_path").isNull() | (~F.col("_better") & (F.col("id") == F.col("_best.id")))
+    marked = rows.withColumn("_ghost", F.coalesce(of_file & ghost, F.lit(False)))
+    out = marked.withColumn("_path", F.when(F.col("_ghost"), path()).otherwise(own_key())).join(best, "_path", "left")
+    keep = ~F.col("_ghost") | (~F.col("_better") & (F.col("id") == F.col("_best.id")))
     return out.filter(keep).select(rows.columns)
 
 

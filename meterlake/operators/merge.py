@@ -11,7 +11,7 @@ from ..functions import time
 from ..functions.text import normalize_agent, normalize_model, sanitize_machine, stable_id
 from ..schema import ROUTERS, conform, cost, day, is_estimated, requests, weight
 from ..tables import cut
-from .dedup import collapse_exact, collapse_source_path, drop_stale_residuals, path, richer_union
+from .dedup import collapse_exact, collapse_source_path, drop_stale_residuals, own_key, path, richer_union
 from .router_days import collapse_router_days
 
 HOUR_PATH, DAY_PATH, ANY_PATH = "backup:gist-hour", "backup:gist-daily", "backup:gist"
@@ -134,10 +134,10 @@ def light_merge(old: DataFrame, fresh: DataFrame, least: int = 5) -> DataFrame:
     """A light scan over what was known: agents without fresh rows keep theirs, routers with several are replaced, others merge by id."""
     found = fresh.groupBy("agent").agg(F.count(F.lit(1)).alias("_n"))
     replaced = found.filter(F.col("agent").isin([*ROUTERS, "antigravity"]) & (F.col("_n") >= least)).select("agent")
-    seen = fresh.filter((F.col("agent") == "grok") & path().endswith("updates.jsonl")).select(path().alias("_path")).distinct()
-    ghost = (F.col("agent") == "grok") & is_estimated() & (F.coalesce("output_tokens", F.lit(0)) <= 0)
+    seen = fresh.filter((F.col("agent") == "grok") & path().endswith("updates.jsonl")).select(path().alias("_path"), F.lit(True).alias("_ghost")).distinct()
+    ghost = F.coalesce((F.col("agent") == "grok") & is_estimated() & (F.coalesce("output_tokens", F.lit(0)) <= 0), F.lit(False))
     kept = old.join(F.broadcast(replaced), "agent", "left_anti")  # agents are a closed set
-    kept = kept.withColumn("_path", F.when(ghost, path())).join(seen, "_path", "left_anti").select(old.columns)
+    kept = kept.withColumns({"_ghost": ghost, "_path": F.when(ghost, path()).otherwise(own_key())}).join(seen, ["_path", "_ghost"], "left_anti").select(old.columns)
     return richer_union(kept, fresh)
 
 

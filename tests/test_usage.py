@@ -171,3 +171,29 @@ def test_snapshot(spark, tmp_path):
 def test_conform_and_empty(spark):
     none = conform(spark.createDataFrame([], "id string, extra int"))
     assert none.columns == USAGE.fieldNames() and reports.stats(none, R.rates(spark)).count() == 0
+
+
+def test_rows_without_stale_residuals_spread(spark):
+    """Rows that meet no session file don't all go to one task of the join."""
+    from meterlake.operators.dedup import drop_stale_residuals
+    from meterlake.schema import conform
+
+    some = spark.range(4000).selectExpr("id as seq", "concat('r', id) as id", "if(id % 10 = 0, 'grok', 'amp') as agent", "if(id % 10 = 0, '/s/updates.jsonl', '/a') as source_path", "true as estimated", "0L as output_tokens", "id as total_tokens")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    had = {k: spark.conf.get(k) for k in conf}
+    try:
+        [spark.conf.set(k, v) for k, v in conf.items()]
+        parts = [r["count"] for r in drop_stale_residuals(conform(some)).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        [spark.conf.set(k, v) for k, v in had.items()]
+    assert sum(parts) == 3601 and max(parts) < 2000
+
+
+def test_a_model_name_is_worked_out_once(spark):
+    from meterlake.functions.text import normalize_model
+
+    plan = spark.range(1).select(normalize_model(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 50
+    names = [("a/b (x)", "a/b"), ("deep_seek-v3", "deepseek-v3"), ("gpt-4.1", "gpt-4.1"), ("openai/gpt-4.1 (k)|p", "gpt-4.1 (k)"), ("openai/gpt-4.1 [k]", "gpt-4.1"), (" DIGIGO", "Digigo"), ("models/v1", "models/v1"), ("a-", "a"), ("--", None), ("x\n", "x")]
+    got = spark.createDataFrame(names, "m string, want string").select("m", "want", normalize_model(F.col("m")).alias("got")).collect()
+    assert [r for r in got if r.got != r.want] == []
