@@ -20,6 +20,10 @@ from .queries import query
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 
+#: Rows of a made key-value store, so that stores grow in number and not in size.
+STORE_ROWS = 100_000
+
+
 def _folder(spark) -> str:
     """A new folder in the shared place, which tasks must be able to open files in."""
     folder = sqlite.local_path(f"{shared_dir(spark)}/made/{uuid.uuid4().hex}")
@@ -116,7 +120,7 @@ def kv_usage(spark, sf_dir):
     key = F.concat(F.when(F.col("event_id") % 4 == 3, "window.").otherwise("chat.Usage."), F.col("event_id").cast("string"))
     rows = e.select("event_id", key.alias("key"), F.expr(_SHAPE).alias("value"))
     folder = _folder(spark)
-    _databases(rows.repartition(2), folder, "ItemTable", "id integer primary key, key text, value blob")
+    _databases(rows.repartition(2 + e.count() // STORE_ROWS), folder, "ItemTable", "id integer primary key, key text, value blob")
     return keyvalues.usage_of_values(keyvalues.read_values(spark, [folder], r".*\.sqlite$"), "windsurf").select("seq", "input_tokens", "output_tokens")
 
 

@@ -34,3 +34,18 @@ def test_router_rows_state_costs_of_nothing(spark, tmp_path):
     db.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
     got = entry.queries()["router_rows"](spark, str(tmp_path)).toPandas()
     assert (got["router_cost"] == 0).any() and plain(got) == plain(db.execute(entry.oracle_sql()["router_rows"]).fetchdf())
+
+
+def test_key_value_stores_grow_in_number(spark, monkeypatch):
+    """More rows are more stores, with the same usage."""
+    duckdb = pytest.importorskip("duckdb")
+    from meterlake.plans import reader_queries
+
+    monkeypatch.setattr(reader_queries, "STORE_ROWS", 300)
+    dealt, make = [], reader_queries._databases
+    monkeypatch.setattr(reader_queries, "_databases", lambda rows, *a: (dealt.append(rows.rdd.getNumPartitions()), make(rows, *a)))
+    got = entry.queries()["kv_usage"](spark, SF).toPandas()
+    db = duckdb.connect()
+    db.execute(f"create view events as select * from '{SF}/events.parquet'")
+    assert dealt == [2 + len(db.execute("select 1 from events").fetchall()) // 300]
+    assert plain(got) == plain(db.execute(entry.oracle_sql()["kv_usage"]).fetchdf())
