@@ -307,6 +307,38 @@ def test_language_model_keeps_contexts_of_small_share(spark):
     assert got[520].score > got[520].base_score + 5
 
 
+def test_language_model_over_pieces(spark):
+    """Grams that several tasks hold, some twice in one and some once in two; texts without a training row; scores as by brute force."""
+    rng = random.Random(3)
+    texts = [[rng.choice(WORDS[:40]) for _ in range(rng.randrange(1, 30))] for _ in range(300)]
+    held = [i % 4 == 1 or i >= 290 for i in range(len(texts))]
+    df = spark.createDataFrame([(str(i), " ".join(t), h) for i, (t, h) in enumerate(zip(texts, held, strict=True))], "doc_id string, text string, held_out boolean").repartition(7)
+    got = {r.doc_id: r for r in pst.score_texts(df).collect()}
+    want = brute_scores([t for t, h in zip(texts, held, strict=True) if not h], texts)
+    assert [got[str(i)].score for i in range(len(texts))] == pytest.approx(want)
+    none = pst.score_texts(df.withColumn("held_out", F.lit(True))).collect()
+    assert len(none) == 300 and all(r.n_known == 0 and r.train_tokens == 0 and r.score == pytest.approx(0) for r in none)
+
+
+def test_language_model_asks_little():
+    """A pair is asked for by under six bytes, of words that no text repeats none is; a triple only if both of its pairs are repeated."""
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 60, 100_000, dtype=np.uint64))
+    assert np.array_equal(pst.unpacked_keys(pst.packed_keys(keys)), keys) and len(pst.packed_keys(keys)) < 6 * len(keys)
+    words = np.unique(rng.integers(0, 1 << 63, 50, dtype=np.uint64))
+    places = np.array([*range(50), 0, 1, 2, 3])
+    piece = pa.table({"pid": [0], "held": pa.array([[False]]), **{n: pa.array([x], pa.binary()) for n, x in (("lengths", pst.packed(np.array([54]))), ("words", pst.packed_keys(words)), ("places", pst.packed(places)))}})
+    answers = {"what": [], "level": [], "bucket": [], "data": []}
+    asks = lambda: pst._Piece(piece, pa.table(answers), 1, 2, 54, 50, 0.75, 2).asked
+    first = asks()
+    assert {(a[0], a[1]) for a in first} == {(pst.COUNT, 0), (pst.COUNT, 1)}
+    for what, level, bucket, *_, counts in (a[:6] for a in first):
+        for name, x in zip(answers, (what, level, bucket, pst.packed(pst.unpacked(counts) * 2 + 1)), strict=True):
+            answers[name].append(x)
+    triples = [a for a in asks() if a[:2] == (pst.COUNT, 2)]
+    assert sum(len(pst.unpacked_keys(a[4])) for a in triples) == 2 and sum(int(pst.unpacked(a[5]).sum()) for a in triples) == 4
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labelled = docs.withColumn("held", langid.held_out())
