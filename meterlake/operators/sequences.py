@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens_of_chars
+from ..tables import cut
 from .dedup import running_window
 from .pricing import first_by
 
@@ -157,10 +158,30 @@ def argmax_model(rows: DataFrame, keys: list[str], model: str = "model", tokens:
 
 
 def dominant_token(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
-    """The most frequent match of a pattern in each text; of equals the one that comes first."""
-    found = rows.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("at", "token"))
-    counts = found.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-    return counts.groupBy(key).agg(F.max_by("token", F.struct("n", -F.col("at"))).alias("token"), F.max("n").alias("n"))
+    """The most frequent match of a pattern in each text; of equals the one that comes first.
+
+    A text's matches are counted in its row. Only texts of keys that several rows
+    share are dealt by match.
+    """
+    zero = F.lit(0).cast("long")
+    none = F.struct(F.lit("").alias("run"), zero.alias("k"), zero.alias("at"), F.lit("").alias("token"), zero.alias("n"), zero.alias("first"))
+
+    def longer(acc: Column, x: Column) -> Column:
+        same = (acc["k"] > 0) & (acc["run"] == x["token"])
+        k, at = F.when(same, acc["k"] + 1).otherwise(F.lit(1).cast("long")), F.when(same, acc["at"]).otherwise(x["at"])
+        more = (k > acc["n"]) | ((k == acc["n"]) & (at < acc["first"]))
+        return F.struct(x["token"].alias("run"), k.alias("k"), at.alias("at"), *[F.when(more, new).otherwise(acc[c]).alias(c) for c, new in (("token", x["token"]), ("n", k), ("first", at))])
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    ordered = F.sort_array(F.transform(found, lambda t, i: F.struct(t.alias("token"), i.cast("long").alias("at"))))
+    own = rows.select(key, F.aggregate(ordered, none, longer).alias("_own")).filter("_own.n > 0")
+    own = cut(own.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), F.first("_own.token").alias("token"), F.first("_own.n").alias("n")))
+    once, several = own.filter("_rows = 1").select(key, "token", "n"), own.filter("_rows > 1").select(F.col(key).alias("_key"))
+    if several.isEmpty():
+        return once
+    shared = rows.join(several, F.col(key).eqNullSafe(F.col("_key")), "left_semi").select(key, F.posexplode(found).alias("at", "token"))
+    counts = shared.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    return once.unionByName(counts.groupBy(key).agg(F.max_by("token", F.struct("n", -F.col("at"))).alias("token"), F.max("n").alias("n")))
 
 
 def newest(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:

@@ -95,3 +95,15 @@ def test_snapshot_survives_a_writer_that_stops(spark, tmp_path):
     store.write_snapshot(kept.unionByName(rows("d")), path)
     assert {r.id for r in store.read_snapshot(spark, path).collect()} == {"a", "b", "d"}
     assert {r.id for r in store.read_snapshot(spark, f"{path}.bak").collect()} == {"a", "b"}
+
+
+def test_dominant_token_stays_in_its_row(spark):
+    """Matches are exploded and dealt only where several rows share a key; of equals the first wins, by rows of a key their sum."""
+    texts = [("a", "xx yy yy xx zz"), ("b", "zz yy zz"), ("c", "1 2"), ("d", None), ("e", "xx yy yy"), ("e", "xx xx"), (None, "yy"), (None, "zz zz"), ("f", "bb aa"), ("e", "")]
+    rows = spark.createDataFrame(texts, "id string, text string")
+    got = lambda r: {(x.id, x.token, x.n) for x in sequences.dominant_token(r, "id", "text", "[a-z]+").collect()}
+    assert got(rows) == {("a", "xx", 2), ("b", "zz", 2), ("e", "xx", 3), (None, "zz", 2), ("f", "bb", 1)}
+    alone = rows.filter("id < 'e' or id = 'f'")
+    assert got(alone) == {("a", "xx", 2), ("b", "zz", 2), ("f", "bb", 1)}
+    plan = sequences.dominant_token(alone, "id", "text", "[a-z]+")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan
