@@ -89,9 +89,11 @@ def tiered_rollup(rows: DataFrame, now: datetime, machine: str) -> DataFrame:
     hourly = F.col("ts") >= cut
     bucket = F.when(hourly, F.date_format("ts", "yyyy-MM-dd'T'HH")).otherwise(day())
     name = sanitize_machine(F.lit(machine))
-    sums = own.groupBy(hourly.alias("hourly"), bucket.alias("bucket"), "agent", F.lower(normalize_model(F.col("model"))).alias("model"))
-    tokens = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "total_tokens"]
-    out = sums.agg(*[F.sum(c).alias(c) for c in tokens], F.sum(cost()).alias("estimated_cost"), F.max("ts").alias("ts"))
+    measures = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "total_tokens", "estimated_cost"]
+    sums = lambda grouped: grouped.agg(*[F.sum(c).alias(c) for c in measures], F.max("ts").alias("ts"))
+    # summed by names as written, which are few, then by normal names
+    raw = sums(own.withColumn("estimated_cost", cost()).groupBy(hourly.alias("hourly"), bucket.alias("bucket"), "agent", "model"))
+    out = sums(raw.groupBy("hourly", "bucket", "agent", F.lower(normalize_model(F.col("model"))).alias("model")))
     kind = F.when(F.col("hourly"), "gist-hour").otherwise("gist-daily")
     out = out.withColumns(
         {

@@ -197,3 +197,14 @@ def test_a_model_name_is_worked_out_once(spark):
     names = [("a/b (x)", "a/b"), ("deep_seek-v3", "deepseek-v3"), ("gpt-4.1", "gpt-4.1"), ("openai/gpt-4.1 (k)|p", "gpt-4.1 (k)"), ("openai/gpt-4.1 [k]", "gpt-4.1"), (" DIGIGO", "Digigo"), ("models/v1", "models/v1"), ("a-", "a"), ("--", None), ("x\n", "x")]
     got = spark.createDataFrame(names, "m string, want string").select("m", "want", normalize_model(F.col("m")).alias("got")).collect()
     assert [r for r in got if r.got != r.want] == []
+
+
+def test_rollups_sum_by_written_names_first(spark):
+    """Names that are normalized alike meet in one rollup, rows without a name in another; names are worked out over sums, not rows."""
+    names = ["GLM-5.1|a", "glm-5.1 (b)", "GLM-5.1|a", None]
+    made = spark.createDataFrame([(i, f"e{i}", "grok", m, 10 + i, 0.5) for i, m in enumerate(names)], "seq long, id string, agent string, model string, total_tokens long, estimated_cost double")
+    rows = conform(made.withColumn("ts", F.make_timestamp(F.lit(2024), F.lit(1), F.lit(3), F.lit(4), F.lit(5), F.lit(6))))
+    out = merge.tiered_rollup(rows, datetime(2024, 1, 31, tzinfo=timezone.utc), "m")
+    assert {(r.model, r.total_tokens, r.estimated_cost) for r in out.collect()} == {("glm-5.1", 33, 1.5), (None, 13, 0.5)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2
