@@ -252,8 +252,8 @@ def _samples(h: np.ndarray, samples: int, size: int) -> np.ndarray:
     return mix(found ^ mix(np.arange(samples, dtype=np.uint64) + np.uint64(7)))
 
 
-def _sketches(shingle: int, samples: int, size: int, words: int):
-    """Per text: its cells, a fingerprint of ``words`` x 64 bits over all shingles, and the number of shingles."""
+def _sketches(shingle: int, samples: int, size: int, words: int, whole: int):
+    """Per text: its cells, a fingerprint of ``words`` x 64 bits over all shingles, their number, and op5's fingerprint over shingles of ``whole`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,11 +261,13 @@ def _sketches(shingle: int, samples: int, size: int, words: int):
             node = batch.column("node").to_numpy()
             for lo, hi in slices(offsets, 4 << 20):
                 cells, sig, count = [], [], []
+                raw, ends = LOWER[buf[offsets[lo] : offsets[hi]]].tobytes(), (offsets[lo : hi + 1] - offsets[lo]).tolist()
+                fp = np.array([fingerprint(shingle_hashes(raw[a:b], whole)) for a, b in zip(ends[:-1], ends[1:], strict=True)], np.uint64).view(np.int64)
                 for h in shingle_sets(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle):
                     cells.append(_samples(h, samples, size).view(np.int64))
                     sig.append(np.array([fingerprint(mix(h + np.uint64(i * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))) for i in range(words)], np.uint64).tobytes())
                     count.append(len(h))
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.list_(pa.int64())), pa.array(node[lo:hi]), pa.array(sig, pa.binary()), pa.array(count, pa.int64())], ["cells", "node", "sig", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.list_(pa.int64())), pa.array(node[lo:hi]), pa.array(sig, pa.binary()), pa.array(count, pa.int64()), pa.array(fp)], ["cells", "node", "sig", "size", "fp"])
 
     return run
 
@@ -388,13 +390,15 @@ def _in_groups(similarity: float):
     return lambda batches: _whole_cells(batches, work)
 
 
-def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, samples: int = 12, size: int = 3, words: int = 8, group_shingles: int = 1 << 25) -> DataFrame:
+def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, samples: int = 12, size: int = 3, words: int = 8, group_shingles: int = 1 << 25, whole: int = 3, radius: int = 3) -> DataFrame:
     """(node, root): texts (by 64-bit hash) whose shingle sets have a Jaccard similarity of ``similarity`` or more, as components.
 
-    A 64-bit fingerprint of a whole text is too coarse for this: at similarity
-    0.8 two texts differ in about 10 of 64 bits. So candidates meet by SimHash
-    fingerprints of small samples (the ``size`` least shingles under each of
-    ``samples`` orders). A fingerprint of ``words`` x 64 bits leaves out those far
+    Candidates are the links of op5's method: fingerprints of whole texts over
+    shingles of ``whole`` words, segment bit counts, the grid, the Manhattan bound
+    and ``radius`` differing bits. These find near copies. At similarity 0.8,
+    however, two texts differ in about 10 of 64 bits, so candidates also meet by
+    SimHash fingerprints of small samples (the ``size`` least shingles under each
+    of ``samples`` orders). Of these, a fingerprint of ``words`` x 64 bits leaves out those far
     below: at similarity s, shingle vectors have cosine 2s / (1 + s), the share of
     differing bits is the angle over pi, and five deviations more are let pass, as
     are sets of fewer than ``FEW`` shingles.
@@ -415,14 +419,14 @@ def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, similar
     limit = int(bits * share + 5 * np.sqrt(bits * share * (1 - share)))
     t = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.xxhash64(t).alias("node"), t.alias("text_"))
-    sketches = materialize(keyed.dropDuplicates(["node"]).mapInArrow(_sketches(shingle, samples, size, words), "cells array<long>, node long, sig binary, size long"), "sketches")
+    sketches = materialize(keyed.dropDuplicates(["node"]).mapInArrow(_sketches(shingle, samples, size, words, whole), "cells array<long>, node long, sig binary, size long, fp long"), "sketches")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         # the nodes grow with the documents, so they are never broadcast
         return keyed.join(nodes.hint("merge"), "node").dropDuplicates(["node"]).select("text_", "node").mapInArrow(_sets(shingle), "node long, set binary")
 
     def candidates(rows: DataFrame, labelled: bool) -> DataFrame:
-        cells = rows.withColumn("cell", F.explode("cells")).drop("cells")
+        cells = rows.withColumn("cell", F.explode("cells")).drop("cells", "fp")
         return cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_candidates(similarity, limit, words, labelled), "a long, b long")
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -431,13 +435,21 @@ def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, similar
         met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         return materialize(met.mapInArrow(_similar(similarity), "a long, b long"), "similar")
 
+    def in_grid(rows: DataFrame) -> DataFrame:
+        # texts of one fingerprint are linked to the first of them, which stands for them in the grid
+        prints = materialize(rows.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+        same = rows.select("node", "fp").join(prints, "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        ends = [prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_")) for c in ("a", "b")]
+        near = near_fingerprints(prints, radius).join(ends[0], "a").join(ends[1], "b")
+        return same.unionByName(near.select(F.col("a_").alias("a"), F.col("b_").alias("b")))
+
     def by_pairs(rows: DataFrame) -> DataFrame:
-        links = similar(candidates(rows, False))
+        links = similar(candidates(rows, False).unionByName(in_grid(rows)))
         labels = components(links).withColumnRenamed("root", "label")
         more = similar(candidates(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), True))
         return components(links.unionByName(more))
 
-    groups = components(candidates(sketches, False)).withColumnRenamed("root", "cell")
+    groups = components(candidates(sketches, False).unionByName(in_grid(sketches))).withColumnRenamed("root", "cell")
     large = materialize(groups.join(sketches.select("node", "size"), "node").groupBy("cell").agg(F.sum("size").alias("n")).filter(F.col("n") > group_shingles).select("cell"), "large")
     some = not large.isEmpty()
     members = groups.join(large, "cell", "left_anti") if some else groups

@@ -146,6 +146,25 @@ def test_similar_texts_against_all_pairs(spark):
             assert got == {(i, j) for i in some for j in some if root[i] == root[j]}
 
 
+def test_similar_texts_meet_in_the_grid(spark):
+    """Without samples, op5's fingerprints alone bring texts together, and the exact similarity decides."""
+    rng = random.Random(29)
+    base = [prose(rng, 400).split() for _ in range(8)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:k], "new", *b[k + 1 :]]) for b in base for k in (3, 200)]
+    texts += ["a b c d e a b c", "a b c d e a b c a b c d e a b c d e a b c"]  # fingerprints may meet, sets of shingles differ
+    fps = [simhash.fingerprint(simhash.shingle_hashes(t.encode(), 3)) for t in texts]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    close = {(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    near = {(i, j) for i, j in close if (fps[i] ^ fps[j]).bit_count() <= 3}
+    assert len(near) > 8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    node = {r.doc_id: r.node for r in df.select("doc_id", F.xxhash64("text").alias("node")).collect()}
+    for more in ({}, {"group_shingles": 1}):
+        of = {r.node: r.root for r in simhash.similar_texts(df, samples=0, **more).collect()}
+        got = {(i, j) for i in range(len(texts)) for j in range(i) if of.get(node[i], node[i]) == of.get(node[j], node[j])}
+        assert near <= got <= close
+
+
 def test_sharding(spark, docs):
     rows = docs.select("doc_id", "text")
     a = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.assign_shards(rows, F.col("doc_id"), [1.0] * 24, grown=1.0).collect()}
