@@ -148,6 +148,14 @@ def model_rows(days: DataFrame) -> DataFrame:
     return one.select("agent", "day", "key", model.alias("model"), F.col("m.provider").alias("provider"), *[z(c) for c in ("requests", "input", "output", "cache", "cost")])
 
 
+def call_sums(calls: DataFrame) -> DataFrame:
+    """Requests by agent, day and model as written: their last time, rows, requests and counts. Names repeat, so these are few, and names are normalised on them."""
+    counts = {"h_in": "input_tokens", "h_out": "output_tokens", "h_cache": "cache_read_tokens"}
+    return calls.groupBy("agent", day().alias("day"), "model").agg(
+        F.max("ts").alias("ts"), F.count(F.lit(1)).alias("rows"), F.sum(requests()).alias("h_n"), *[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(h) for h, c in counts.items()], F.sum(cost()).alias("h_cost")
+    )
+
+
 def expand_days(days: DataFrame, calls: DataFrame, now: Column) -> DataFrame:
     """Rollup rows of day documents: one for each model if these cover 98 % of the day's cost and tokens, else one for the day.
 
@@ -155,7 +163,11 @@ def expand_days(days: DataFrame, calls: DataFrame, now: Column) -> DataFrame:
     structs), source. Ids don't depend on counts, so that a growing day replaces
     itself.
     """
-    latest = calls.withColumns({"day": day(), "_m": normalize_model(F.col("model"))})
+    return _expand(days, call_sums(calls), now)
+
+
+def _expand(days: DataFrame, summed: DataFrame, now: Column) -> DataFrame:
+    latest = summed.withColumn("_m", normalize_model(F.col("model")))
     by_day = latest.groupBy("agent", "day").agg(F.max("ts").alias("day_ts"))
     by_model = latest.groupBy("agent", "day", F.col("_m").alias("model")).agg(F.max("ts").alias("model_ts"))
     models = model_rows(days).filter("input + output + cache > 0 or cost > 0 or requests > 0")
@@ -181,8 +193,12 @@ def expand_days(days: DataFrame, calls: DataFrame, now: Column) -> DataFrame:
 
 def model_deficits(days: DataFrame, calls: DataFrame) -> DataFrame:
     """Day documents of what their models have beyond the requests of that model; days without a deficit are left out."""
-    had = calls.withColumns({"day": day(), "model": F.coalesce(normalize_model(F.col("model")), "model")}).filter("model <> ''").groupBy("agent", "day", "model")
-    had = had.agg(F.sum(requests()).alias("h_n"), *[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(h) for c, h in (("input_tokens", "h_in"), ("output_tokens", "h_out"), ("cache_read_tokens", "h_cache"))], F.sum(cost()).alias("h_cost"))
+    return _deficits(days, call_sums(calls))
+
+
+def _deficits(days: DataFrame, summed: DataFrame) -> DataFrame:
+    had = summed.withColumn("model", F.coalesce(normalize_model(F.col("model")), "model")).filter("model <> ''").groupBy("agent", "day", "model")
+    had = had.agg(*[F.sum(h).alias(h) for h in ("h_n", "h_in", "h_out", "h_cache", "h_cost")])
     met = model_rows(days).join(had, ["agent", "day", "model"], "left").fillna(0, ["h_n", "h_in", "h_out", "h_cache", "h_cost"])
     left = lambda c, h: F.greatest(F.lit(0.0), F.col(c) - F.col(h))
     met = met.withColumns({"r_req": left("requests", "h_n"), "r_in": left("input", "h_in"), "r_out": left("output", "h_out"), "r_cache": left("cache", "h_cache"), "r_cost": left("cost", "h_cost")})
@@ -199,15 +215,16 @@ def model_deficits(days: DataFrame, calls: DataFrame) -> DataFrame:
 def reconcile_days(calls: DataFrame, days: DataFrame, now: Column) -> DataFrame:
     """Requests and day documents (several versions) as rows: documents alone, requests alone, or requests and what they lack."""
     merged, calls = cut(merge_days(days)), cut(calls)
+    summed = cut(call_sums(calls))  # one pass over the requests for all that is asked of their sums
     dated = calls.withColumn("day", day())
-    sums = dated.filter("day is not null").groupBy("agent", "day").agg(F.count(F.lit(1)).alias("rows"), F.sum(requests()).alias("req"), F.sum(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).alias("tok"))
+    sums = summed.filter("day is not null").groupBy("agent", "day").agg(F.sum("rows").alias("rows"), F.sum("h_n").alias("req"), F.sum(F.col("h_in") + F.col("h_out")).alias("tok"))
     both = merged.select("agent", "day", F.coalesce("requests", F.lit(0.0)).alias("target"), (F.col("input") + F.col("output")).alias("day_tok"), F.col("cost").alias("day_cost"))
     both = both.join(sums, ["agent", "day"], "left").fillna(0, ["rows", "req", "tok"])
     choice = both.select("agent", "day", prefer_requests().alias("prefer"))
     kept = dated.join(choice, ["agent", "day"], "left").filter(F.coalesce("prefer", F.lit(True))).select(calls.columns)
     named = merged.join(choice, ["agent", "day"])
-    lacking = cut(model_deficits(named.filter("prefer").drop("prefer"), calls))
-    rollups = expand_days(named.filter("not prefer").drop("prefer"), calls, now).unionByName(expand_days(lacking, calls, now))
+    lacking = cut(_deficits(named.filter("prefer").drop("prefer"), summed))
+    rollups = _expand(named.filter("not prefer").drop("prefer"), summed, now).unionByName(_expand(lacking, summed, now))
     return conform(kept).unionByName(rollups)
 
 

@@ -49,3 +49,19 @@ def test_key_value_stores_grow_in_number(spark, monkeypatch):
     db.execute(f"create view events as select * from '{SF}/events.parquet'")
     assert dealt == [2 + len(db.execute("select 1 from events").fetchall()) // 300]
     assert plain(got) == plain(db.execute(entry.oracle_sql()["kv_usage"]).fetchdf())
+
+
+def test_day_documents_price_their_rows_once(spark, monkeypatch):
+    """Requests and day documents come from one priced table; sums of requests are made once."""
+    duckdb = pytest.importorskip("duckdb")
+    from meterlake.plans import reconcile_queries as plans
+
+    priced, usage = [], plans.usage
+    monkeypatch.setattr(plans, "usage", lambda *a: (priced.append(a), usage(*a))[1])
+    db = duckdb.connect()
+    db.execute("set threads = 1")
+    db.execute(f"create view events as select * from '{SF}/events.parquet'")
+    assert plain(entry.queries()["reconcile_daily"](spark, SF).toPandas()) == plain(db.execute(entry.oracle_sql()["reconcile_daily"]).fetchdf())
+    assert len(priced) == 1
+    for name in ("expand_daily", "daily_map_merge"):  # share the documents
+        assert plain(entry.queries()[name](spark, SF).toPandas()) == plain(db.execute(entry.oracle_sql()[name]).fetchdf())
