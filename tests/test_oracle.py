@@ -65,3 +65,14 @@ def test_day_documents_price_their_rows_once(spark, monkeypatch):
     assert len(priced) == 1
     for name in ("expand_daily", "daily_map_merge"):  # share the documents
         assert plain(entry.queries()[name](spark, SF).toPandas()) == plain(db.execute(entry.oracle_sql()[name]).fetchdf())
+
+
+def test_json_lines_are_parsed_once_a_pass(spark, tmp_path):
+    """Two passes (numbers and rows) parse a line once each."""
+    from meterlake.sources import files
+
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n{broken\n\nnull\n[2]\n')
+    rows = files.read_json_lines(spark, [str(tmp_path)])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") + plan.lower().count("parse_json") == 2, plan
+    assert [r.line_no for r in rows.select("line_no").orderBy("line_no").collect()] == [1, 2, 3]
